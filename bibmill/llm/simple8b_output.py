@@ -129,7 +129,7 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
     """Encodes every text (null: empty) and writes segments in ascending order of
     the id (null first; equal ids by a hash of the text). A file's rows are
-    (part, first: ids before the segment in this part, doc_ids, data)."""
+    (part, first: ids before the segment in this part, n_ids, doc_ids, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_encoder(tokenizer).encode, TaskContext.get().partitionId()
@@ -138,7 +138,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
 
         def full() -> pa.RecordBatch:
             data = segment(lengths, np.frombuffer(b"".join(parts), "<u4"))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "data": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([held], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "data": pa.array([data], pa.binary())})
 
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -156,7 +156,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
 
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(partitions(df.sparkSession), "i", F.xxhash64("t")).sortWithinPartitions("i", F.xxhash64("t"))
-    out = rows.mapInArrow(run, "part int, first long, doc_ids array<long>, data binary")
+    out = rows.mapInArrow(run, "part int, first long, n_ids long, doc_ids array<long>, data binary")
     out.write.option("compression", "uncompressed").parquet(path)
 
 
@@ -187,7 +187,7 @@ def token_files(df: DataFrame, tokenizer: str) -> DataFrame:
     write_ids(df, path, tokenizer)
     scratch.release()
     # one row a part, so as many as the write had tasks
-    ends = spark.read.parquet(path).select("part", (F.col("first") + F.expr("cast(conv(hex(reverse(substring(data, 13, 8))), 16, 10) as long)")).alias("n")).groupBy("part").agg(F.max("n").alias("n")).collect()
+    ends = spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
     before, rows = 0, []
     for part, n in sorted((r["part"], r["n"]) for r in ends):
         rows.append((part, before))

@@ -219,7 +219,8 @@ def divide(sides: DataFrame) -> DataFrame:
 
 
 def strings(sides: DataFrame) -> DataFrame:
-    """Each string of a row's parts by two hashes."""
+    """Each string of a row's parts. It is known by its hash, gram and offset: one
+    that holds two anchors stands under each, and must not count twice under one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,11 +231,11 @@ def strings(sides: DataFrame) -> DataFrame:
                     for part in r["parts"]:
                         for o in range(max(part * PART, least), min(part * PART + PART - 1, REACH, most) + 1):
                             s = whole[most - o: most - o + LENGTH]
-                            out.append((r["gram"], r["around"], r["c"], o, digest(s, 1), digest(s, 2)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], ["gram", "around", "c", "o", "h1", "h2"])
+                            out.append((r["gram"], r["around"], r["c"], o, digest(s, 1)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 5, kinds)], ["gram", "around", "c", "o", "string"])
 
-    return sides.mapInArrow(run, "gram long, around long, c long, o int, h1 long, h2 long")
+    return sides.mapInArrow(run, "gram long, around long, c long, o int, string long")
 
 
 def recurse(sides: DataFrame, scratch: Scratch) -> DataFrame:
@@ -251,8 +252,8 @@ def recurse(sides: DataFrame, scratch: Scratch) -> DataFrame:
     open_ = mixed.unionByName(also).unionByName(alone).distinct().groupBy("gram", "around").agg(F.collect_list("part").alias("parts"))
     each = strings(sides.join(open_, ["gram", "around"]))
     each = scratch.cut(each, "strings")
-    often = each.groupBy("h1", "h2").agg(F.sum("c").alias("n")).where("n > 1")
-    counted = each.where("c = 1").join(often, ["h1", "h2"]).select("gram", "around", F.array("o").alias("os"))
+    often = each.groupBy("gram", "o", "string").agg(F.sum("c").alias("n")).where("n > 1")
+    counted = each.where("c = 1").join(often, ["gram", "o", "string"]).select("gram", "around", F.array("o").alias("os"))
     inside = same.select("gram", "around", F.sequence(F.col("part") * PART, F.least(F.col("part") * PART + PART - 1, F.lit(REACH))).alias("os"))
     return counted.unionByName(inside).groupBy("gram", "around").agg(F.flatten(F.collect_list("os")).alias("offsets"))
 
