@@ -196,24 +196,25 @@ def digest(data: bytes, seed: int) -> int:
 
 
 def divide(sides: DataFrame) -> DataFrame:
-    """For each part of a row's offsets: hashes of what its strings have in common and of all their bytes."""
+    """For each part of a row's offsets: hashes of what all strings of the part have in
+    common (a text's end may cut strings off, never that) and of the bytes that its own
+    strings cover; whole where no string is cut off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                most, least = len(r["left"]), LENGTH - len(r["right"])
-                whole = r["left"][::-1] + r["right"]
-                for part, start in enumerate(range(0, REACH + 1, PART)):
-                    stop = min(start + PART, REACH + 1) - 1
-                    low, high = max(start, least), min(stop, most)
-                    if low <= high:
-                        shared = whole[most - low: most + LENGTH - high] if (low, high) == (start, stop) else whole[max(0, most - start): most + LENGTH - stop]
-                        # where the text ends inside the part, its strings still share the anchor's gram and this part's number
-                        key = shared if (low, high) == (start, stop) else b""
-                        out.append((r["gram"], r["around"], r["c"], part, digest(key, r["gram"] % (1 << 31) + part), digest(whole[most - high: most + LENGTH - low] + bytes([low, high]), part), (low, high) == (start, stop)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds)], ["gram", "around", "c", "part", "shared", "bytes", "whole"])
+            for i in range(0, b.num_rows, 2000):
+                out = []
+                for r in b.slice(i, 2000).to_pylist():
+                    most, least = len(r["left"]), LENGTH - len(r["right"])
+                    whole = r["left"][::-1] + r["right"]
+                    for part, start in enumerate(range(0, REACH + 1, PART)):
+                        stop = min(start + PART, REACH + 1) - 1
+                        low, high = max(start, least), min(stop, most)
+                        if low <= high:
+                            shared = digest(whole[most - start: most + LENGTH - stop], r["gram"] % (1 << 31) + part)
+                            out.append((r["gram"], r["around"], r["c"], part, shared, digest(whole[most - high: most + LENGTH - low] + bytes([low, high]), part), (low, high) == (start, stop)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds)], ["gram", "around", "c", "part", "shared", "bytes", "whole"])
 
     return sides.mapInArrow(run, "gram long, around long, c long, part int, shared long, bytes long, whole boolean")
 
@@ -240,22 +241,21 @@ def strings(sides: DataFrame) -> DataFrame:
 
 def recurse(sides: DataFrame, scratch: Scratch) -> DataFrame:
     """gram, around, offsets: for the rows of grams with too many surroundings."""
+    key = ["gram", "part", "shared"]
     parts = scratch.cut(divide(sides), "parts")
-    counts = parts.where("whole").groupBy("shared").agg(F.sum("c").alias("n"), F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("n > 1")
-    met = parts.join(counts, "shared", "left").where("not whole or n is not null")
-    # rows that a text's end cuts short take part string by string, and so do all that they may equal
-    mixed = met.where("not whole or low <> high").select("gram", "around", "part")
-    same = met.where("whole and low = high and c = 1")
-    ended = parts.where("not whole").select("gram", "part").distinct()
-    also = same.join(ended, ["gram", "part"], "left_semi").select("gram", "around", "part")
-    alone = parts.join(ended, ["gram", "part"], "left_semi").select("gram", "around", "part")
-    open_ = mixed.unionByName(also).unionByName(alone).distinct().groupBy("gram", "around").agg(F.collect_list("part").alias("parts"))
-    each = strings(sides.join(open_, ["gram", "around"]))
-    each = scratch.cut(each, "strings")
+    counts = parts.groupBy(*key).agg(F.sum("c").alias("n"), F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.min("whole").alias("all")).where("n > 1")
+    met = parts.join(counts.select(*key, F.expr("low = high and all").alias("same")), key)
+    met = scratch.cut(met.select("gram", "around", "c", "part", "same"), "met")
+    scratch.drop(parts)
+    open_ = met.where("not same").groupBy("gram", "around").agg(F.collect_list("part").alias("parts"))
+    each = scratch.cut(strings(sides.join(open_, ["gram", "around"])), "strings")
+    scratch.release()
     often = each.groupBy("gram", "o", "string").agg(F.sum("c").alias("n")).where("n > 1")
     counted = each.where("c = 1").join(often, ["gram", "o", "string"]).select("gram", "around", F.array("o").alias("os"))
-    inside = same.select("gram", "around", F.sequence(F.col("part") * PART, F.least(F.col("part") * PART + PART - 1, F.lit(REACH))).alias("os"))
-    return counted.unionByName(inside).groupBy("gram", "around").agg(F.flatten(F.collect_list("os")).alias("offsets"))
+    inside = met.where("same and c = 1").select("gram", "around", F.sequence(F.col("part") * PART, F.least(F.col("part") * PART + PART - 1, F.lit(REACH))).alias("os"))
+    found = scratch.cut(counted.unionByName(inside).groupBy("gram", "around").agg(F.flatten(F.collect_list("os")).alias("offsets")), "large")
+    scratch.drop(each, met)
+    return found
 
 
 def remove(text: bytes, hits: list[tuple]) -> tuple[bytes, int]:
@@ -299,7 +299,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     scratch.release()
     sides = scratch.cut(surroundings(reps.where(F.col("d") > GROUP), rows.select(RID, "_text")), "sides")
     scratch.release()
-    large = scratch.cut(recurse(sides, scratch), "large")
+    large = recurse(sides, scratch)
     scratch.drop(sides)
 
     mask, offsets = F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<int>").alias("offsets")
