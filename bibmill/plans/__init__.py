@@ -1,9 +1,6 @@
 """The registered queries and their SQL."""
 
+from . import analytics_queries, record_queries, text_queries  # noqa: F401  each registers its queries
+from .registry import oracle_sql, queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["queries", "oracle_sql"]
