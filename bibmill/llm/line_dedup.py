@@ -43,12 +43,12 @@ def drop_boilerplate_lines(df: DataFrame, host: str = "source", text: str = "tex
 
 
 ORACLE = f"""
-WITH pages AS (SELECT coalesce(source, '') AS host, list_distinct(list_filter(list_transform(string_split(text, chr(10)), x -> trim(x, ' ')), x -> x <> '')) AS ls FROM documents),
+WITH pages AS (SELECT coalesce(source, '') AS host, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS ls FROM documents),
 totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
 counts AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(ls) AS line FROM pages) GROUP BY host, line),
 often AS (SELECT host, list(line) AS ls FROM counts JOIN totals USING (host) WHERE n >= {MIN_PAGES} AND n > {RATIO} * pages GROUP BY host),
 cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
-               list_filter(string_split(text, chr(10)), x -> trim(x, ' ') = '' OR NOT coalesce(list_contains(ls, trim(x, ' ')), false)) AS kept
+               list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '' OR NOT coalesce(list_contains(ls, trim(x, ' ')), false)) AS kept
         FROM documents LEFT JOIN often ON often.host = coalesce(source, ''))
 SELECT doc_id, array_to_string(kept, chr(10)) AS text, coalesce(len(lines), 0)::INT AS n_lines, coalesce(len(lines) - len(kept), 0)::INT AS n_dropped FROM cut
 """
