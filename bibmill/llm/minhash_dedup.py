@@ -9,8 +9,14 @@ K. Two documents agree on a coordinate with the probability of their weighted
 Jaccard similarity. ROWS coordinates make a band; at a similarity of 0.8 one of
 20 bands of 4 agrees with a probability above 0.9999.
 
-Documents of one band value are candidates. Each is compared exactly with the
-value's leader, the member that meets most others; what this joins is one
+Documents of one band value are candidates. Two bounds tell which of them can have
+a partner at all: of a pair's coordinates so many must agree that a document with
+too many darts of its own has none (by MARGIN standard deviations, far beyond what
+the bands miss); and what a document shares with no other can't be in common, so
+sizes less such shingles bound the similarity of a pair exactly. Sharing a passage
+or being a distant copy of one text therefore costs no comparisons.
+
+The rest is compared exactly with the value's leader, the member that meets most others; what this joins is one
 component. Members left in different components are compared in further rounds
 and at last pair by pair, so no link is lost and yet a large group of copies
 costs one comparison for each member.
@@ -33,7 +39,7 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 K = BANDS * ROWS
 LOWEST, HIGHEST, MOST_DARTS = 2.0**-18, 24.0, 16.0
 CHUNK, MEMO = 400_000, 500_000
-ROUNDS = 4
+ROUNDS, MARGIN = 4, 5.0
 WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 U = np.uint64
 
@@ -167,7 +173,7 @@ def chunks(texts: list[str]) -> Iterator[slice]:
 
 
 def sign(df: DataFrame, weighted: bool) -> DataFrame:
-    """_rid, size (distinct shingles), bands: a hash of each band, for texts with words."""
+    """_rid, darts (32 bits of each), bands: a hash of each band, for texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,9 +188,9 @@ def sign(df: DataFrame, weighted: bool) -> DataFrame:
                     for k in range(ROWS):
                         values = mix(values * U(0x9E3779B97F4A7C15) ^ darts[:, :, k])
                 has = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, n).take(pa.array(has)), pa.array(size[has]), pa.array(list(values[has].view(np.int64)), pa.list_(pa.int64()))], [RID, "size", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, n).take(pa.array(has)), pa.array(list(darts[has].reshape(-1, K).astype(np.uint32).view(np.int32)), pa.list_(pa.int32())), pa.array(list(values[has].view(np.int64)), pa.list_(pa.int64()))], [RID, "darts", "bands"])
 
-    return df.select(RID, "_text").mapInArrow(run, f"{RID} long, size long, bands array<long>")
+    return df.select(RID, "_text").mapInArrow(run, f"{RID} long, darts array<int>, bands array<long>")
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
@@ -223,6 +229,29 @@ def similar(pairs: DataFrame, sets: DataFrame, weighted: bool, similarity: float
     return both.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a long, b long")
 
 
+def meetings(own: DataFrame) -> DataFrame:
+    """_rid, band, value, n for the values that n > 1 documents have."""
+    counts = own.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    return own.select(RID, "band", "value").join(counts, ["band", "value"])
+
+
+def shared_darts(signed: DataFrame, who: DataFrame, similarity: float) -> DataFrame:
+    """Those of who whose darts others have too, as often as a partner would make sure."""
+    least = K * similarity - MARGIN * (K * similarity * (1 - similarity)) ** 0.5
+    darts = signed.join(who, RID, "left_semi").select(RID, F.posexplode("darts").alias("at", "dart"))
+    single = darts.groupBy("at", "dart").agg(F.count("*").alias("n"), F.min(RID).alias(RID)).where("n = 1").groupBy(RID).agg(F.count("*").alias("alone"))
+    return who.join(single, RID, "left").where(K - F.coalesce("alone", F.lit(0)) >= least).select(RID)
+
+
+def shared_sizes(sets: DataFrame, weighted: bool, similarity: float) -> DataFrame:
+    """_rid, size, shared: the weight of all shingles, and of those that others have
+    too; only where what is shared is enough for a partner."""
+    each = sets.select(RID, F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select(RID, "x.shingles", (F.col("x.counts") if weighted else F.lit(1)).cast("long").alias("w"))
+    single = each.groupBy("shingles").agg(F.count("*").alias("n"), F.min(RID).alias(RID), F.min("w").alias("w")).where("n = 1").groupBy(RID).agg(F.sum("w").alias("alone"))
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) if weighted else F.size("shingles").cast("long")
+    return sets.select(RID, size.alias("size")).join(single, RID, "left").select(RID, "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= similarity * F.col("size"))
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """df with _rid and _class: the least _rid that links of similarity or more
     reach, over words shingled by five. weighted counts a shingle as often as it
@@ -231,22 +260,26 @@ def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = S
     scratch = Scratch(df.sparkSession)
     rows = with_row_id(df).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     texts = rows.select(RID, F.xxhash64("_text").alias("h1"), F.xxhash64(F.reverse("_text"), F.lit(7)).alias("h2"))
-    first = texts.groupBy("h1", "h2").agg(F.min(RID).alias("first"))
+    first = scratch.cut(texts.groupBy("h1", "h2").agg(F.min(RID).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     copies = scratch.cut(texts.join(first, ["h1", "h2"]).where(F.col(RID) != F.col("first")).select(RID, "first"), "copies")
-    signed = scratch.cut(sign(rows, weighted), "signed")
-    own = signed.join(copies.select(RID), RID, "left_anti")
-    spread = own.select(RID, "size", F.posexplode("bands").alias("band", "value"))
-    counts = spread.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.cut(spread.join(counts, ["band", "value"]), "met")
-    wanted = scratch.cut(met.groupBy(RID).agg(F.sum("n").alias("meets")), "wanted")
-    sets = scratch.cut(shingle_sets(rows.select(RID, "_text").join(wanted.select(RID), RID, "left_semi")), "sets")
+    signed = scratch.cut(sign(rows.join(copies.select(RID), RID, "left_anti"), weighted), "signed")
+    spread = signed.select(RID, F.posexplode("bands").alias("band", "value"))
+    met = scratch.cut(meetings(spread), "met")
+    able = scratch.cut(shared_darts(signed, met.select(RID).distinct(), similarity), "able")
     scratch.drop(signed)
+    sets = scratch.cut(shingle_sets(rows.select(RID, "_text").join(able, RID, "left_semi")), "sets")
+    sizes = scratch.cut(shared_sizes(sets, weighted, similarity), "sizes")
+    scratch.release()
+    pruned = scratch.cut(meetings(met.join(sizes.select(RID), RID, "left_semi")).join(sizes, RID), "pruned")
+    scratch.drop(met, first, able)
+    met = pruned
+    wanted = scratch.cut(met.groupBy(RID).agg(F.sum("n").alias("meets")), "wanted")
 
     members = met.join(wanted, RID)
     links, roots, old = None, None, None
     for k in range(ROUNDS + 1):
         if k:
-            tied = met.join(roots, F.col(RID) == F.col("node"), "left").select(RID, "size", "band", "value", "n", F.coalesce("root", RID).alias("root"))
+            tied = met.join(roots, F.col(RID) == F.col("node"), "left").select(RID, "size", "shared", "band", "value", "n", F.coalesce("root", RID).alias("root"))
             split = tied.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
             left = scratch.cut(tied.join(split.select("band", "value"), ["band", "value"], "left_semi"), "left")
             sums = left.groupBy("band", "value", "root").agg(F.count("*").alias("c")).groupBy("band", "value").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
@@ -254,20 +287,22 @@ def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = S
             if not open_:
                 break
             members = left.join(wanted, RID)
-        close = F.least("size", "_size") >= similarity * F.greatest("size", "_size") if not weighted else F.lit(True)
-        if k and (k == ROUNDS or cross <= 8 * open_):  # all that is left, once
-            other = left.select("band", "value", F.col(RID).alias("_b"), F.col("size").alias("_size"), F.col("root").alias("_root"))
+        most = F.least("shared", "_shared")
+        close = most >= similarity * (F.col("size") + F.col("_size") - most)
+        if k and (k == ROUNDS or few or cross <= 8 * open_):  # all that is left, once
+            other = left.select("band", "value", F.col(RID).alias("_b"), F.col("size").alias("_size"), F.col("shared").alias("_shared"), F.col("root").alias("_root"))
             pairs, last = left.join(other, ["band", "value"]).where("root < _root").where(close).select(F.col(RID).alias("a"), F.col("_b").alias("b")), True
         else:
             # each round's leader is the one of most meetings that isn't in the component of the last round's leader
-            pick = F.struct("meets", (-F.col(RID)).alias("r"), "size", *(["root"] if k else []))
+            pick = F.struct("meets", (-F.col(RID)).alias("r"), "size", "shared", *(["root"] if k else []))
             among = members if not k else members.join(old, ["band", "value"], "left").where("_old is null or root <> _old")
-            leaders = scratch.cut(among.groupBy("band", "value").agg(F.max(pick).alias("x")).select("band", "value", (-F.col("x.r")).alias("b"), F.col("x.size").alias("_size"), *([F.col("x.root").alias("_root")] if k else [])), "leaders")
+            leaders = scratch.cut(among.groupBy("band", "value").agg(F.max(pick).alias("x")).select("band", "value", (-F.col("x.r")).alias("b"), F.col("x.size").alias("_size"), F.col("x.shared").alias("_shared"), *([F.col("x.root").alias("_root")] if k else [])), "leaders")
             old = leaders.select("band", "value", F.col("_root" if k else "b").alias("_old"))
             pairs = members.join(leaders, ["band", "value"]).where(f"{RID} <> b" + " and root <> _root" * bool(k)).where(close).select(F.col(RID).alias("a"), "b")
             last = False
         pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         new = scratch.cut(similar(pairs, sets, weighted, similarity), "links")
+        few = new.count() * 100 < pairs.count()  # leaders find hardly any more: the rest at once
         links = new if links is None else links.unionByName(new)
         roots = components(links, scratch)
         if not k:  # the next leader must lie outside the component, which is known only now
