@@ -29,7 +29,7 @@ from tokenizers.models import BPE
 
 from .word_encoder import BYTES
 
-MEMO = 700_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
