@@ -108,7 +108,9 @@ def test_split_and_detect(spark):
     for raw, want in [("", "unknown"), ("10.1000/a\ndoi: 10.1000/b", "doi_list"), ("@book{x, y={z}}", "bibtex"), ("TY  - JOUR", "ris"), ("1. A\n2. B", "numbered"), ("a\n\nb", "blank_line"), ("plain text", "plain")]:
         assert one(spark, detect.detect_format, raw) == want
     assert one(spark, split.choose_split, "First one here is.\n\nSecond one here is.")["blocks"] == ["First one here is.", "Second one here is."]
-    assert one(spark, split.opener_score, "[1] Smith, J. 2001") == 1.0
+    assert one(spark, split.opener_score, "[1] Smith, J. A title of some length. 2001") == 1.0
+    assert one(spark, split.opener_score, "[1] Smith, J. 2001") == pytest.approx(0.8)  # short
+    assert one(spark, split.opener_score, "and the rest of it, vol. 3, in lower case") == 0.0
 
 
 def test_render(spark):
