@@ -31,6 +31,8 @@ SEGMENT_IDS = 1 << 17
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNTS = np.array([1] + [n for n, _ in SELECTORS], np.int64)
 U = np.uint64
+#: The first id that each selector has too few bits for.
+LIMITS = np.array([1 << bits for _, bits in SELECTORS], U)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,17 +41,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = len(ids)
     if not total:
         return np.zeros(0, U), np.zeros(0, U)
-    place = np.arange(total)
-    room = np.minimum((place // BLOCK + 1) * BLOCK, total) - place
-    chosen = np.zeros(total, np.int8)
-    for k in range(len(SELECTORS), 0, -1):  # a later one holds more ids and wins
-        n, bits = SELECTORS[k - 1]
-        big = np.flatnonzero(ids >= U(1) << U(bits)) if bits < 60 else np.flatnonzero(ids >> U(60))
-        if len(big) > total - min(n, total):
-            continue
-        at = np.searchsorted(big, place) if len(big) < total // 64 else np.concatenate([[0], np.cumsum(np.isin(place, big, assume_unique=True))[:-1]])
-        free = np.append(big, total + 64)[at] - place
-        chosen[free >= np.minimum(n, room)] = k
+    room = np.minimum((np.arange(total) // BLOCK + 1) * BLOCK, total) - np.arange(total)
+    # each block in a row of its own, with zeros behind it that any selector holds
+    blocks = -(-total // BLOCK)
+    rows = np.zeros((blocks, BLOCK + int(COUNTS.max())), np.int8)
+    rows[:, :BLOCK] = np.pad(np.searchsorted(LIMITS, ids, side="right"), (0, blocks * BLOCK - total)).reshape(blocks, BLOCK)
+    least = rows[:, :BLOCK].ravel()[:total].min()
+    chosen = np.zeros((blocks, BLOCK), np.int8)
+    big = np.zeros((blocks, rows.shape[1] + 1), np.int16)
+    for k in range(int(least), len(SELECTORS)):  # the fewest bits that any id needs, and up
+        n = SELECTORS[k][0]
+        np.cumsum(rows > k, axis=1, out=big[:, 1:])
+        # none too big in the next n; the selector of the most ids wins
+        chosen[(chosen == 0) & (big[:, n : n + BLOCK] == big[:, :BLOCK])] = k + 1
+    chosen = chosen.ravel()[:total]
     step = np.minimum(COUNTS[chosen], room).tolist()
     firsts, i = [], 0
     while i < total:
