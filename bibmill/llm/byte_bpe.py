@@ -37,12 +37,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class ByteBpe:
-    def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
+class ByteTable:
+    """Each id's bytes, which is all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids.tolist()])
+
+
+class ByteBpe(ByteTable):
+    def __init__(self, path: str, pattern: str):
+        ranks = read_ranks(path)
+        super().__init__(ranks)
         shown = {t: "".join(BYTES[b] for b in t) for t in ranks}
         merges = [(shown[t[:i]], shown[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.tokenizer = Tokenizer(BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
@@ -98,11 +108,9 @@ class ByteBpe:
         ends = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()])
         return list(zip([0, *ends[:-1].tolist()], ends.tolist())) if len(ends) else []
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids.tolist()])
-
 
 _loaded: dict[tuple[str, str], ByteBpe] = {}
+_tables: dict[str, ByteTable] = {}
 
 
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
@@ -111,6 +119,12 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return _loaded[path, pattern]
 
 
+def byte_table(path: str) -> ByteTable:
+    if path not in _tables:
+        _tables[path] = ByteTable(read_ranks(path))
+    return _tables[path]
+
+
 def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """(id, ids: the ids' bytes, and with offsets each token's [start, end) in the
     text's bytes). A null text is empty and has no ids."""
@@ -128,13 +142,13 @@ def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "id long, ids binary" + ", offsets array<struct<start:int,end:int>>" * offsets)
 
 
-def decode(df: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(df: DataFrame, ranks: str) -> DataFrame:
     """(id, ids, bytes: what the ids stand for) from encode()'s rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(ranks, pattern)
+        table = byte_table(ranks)
         for b in batches:
-            out = [bpe.decode(np.frombuffer(x, "<u4")) for x in b.column(1).to_pylist()]
+            out = [table.decode(np.frombuffer(x, "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "ids": b.column(1), "bytes": pa.array(out, pa.binary())})
 
     return df.select("id", "ids").mapInArrow(run, "id long, ids binary, bytes binary")
@@ -142,5 +156,5 @@ def decode(df: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 def round_trip(df: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
-    out = decode(encode(df, ranks, pattern), ranks, pattern)
+    out = decode(encode(df, ranks, pattern), ranks)
     return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
