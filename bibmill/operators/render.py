@@ -7,31 +7,49 @@ from pyspark.sql import functions as F
 
 from ..functions.text import initials, sentence_case, title_case
 
-STYLES = ["apa7", "mla9", "vancouver", "ieee", "harvard"]
+STYLES = ["apa7", "mla9", "chicago-author-date", "chicago-notes-bib", "vancouver", "ama", "ieee", "harvard", "acs"]
+#: Each style's name forms (first, others), what joins two, all but the last, and the last of more;
+#: the number of authors from which the list is cut, how many stay, and what follows them.
+LISTS = {
+    "apa7": ("inverted initials", "inverted initials", " & ", ", ", ", & ", 21, 19, ", … "),
+    "mla9": ("inverted", "direct", ", and ", ", ", ", and ", 3, 1, ", et al."),
+    "chicago-author-date": ("inverted", "direct", ", and ", ", ", ", and ", 4, 1, " et al."),
+    "chicago-notes-bib": ("direct", "direct", ", and ", ", ", ", and ", 4, 1, " et al."),
+    "vancouver": ("bare initials", "bare initials", ", ", ", ", ", ", 7, 6, ", et al."),
+    "ama": ("bare initials", "bare initials", ", ", ", ", ", ", 7, 6, ", et al"),
+    "ieee": ("initials first", "initials first", " and ", ", ", ", and ", None, None, None),
+    "harvard": ("inverted initials", "inverted initials", " and ", ", ", ", and ", 3, 1, ", et al."),
+    "acs": ("inverted initials", "inverted initials", "; ", "; ", "; ", None, None, None),
+}
 
 
-def _listed(names: Column, pair: str, last: str) -> Column:
-    n = F.size(names)
-    return F.when(n == 0, "Unknown author").when(n == 1, names[0]).when(n == 2, F.concat(F.get(names, 0), F.lit(pair), F.get(names, 1))).otherwise(F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(last), F.element_at(names, -1)))
+def _name(form: str, p: Column) -> Column:
+    given = F.nullif(F.trim(p["given"]), F.lit(""))
+    if form == "inverted":
+        return F.concat_ws(", ", p["family"], given)
+    if form == "direct":
+        return F.concat_ws(" ", given, p["family"])
+    short = F.nullif(initials(given, form != "bare initials"), F.lit(""))
+    if form == "initials first":
+        return F.concat_ws(" ", short, p["family"])
+    return F.concat_ws(" " if form == "bare initials" else ", ", p["family"], short)
 
 
 def authors(style: str, people: Column) -> Column:
+    """The author list of a style; a null or empty list is an unknown author."""
+    first, rest, pair, between, last, cut, keep, tail = LISTS[style]
     people = F.coalesce(people, F.array().cast("array<struct<family:string,given:string>>"))
-    n = F.size(people)
-    last_first = F.transform(people, lambda p: F.concat_ws(", ", p["family"], F.nullif(initials(p["given"]), F.lit(""))))
-    if style == "apa7":
-        short = F.concat(F.array_join(F.slice(last_first, 1, 19), ", "), F.lit(", … "), F.element_at(last_first, -1))
-        return F.when(n > 20, short).otherwise(_listed(last_first, " & ", ", & "))
-    if style == "mla9":
-        full = F.transform(people, lambda p, i: F.when(i == 0, F.concat_ws(", ", p["family"], p["given"])).otherwise(F.concat_ws(" ", p["given"], p["family"])))
-        return F.when(n > 2, F.concat(full[0], F.lit(", et al"))).otherwise(_listed(full, ", and ", ", and "))
-    if style == "vancouver":
-        flat = F.transform(people, lambda p: F.concat_ws(" ", p["family"], F.nullif(initials(p["given"], False), F.lit(""))))
-        return F.when(n == 0, "Unknown author").when(n > 6, F.concat(F.array_join(F.slice(flat, 1, 6), ", "), F.lit(", et al"))).otherwise(F.array_join(flat, ", "))
-    if style == "ieee":
-        first = F.transform(people, lambda p: F.concat_ws(" ", F.nullif(initials(p["given"]), F.lit("")), p["family"]))
-        return F.when(n > 6, F.concat(first[0], F.lit(" et al."))).otherwise(_listed(first, " and ", ", and "))
-    return F.when(n > 3, F.concat(last_first[0], F.lit(" et al."))).otherwise(_listed(last_first, " and ", " and "))
+    names = F.transform(people, lambda p: _name(rest, p)) if first == rest else F.transform(people, lambda p, i: F.when(i == 0, _name(first, p)).otherwise(_name(rest, p)))
+    n, end = F.size(names), F.element_at(names, -1)
+    out = F.when(n == 0, "Unknown author").when(n == 1, F.get(names, F.lit(0))).when(n == 2, F.concat(F.get(names, F.lit(0)), F.lit(pair), end))
+    if cut:
+        out = out.when(n >= cut, F.concat(F.array_join(F.slice(names, 1, keep), between), F.lit(tail), end if style == "apa7" else F.lit("")))
+    return out.otherwise(F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), between), F.lit(last), end))
+
+
+def _stopped(c: Column) -> Column:
+    """Ends in one full stop."""
+    return F.when(c.endswith("."), c).otherwise(F.concat(c, F.lit(".")))
 
 
 def citation(style: str, people: Column, title: Column, year: Column, container: Column, doi: Column) -> Column:
@@ -40,9 +58,15 @@ def citation(style: str, people: Column, title: Column, year: Column, container:
     if style == "apa7":
         return F.concat_ws(" ", who, F.concat(F.lit("("), when, F.lit(").")), F.concat(sentence_case(title), F.lit(".")), F.concat(container, F.lit(".")), link)
     if style == "mla9":
-        return F.concat_ws(" ", F.concat(who, F.lit(".")), F.concat(F.lit('"'), title_case(title), F.lit('."')), F.concat(F.concat_ws(", ", container, when), F.lit(".")), link)
-    if style == "vancouver":
-        return F.concat_ws(" ", F.concat(who, F.lit(".")), F.concat(sentence_case(title), F.lit(".")), F.concat(container, F.lit(".")), F.concat(when, F.lit(".")), link)
+        return F.concat_ws(" ", _stopped(who), F.concat(F.lit('"'), title_case(title), F.lit('."')), F.concat(F.concat_ws(", ", container, when), F.lit(".")), link)
+    if style in ("vancouver", "ama"):
+        return F.concat_ws(" ", _stopped(who), F.concat(sentence_case(title), F.lit(".")), F.concat(container, F.lit(".")), F.concat(when, F.lit(".")), link)
+    if style == "acs":
+        return F.concat_ws(" ", who, _stopped(title_case(title)), F.concat(F.concat_ws(" ", container, when), F.lit(".")), link)
+    if style == "chicago-author-date":
+        return F.concat_ws(" ", _stopped(who), F.concat(when, F.lit(".")), F.concat(F.lit('"'), title_case(title), F.lit('."')), F.concat(container, F.lit(".")), link)
+    if style == "chicago-notes-bib":
+        return F.concat(F.concat_ws(", ", who, F.concat(F.lit('"'), title_case(title), F.lit('"')), F.concat_ws(" ", container, F.concat(F.lit("("), when, F.lit(")"))), link), F.lit("."))
     if style == "ieee":
         return F.concat(F.concat_ws(", ", who, F.concat(F.lit('"'), sentence_case(title), F.lit(',"')), container, when, link), F.lit("."))
     return F.concat_ws(" ", who, F.concat(F.lit("("), when, F.lit(")")), F.concat(F.lit("'"), sentence_case(title), F.lit("',")), F.concat(container, F.lit(".")), link)

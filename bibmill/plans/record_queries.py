@@ -31,6 +31,25 @@ def render_citations(spark, sf_dir):
     return records(spark, sf_dir).select("o_orderkey", *[render.citation(s, *args).alias(s) for s in ("apa7", "vancouver")])
 
 
+# each record gets as many authors as its key modulo 23 says
+@query("""SELECT o_orderkey,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n = 1 THEN i[1] WHEN n = 2 THEN i[1] || ' & ' || i[2] WHEN n > 20 THEN array_to_string(i[1:19], ', ') || ', … ' || i[n] ELSE array_to_string(i[1:n - 1], ', ') || ', & ' || i[n] END AS apa7,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n = 1 THEN v[1] WHEN n = 2 THEN v[1] || ', and ' || d[2] ELSE v[1] || ', et al.' END AS mla9,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n = 1 THEN v[1] WHEN n = 2 THEN v[1] || ', and ' || d[2] WHEN n = 3 THEN v[1] || ', ' || d[2] || ', and ' || d[3] ELSE v[1] || ' et al.' END AS chicago_author_date,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n = 1 THEN d[1] WHEN n <= 3 THEN array_to_string(d[1:n - 1], ', ') || ', and ' || d[n] ELSE d[1] || ' et al.' END AS chicago_notes_bib,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n > 6 THEN array_to_string(b[1:6], ', ') || ', et al.' ELSE array_to_string(b, ', ') END AS vancouver,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n > 6 THEN array_to_string(b[1:6], ', ') || ', et al' ELSE array_to_string(b, ', ') END AS ama,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n = 1 THEN e[1] WHEN n = 2 THEN e[1] || ' and ' || e[2] ELSE array_to_string(e[1:n - 1], ', ') || ', and ' || e[n] END AS ieee,
+ CASE WHEN n = 0 THEN 'Unknown author' WHEN n = 1 THEN i[1] WHEN n = 2 THEN i[1] || ' and ' || i[2] ELSE i[1] || ', et al.' END AS harvard,
+ CASE WHEN n = 0 THEN 'Unknown author' ELSE array_to_string(i, '; ') END AS acs
+FROM (SELECT o_orderkey, n, [f || ', A. B.' for f in fs] AS i, [f || ', Ann Bo' for f in fs] AS v, ['Ann Bo ' || f for f in fs] AS d, [f || ' AB' for f in fs] AS b, ['A. B. ' || f for f in fs] AS e
+ FROM (SELECT o_orderkey, o_orderkey % 23 AS n, [o_orderpriority || '-' || k for k in range(1, o_orderkey % 23 + 1)] AS fs FROM orders))""")
+def author_lists(spark, sf_dir):
+    number = F.expr("if(o_orderkey % 23 = 0, cast(array() as array<long>), sequence(1L, o_orderkey % 23))")
+    people = F.transform(number, lambda k: F.struct(F.concat_ws("-", "o_orderpriority", k.cast("string")).alias("family"), F.lit("Ann Bo").alias("given")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[render.authors(s, people).alias(s.replace("-", "_")) for s in render.STYLES])
+
+
 @query("SELECT o_orderkey, 'article' AS entry_type, lower(c_name) || year(o_orderdate) AS entry_key, 'Notes On The ' || c_mktsegment || ' trade' AS title, year(o_orderdate)::VARCHAR AS year FROM orders JOIN customer ON o_custkey = c_custkey")
 def bibtex_round_trip(spark, sf_dir):
     """Records written as BibTeX and read back."""

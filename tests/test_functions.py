@@ -121,6 +121,13 @@ def test_render(spark):
     assert got[0]["vancouver"] == "Smith AB, Lee C. On things. J. 2001. https://doi.org/10.1/x"
     assert got[0]["ieee"] == 'A. B. Smith and C. Lee, "On things,", J, 2001, https://doi.org/10.1/x.'
     assert got[1]["apa7"] == "Unknown author (n.d.). T."
+    assert got[0]["ama"] == got[0]["vancouver"]
+    assert got[0]["acs"] == "Smith, A. B.; Lee, C. On Things. J 2001. https://doi.org/10.1/x"
+    assert got[0]["chicago-author-date"] == 'Smith, Ann B, and Cy Lee. 2001. "On Things." J. https://doi.org/10.1/x'
+    assert got[0]["chicago-notes-bib"] == 'Ann B Smith, and Cy Lee, "On Things", J (2001), https://doi.org/10.1/x.'
+    many = spark.createDataFrame([([(x, "Q") for x in "ABC"],)], "people array<struct<family:string,given:string>>")
+    assert many.select(render.authors("mla9", F.col("people"))).first()[0] == "A, Q, et al."
+    assert many.select(render.authors("harvard", F.col("people"))).first()[0] == "A, Q., et al."
 
 
 def test_record_near_duplicates(spark):
