@@ -19,21 +19,24 @@ from .common import Scratch
 RATIO, MIN_PAGES = 0.1, 5
 
 
-def boilerplate(df: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """_host, _lines: the hashes of the host's boilerplate lines."""
+def boilerplate(df: DataFrame, host: str, text: str, ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
+    """_host, _lines: the hashes of the host's boilerplate lines. copies_once:
+    pages of a host with the same lines count as one page, in both counts."""
     hashed = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
     pages = df.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), hashed.alias("_lines"))
+    if copies_once:
+        pages = pages.distinct()
     totals = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
     counts = pages.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
     often = counts.where(F.col("_n") >= min_pages).join(totals, "_host").where(F.col("_n") > ratio * F.col("_pages"))
     return often.groupBy("_host").agg(F.array_sort(F.collect_list("_line")).alias("_lines"))
 
 
-def drop_boilerplate_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """df with boilerplate lines taken out of text, and n_lines and n_dropped.
     A null text stays null with 0 lines; a null host is a host of its own, the
-    same as an empty one; equal rows are pages of their own."""
-    found = Scratch(df.sparkSession).cut(boilerplate(df, host, text, ratio, min_pages), "boilerplate")
+    same as an empty one; equal rows are pages of their own, unless copies_once."""
+    found = Scratch(df.sparkSession).cut(boilerplate(df, host, text, ratio, min_pages, copies_once), "boilerplate")
     rows = df.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(found, "_host", "left")
     lines = F.split(text, "\n")
     kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_lines", F.xxhash64(F.trim(x)))))

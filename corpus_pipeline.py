@@ -30,7 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_text(line_dedup.drop_boilerplate_lines(docs))
+    """Copies count as one page: near_copies comes later, and the body of a large
+    group of copies must not count as boilerplate."""
+    return with_text(line_dedup.drop_boilerplate_lines(docs, copies_once=True))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,3 +18,19 @@ def test_pipeline(spark):
             assert rows.count() <= n, name
             n = rows.count()
     assert rows.where("length > 4096").count() == 0 and rows.select("doc_id").distinct().count() == n
+
+
+def test_copies_keep_their_text(spark):
+    """A group of copies larger than a tenth of its source: lines takes only the
+    menu, and near_copies keeps one whole body of each group."""
+    bodies = ["\n".join(f"{who} body line {i} of its own text {i * 7}" for i in range(12)) for who in ("first", "second")]
+    own = ["\n".join(f"page {k} line {i} says {k * i + k}" for i in range(12)) for k in range(20)]
+    texts = [bodies[0]] * 20 + [bodies[1]] * 10 + own
+    docs = spark.createDataFrame([(i, "menu\n" + t, "en", "s", len(t) + 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    base = spark.conf.get("spark.checkpoint.dir")
+    for k, stage in enumerate((corpus_pipeline.lines, corpus_pipeline.near_copies)):
+        stage(spark, docs, None).write.mode("overwrite").parquet(f"{base}/copies-{k}")
+        docs = spark.read.parquet(f"{base}/copies-{k}")
+        if not k:
+            assert sorted(r["text"] for r in docs.collect()) == sorted(texts)
+    assert sorted(r["text"] for r in docs.collect()) == sorted(bodies + own)
