@@ -54,11 +54,12 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """Adds a row number that is the same whenever the same table is scanned.
-    doc_id is not trusted as a key: it may be null or occur twice. The input
-    must be a plain scan (or a cut table), so that a recomputed task numbers alike."""
-    return df.withColumn(RID, F.monotonically_increasing_id())
+def with_row_id(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """df with a row number, written once: every later plan reads the numbers from
+    the table. Numbers made anew by each scan hang on how Spark packs the file
+    splits, and so on the cores registered when the plan is made. doc_id is not
+    trusted as a key: it may be null or occur twice."""
+    return scratch.cut(df.withColumn(RID, F.monotonically_increasing_id()), "numbered")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

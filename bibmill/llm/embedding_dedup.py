@@ -60,7 +60,7 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors of different lengths don't link. Equal vectors link. A null vec_id
     links like any other and is never a component_id if the component has another."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    rows = with_row_id(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")))
+    rows = with_row_id(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")), scratch).withColumn("v", F.col("v").cast("array<double>"))
     bad = F.col("v").isNull() | (F.size("v") == 0) | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: x == 0)
     rows = rows.withColumn("h", F.when(F.coalesce(bad, F.lit(True)), None).otherwise(F.sha2(F.to_json(F.struct(F.transform("v", lambda x: x + 0.0).alias("v"))), 256)))
     classes = scratch.cut(rows.where("h is not null").groupBy("h").agg(F.min(RID).alias("cls"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")

@@ -258,7 +258,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = S
     stands; otherwise once. Equal texts are copies, null ones equal empty ones;
     texts without words link only with their copies."""
     scratch = Scratch(df.sparkSession)
-    rows = with_row_id(df).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = with_row_id(df, scratch).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     texts = rows.select(RID, F.xxhash64("_text").alias("h1"), F.xxhash64(F.reverse("_text"), F.lit(7)).alias("h2"))
     first = scratch.cut(texts.groupBy("h1", "h2").agg(F.min(RID).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     copies = scratch.cut(texts.join(first, ["h1", "h2"]).where(F.col(RID) != F.col("first")).select(RID, "first"), "copies")

@@ -284,7 +284,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     instead of the text column. Null texts are empty; equal rows repeat each other;
     texts shorter than LENGTH bytes keep all."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    rows = with_row_id(df).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = with_row_id(df, scratch).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     found = scratch.cut(find_anchors(rows), "anchors")
     counts = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
     met = scratch.cut(found.join(counts.select("gram", (F.col("low") == F.col("high")).alias("same")), "gram"), "repeated")

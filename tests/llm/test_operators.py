@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from bibmill.llm import byte_bpe, embedding_dedup, gif, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, simple8b_output, suffix_dedup
+from bibmill.llm import byte_bpe, common, embedding_dedup, gif, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, simple8b_output, suffix_dedup
 from bibmill.llm.queries import BYTE_BPE, WORD_BPE
 
 RNG = np.random.default_rng(5)
@@ -200,6 +200,32 @@ def test_minhash(docs, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.fixture
+def repacked(spark, monkeypatch):
+    """Every table cut changes how many file splits the next plan's scans make, as
+    executors that join or are lost do."""
+    name, cut = "spark.sql.files.minPartitionNum", common.Scratch.cut
+
+    def other(self, df, label):
+        out = cut(self, df, label)
+        spark.conf.set(name, 1 if spark.conf.get(name, "64") == "64" else 64)
+        return out
+
+    spark.conf.set(name, 64)
+    monkeypatch.setattr(common.Scratch, "cut", other)
+    yield
+    spark.conf.unset(name)
+
+
+def test_suffix_dedup_when_splits_change(docs, repacked):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs.select("doc_id", "text")).collect()}
+    assert got == dict(enumerate(repeats(TEXTS)))
+
+
+def test_minhash_when_splits_change(docs, repacked):
+    test_minhash(docs, docs.where("doc_id < 0"))
+
+
 def test_weighted_signatures_agree_as_weighted_jaccard():
     h = RNG.integers(0, 2**63, 60, dtype=np.uint64)
     a, b = RNG.integers(1, 5, 60).astype(float), RNG.integers(1, 5, 60).astype(float)
