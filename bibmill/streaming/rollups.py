@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """The folder's files of that name, and those that come later."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The table of that name, one file or a folder of them, and files that come later."""
+    path = f"{folder}/{name}"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        rows = stream.parquet(path)
+    else:  # a stream's path must be a folder
+        rows = stream.option("pathGlobFilter", name).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    rows = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    """Of a stream or of a batch; in a batch every replayed event_id counts once."""
+    rows = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
     return rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", "total")
 
 

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from bibmill.plans import oracle_sql, queries
+from bibmill.streaming import rollups
 
 DATA = "/root/testdata/sf0.001"
 
@@ -49,3 +50,21 @@ def test_stream_equals_batch(spark):
     last = max(k[0] for k in want)
     assert got == {k: n for k, n in want.items() if k in got}
     assert {k for k in want if k[0] < last - datetime.timedelta(hours=3)} <= set(got)
+
+
+@pytest.mark.parametrize("files", [None, 3])
+def test_stream_takes_every_event(spark, tmp_path, files):
+    """The last hours too, from one file as from a folder of part files."""
+    folder = DATA
+    if files:
+        folder = str(tmp_path)
+        spark.read.parquet(f"{DATA}/events.parquet").repartition(files).write.parquet(f"{folder}/events.parquet")
+    want = {}
+    for r in spark.read.parquet(f"{DATA}/events.parquet").collect():
+        key = (r["ts"].replace(minute=0, second=0, microsecond=0), r["event_type"])
+        want[key] = want.get(key, 0) + 1
+    got = queries()["stream_hourly_rollup"](spark, folder).collect()
+    assert len(got) == len(want) and {(r["hour"], r["event_type"]): r["n"] for r in got} == want
+    rollups.run_once(rollups.hourly(rollups.read_events(spark, folder)), f"{tmp_path}/out", f"{tmp_path}/state")
+    last = max(k[0] for k in want)
+    assert {k for k in want if k[0] < last - datetime.timedelta(hours=3)} <= {(r["hour"], r["event_type"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
