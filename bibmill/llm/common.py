@@ -5,26 +5,37 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RID = "_rid"
+RID, ROW = "_rid", "_row"
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (a local session, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a
+    local session, whose executors are this machine, may go without: it gets a
+    temporary folder. Elsewhere a missing setting is an error."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
-        told = "file://" + tempfile.mkdtemp(prefix="bibmill-")
-        spark.conf.set("spark.checkpoint.dir", told)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="bibmill-")
+        told = _local[app]
     return told.rstrip("/")
 
 
 class Scratch:
     """Intermediate tables in the shared folder. Writing one cuts the lineage,
-    survives lost executors, and lets Spark drop the shuffle files before it."""
+    survives lost executors, and lets Spark drop the shuffle files before it.
+    Tables that a returned DataFrame reads stay; the others go with drop()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top, self.n = spark, f"{shared_dir(spark)}/bibmill-{uuid.uuid4().hex}", 0
@@ -54,12 +65,40 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def named(c: str) -> Column:
+    return F.col(f"`{c}`")
+
+
 def with_row_id(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """df with a row number, written once: every later plan reads the numbers from
-    the table. Numbers made anew by each scan hang on how Spark packs the file
-    splits, and so on the cores registered when the plan is made. doc_id is not
+    """_rid and _row, written once: a row number, and df's columns as one struct, so
+    that no name of theirs meets one of an operator's own. Every later plan reads the
+    numbers from the table; numbers made anew by each scan hang on how Spark packs the
+    file splits, and so on the cores registered when the plan is made. doc_id is not
     trusted as a key: it may be null or occur twice."""
-    return scratch.cut(df.withColumn(RID, F.monotonically_increasing_id()), "numbered")
+    return scratch.cut(df.select(F.monotonically_increasing_id().alias(RID), F.struct(*map(named, df.columns)).alias(ROW)), "numbered")
+
+
+def back(columns: list[str], *without: str) -> list[Column]:
+    """The columns of _row, but for those that an operator's results replace."""
+    gone = {c.lower() for c in without}
+    return [F.col(ROW)[c].alias(c) for c in columns if c.lower() not in gone]
+
+
+def text_of(text_col: str) -> Column:
+    return F.coalesce(F.col(ROW)[text_col], F.lit(""))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Each batch in runs of rows whose column number text holds at most so many bytes;
+    a row that holds more comes alone."""
+    for b in batches:
+        size = np.nan_to_num(pa.compute.binary_length(b.column(text)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

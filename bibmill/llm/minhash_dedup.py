@@ -1,4 +1,4 @@
-"""MinHash near-dedup by DartMinHash over word shingles.
+"""MinHash near-dedup by DartMinHash over weighted word shingles.
 
 Darts fall on the plane of (element, weight, rank) at random but alike for every
 document, K to a unit of area, each on one of K coordinates. A dart hits a
@@ -16,10 +16,13 @@ the bands miss); and what a document shares with no other can't be in common, so
 sizes less such shingles bound the similarity of a pair exactly. Sharing a passage
 or being a distant copy of one text therefore costs no comparisons.
 
-The rest is compared exactly with the value's leader, the member that meets most others; what this joins is one
-component. Members left in different components are compared in further rounds
-and at last pair by pair, so no link is lost and yet a large group of copies
-costs one comparison for each member.
+The rest is compared exactly with the value's leader, the member that meets most
+others; what this joins is one component, and a large group of copies costs one
+comparison for each member. Values whose members are still apart are then dealt out
+in pairs of blocks of bounded weight. A block pair looks at its pairs of different
+components that both bounds allow, in the first band that they share, counts their
+common shingles in numpy, and gives a spanning forest of links, not pairs. So no
+link is lost, no row stands for a pair, and no task holds a value whole.
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, Scratch, with_row_id
+from .common import RID, Scratch, back, partitions, slices, text_of, with_row_id
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 K = BANDS * ROWS
 LOWEST, HIGHEST, MOST_DARTS = 2.0**-18, 24.0, 16.0
-CHUNK, MEMO = 400_000, 500_000
-ROUNDS, MARGIN = 4, 5.0
+CHUNK, MEMO = 400_000, 300_000
+MARGIN = 5.0
+BLOCK_ROWS, BLOCK_WEIGHT = 256, 1 << 18
 WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 U = np.uint64
 
@@ -112,6 +116,8 @@ def bands() -> Iterator[tuple[float, float]]:
 
 
 def poisson(u: np.ndarray, mean: float) -> np.ndarray:
+    """Poisson numbers by inversion, for a mean of at most MOST_DARTS; past 200 the
+    tail is below what a double can tell from 0."""
     n, term, total = np.zeros(len(u), np.int64), np.exp(-mean), np.exp(-mean)
     todo = np.flatnonzero(u >= total)
     while len(todo):
@@ -123,33 +129,40 @@ def poisson(u: np.ndarray, mean: float) -> np.ndarray:
     return n
 
 
+def regions(heaviest: float, width: float) -> Iterator[tuple[int, int, float, float]]:
+    """The weights up to the heaviest in doubling cells, cut into strips that hold
+    MOST_DARTS at most on average in a rank band so wide: cell, strip, and its ends."""
+    light, heavy, cell = 0.0, 1.0, 0
+    while light < heaviest:
+        strips = max(1, int(np.ceil(K * width * (heavy - light) / MOST_DARTS)))
+        step = (heavy - light) / strips
+        for k in range(strips):
+            if light + k * step < heaviest:
+                yield cell, k, light + k * step, light + (k + 1) * step
+        light, heavy, cell = heavy, 2 * heavy, cell + 1
+
+
 def signatures(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Each document's K darts; 0 on every coordinate for one without elements."""
     out, rank = np.zeros(docs * K, U), np.full(docs * K, np.inf)
     filled = np.zeros(docs, np.int64)
     live = np.arange(len(h))
-    cells = [(0.0, 1.0)]
-    while len(weight) and cells[-1][1] < weight.max():
-        cells.append((cells[-1][1], 2 * cells[-1][1]))
     for band, (low, width) in enumerate(bands()):
         live = live[filled[doc[live]] < K]
         if not len(live):
             break
-        for cell, (light, heavy) in enumerate(cells):
-            at = live if not cell else live[weight[live] > light]
-            if not len(at):
-                break
+        for cell, strip, light, heavy in regions(float(weight[live].max()), width):
+            at = live if not light else live[weight[live] > light]
             with np.errstate(over="ignore"):
-                seed = mix(h[at] ^ salt(band, cell))
+                seed = mix(h[at] ^ salt(band, cell, strip))
                 n = poisson(unit(seed), K * width * (heavy - light))
                 hit = np.flatnonzero(n)
                 n = n[hit]
                 who = np.repeat(at[hit], n)
                 nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
                 dart = mix(np.repeat(seed[hit], n) + (nth.astype(U) + U(1)) * U(0xD1342543DE82EF95))
-                if cell or weight.min() < 1:
-                    ok = light + unit(mix(dart ^ U(0x2545F4914F6CDD1D))) * (heavy - light) < weight[who]
-                    who, dart = who[ok], dart[ok]
+                ok = light + unit(mix(dart ^ U(0x2545F4914F6CDD1D))) * (heavy - light) < weight[who]
+                who, dart = who[ok], dart[ok]
                 place = doc[who] * K + (mix(dart ^ U(0x632BE59BD9B4E019)) % U(K)).astype(np.int64)
                 r = low + width * unit(mix(dart ^ U(0x5851F42D4C957F2D)))
             order = np.lexsort((r, place))
@@ -161,72 +174,57 @@ def signatures(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) ->
     return out.reshape(docs, K)
 
 
-def chunks(texts: list[str]) -> Iterator[slice]:
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
-            size += len(texts[to])
-            to += 1
-        yield slice(at, to)
-        at = to
+def elements(h: np.ndarray, count: np.ndarray, doc: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and documents of a set whose common elements are the common weight: with
+    weights, a shingle that stands n times is n elements, its first to its n-th place."""
+    if not weighted:
+        return h, doc
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out = np.repeat(h, count)
+    with np.errstate(over="ignore"):
+        out = np.where(nth > 0, mix(out + nth.astype(U) * U(0x9E3779B97F4A7C15)), out)
+    doc = np.repeat(doc, count)
+    order = np.lexsort((out, doc))
+    return out[order], doc[order]
 
 
 def sign(df: DataFrame, weighted: bool) -> DataFrame:
     """_rid, darts (32 bits of each), bands: a hash of each band, for texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in chunks(texts):
-                n = part.stop - part.start
-                h, count, doc = shingles(texts[part])
-                size = np.bincount(doc, minlength=n)
-                darts = signatures(h, count.astype(np.float64) if weighted else np.ones(len(h)), doc, n).reshape(n, BANDS, ROWS)
-                values = np.zeros((n, BANDS), U)
-                with np.errstate(over="ignore"):
-                    for k in range(ROWS):
-                        values = mix(values * U(0x9E3779B97F4A7C15) ^ darts[:, :, k])
-                has = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, n).take(pa.array(has)), pa.array(list(darts[has].reshape(-1, K).astype(np.uint32).view(np.int32)), pa.list_(pa.int32())), pa.array(list(values[has].view(np.int64)), pa.list_(pa.int64()))], [RID, "darts", "bands"])
+        for b in slices(batches, 1, CHUNK):
+            n = b.num_rows
+            h, count, doc = shingles(b.column(1).to_pylist())
+            size = np.bincount(doc, minlength=n)
+            darts = signatures(h, count.astype(np.float64) if weighted else np.ones(len(h)), doc, n).reshape(n, BANDS, ROWS)
+            values = np.zeros((n, BANDS), U)
+            with np.errstate(over="ignore"):
+                for k in range(ROWS):
+                    values = mix(values * U(0x9E3779B97F4A7C15) ^ darts[:, :, k])
+            has = np.flatnonzero(size)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(list(darts[has].reshape(-1, K).astype(np.uint32).view(np.int32)), pa.list_(pa.int32())), pa.array(list(values[has].view(np.int64)), pa.list_(pa.int64()))], [RID, "darts", "bands"])
 
     return df.select(RID, "_text").mapInArrow(run, f"{RID} long, darts array<int>, bands array<long>")
 
 
-def shingle_sets(df: DataFrame) -> DataFrame:
-    """_rid, shingles, counts."""
+def element_sets(df: DataFrame, weighted: bool) -> DataFrame:
+    """_rid, items: the sorted elements of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in chunks(texts):
-                n = part.stop - part.start
-                h, count, doc = shingles(texts[part])
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, n), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(count.astype(np.int32)))], [RID, "shingles", "counts"])
-
-    return df.select(RID, "_text").mapInArrow(run, f"{RID} long, shingles array<long>, counts array<int>")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, weighted: bool, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is high enough."""
-    x = sets.select(F.col(RID).alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    y = sets.select(F.col(RID).alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
-    if not weighted:
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        for b in slices(batches, 1, CHUNK):
+            h, doc = elements(*shingles(b.column(1).to_pylist()), weighted)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], [RID, "items"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = []
-            for r in t.to_pylist():
-                left = dict(zip(r["sa"], r["ca"]))
-                common = sum(min(n, left.get(s, 0)) for s, n in zip(r["sb"], r["cb"]))
-                ok.append(common >= similarity * (sum(r["ca"]) + sum(r["cb"]) - common))
-            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return df.select(RID, "_text").mapInArrow(run, f"{RID} long, items array<long>")
 
-    return both.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(run, "a long, b long")
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity is high enough."""
+    x = sets.select(F.col(RID).alias("a"), F.col("items").alias("sa"))
+    y = sets.select(F.col(RID).alias("b"), F.col("items").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def meetings(own: DataFrame) -> DataFrame:
@@ -243,73 +241,165 @@ def shared_darts(signed: DataFrame, who: DataFrame, similarity: float) -> DataFr
     return who.join(single, RID, "left").where(K - F.coalesce("alone", F.lit(0)) >= least).select(RID)
 
 
-def shared_sizes(sets: DataFrame, weighted: bool, similarity: float) -> DataFrame:
-    """_rid, size, shared: the weight of all shingles, and of those that others have
+def shared_sizes(sets: DataFrame, similarity: float) -> DataFrame:
+    """_rid, size, shared: the number of all elements, and of those that others have
     too; only where what is shared is enough for a partner."""
-    each = sets.select(RID, F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select(RID, "x.shingles", (F.col("x.counts") if weighted else F.lit(1)).cast("long").alias("w"))
-    single = each.groupBy("shingles").agg(F.count("*").alias("n"), F.min(RID).alias(RID), F.min("w").alias("w")).where("n = 1").groupBy(RID).agg(F.sum("w").alias("alone"))
-    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) if weighted else F.size("shingles").cast("long")
+    each = sets.select(RID, F.explode("items").alias("item"))
+    single = each.groupBy("item").agg(F.count("*").alias("n"), F.min(RID).alias(RID)).where("n = 1").groupBy(RID).agg(F.count("*").alias("alone"))
+    size = F.size("items").cast("long")
     return sets.select(RID, size.alias("size")).join(single, RID, "left").select(RID, "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= similarity * F.col("size"))
 
 
-def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """df with _rid and _class: the least _rid that links of similarity or more
-    reach, over words shingled by five. weighted counts a shingle as often as it
-    stands; otherwise once. Equal texts are copies, null ones equal empty ones;
-    texts without words link only with their copies."""
+def may_be_similar(size, other_size, shared, other_shared, similarity: float):
+    """No pair has more in common than either shares with any document. Columns or arrays."""
+    least = F.least if not isinstance(size, np.ndarray) else np.minimum
+    most = least(shared, other_shared)
+    return most >= similarity * (size + other_size - most)
+
+
+def common_counts(items: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets a[k] and b[k] have in common. Elements that only one
+    of the sets holds are put aside; the others are columns of 0 and 1, multiplied a
+    few thousand at a time, unless the pairs are so few that one by one costs less."""
+    used = np.unique(np.concatenate([a, b]))
+    sizes = np.array([len(items[k]) for k in used])
+    if len(a) * sizes.mean() < 20 * sizes.sum():
+        return np.array([len(np.intersect1d(items[x], items[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())], np.int64)
+    row = np.repeat(np.arange(len(used)), sizes)
+    values, column, times = np.unique(np.concatenate([items[k] for k in used]), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[times[column[order]] > 1]
+    row, column = row[order], np.cumsum(np.diff(column[order], prepend=-1) > 0) - 1
+    place = np.searchsorted(used, np.arange(used[-1] + 1))
+    x, y = np.unique(place[a]), np.unique(place[b])
+    out, step = np.zeros((len(x), len(y)), np.int64), 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        at = slice(*np.searchsorted(column, [low, low + step]))
+        m = np.zeros((len(used), step), np.float32)
+        m[row[at], column[at] - low] = 1
+        out += np.rint(m[x] @ m[y].T).astype(np.int64)
+    return out[np.searchsorted(x, place[a]), np.searchsorted(y, place[b])]
+
+
+def star(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of places in name as one link of each name to the least that it reaches."""
+    order = np.argsort(name)
+    rank = np.empty(len(name), np.int64)
+    rank[order] = np.arange(len(name))
+    label = np.arange(len(name))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, rank[a], label[rank[b]])
+        np.minimum.at(new, rank[b], label[rank[a]])
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    on = np.flatnonzero(label != np.arange(len(label)))
+    return name[order][on], name[order][label[on]]
+
+
+def compare_blocks(members: DataFrame, sets: DataFrame, bands_of: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join members of one band value but of different roots.
+    members: _rid, band, value, root, size, shared."""
+    by = ["band", "value"]
+    counts = members.groupBy(*by, "root").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    top = counts.groupBy(*by).agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max_by("weight", F.struct("n", "root")).alias("own")).select(*by, F.col("x.root").alias("top"), F.col("x.n").alias("top_n"), F.col("own").alias("top_weight"), (F.col("n") - F.col("x.n")).alias("rest_n"), (F.col("weight") - F.col("own")).alias("rest_weight"))
+    blocks = lambda x: F.greatest(F.ceil(F.col(f"{x}_weight") / BLOCK_WEIGHT), F.ceil(F.col(f"{x}_n") / BLOCK_ROWS)).cast("int")
+    top = top.select(*by, "top", blocks("rest").alias("few"), blocks("top").alias("many"))
+    # the largest component's blocks come after the others' and needn't meet each other
+    major = F.col("root") == F.col("top")
+    place = lambda n: F.pmod(F.xxhash64(RID), n).cast("int")
+    dealt = members.join(top, by).withColumn("blk", F.when(major, F.col("few") + place(F.col("many"))).otherwise(place(F.col("few"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    dealt = dealt.select(RID, *by, "root", "size", "shared", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    where = ["band", "value", "i", "j"]
+    full = dealt.join(bands_of, RID).join(sets, RID).select(*where, RID, "root", "size", "shared", "blk", "bands", "items")
+    full = full.repartition(partitions(members.sparkSession), *where).sortWithinPartitions(*where)
+
+    def links(t: pa.Table) -> pa.RecordBatch | None:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        name, root, size, shared, blk = (t.column(c).to_numpy() for c in (RID, "root", "size", "shared", "blk"))
+        band = t.column("band")[0].as_py()
+        values = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        ok = (root[left][:, None] != root[right][None]) & may_be_similar(size[left][:, None], size[right][None], shared[left][:, None], shared[right][None], similarity)
+        if i == j:
+            ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None]
+        for k in range(band):  # an earlier band that the pair shares has it
+            ok &= values[left, k][:, None] != values[right, k][None]
+        a, b = np.nonzero(ok)
+        if not len(a):
+            return None
+        a, b = left[a], right[b]
+        held = t.column("items").combine_chunks()
+        items = np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1])
+        common = common_counts(items, a, b)
+        found = common >= similarity * (size[a] + size[b] - common)
+        if not found.any():
+            return None
+        x, y = star(name, a[found], b[found])
+        return pa.RecordBatch.from_arrays([pa.array(y), pa.array(x)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in where]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for at, to in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                now = tuple(k[at] for k in keys) if to > at else key
+                if now != key and held:
+                    if (out := links(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                key = now
+                held.append(batch.slice(at, to - at))
+        if held and (out := links(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return full.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+    """df's columns with dup_row and dup_class: a row number, and the least of those that
+    links of similarity or more reach, over words shingled by five. weighted counts a
+    shingle as often as it stands, in the signatures and in the similarity; otherwise
+    once. Equal texts are copies, null ones equal empty ones; texts without words link
+    only with their copies; a similarity of exactly the threshold links. An empty table
+    gives no rows. Columns of df named dup_row or dup_class are replaced, all others stay."""
     scratch = Scratch(df.sparkSession)
-    rows = with_row_id(df, scratch).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    texts = rows.select(RID, F.xxhash64("_text").alias("h1"), F.xxhash64(F.reverse("_text"), F.lit(7)).alias("h2"))
-    first = scratch.cut(texts.groupBy("h1", "h2").agg(F.min(RID).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    copies = scratch.cut(texts.join(first, ["h1", "h2"]).where(F.col(RID) != F.col("first")).select(RID, "first"), "copies")
-    signed = scratch.cut(sign(rows.join(copies.select(RID), RID, "left_anti"), weighted), "signed")
-    spread = signed.select(RID, F.posexplode("bands").alias("band", "value"))
-    met = scratch.cut(meetings(spread), "met")
+    rows = with_row_id(df, scratch)
+    texts = rows.select(RID, text_of(text_col).alias("_text"))
+    hashed = texts.select(RID, F.xxhash64("_text").alias("h1"), F.xxhash64(F.reverse("_text"), F.lit(7)).alias("h2"))
+    first = scratch.cut(hashed.groupBy("h1", "h2").agg(F.min(RID).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    copies = scratch.cut(hashed.join(first, ["h1", "h2"]).where(F.col(RID) != F.col("first")).select(RID, "first"), "copies")
+    signed = scratch.cut(sign(texts.join(copies.select(RID), RID, "left_anti"), weighted), "signed")
+    met = scratch.cut(meetings(signed.select(RID, F.posexplode("bands").alias("band", "value"))), "met")
     able = scratch.cut(shared_darts(signed, met.select(RID).distinct(), similarity), "able")
-    scratch.drop(signed)
-    sets = scratch.cut(shingle_sets(rows.select(RID, "_text").join(able, RID, "left_semi")), "sets")
-    sizes = scratch.cut(shared_sizes(sets, weighted, similarity), "sizes")
-    scratch.release()
+    sets = scratch.cut(element_sets(texts.join(able, RID, "left_semi"), weighted), "sets")
+    sizes = scratch.cut(shared_sizes(sets, similarity), "sizes")
+    bands_of = scratch.cut(signed.join(sizes.select(RID), RID, "left_semi").select(RID, "bands"), "bands")
     pruned = scratch.cut(meetings(met.join(sizes.select(RID), RID, "left_semi")).join(sizes, RID), "pruned")
-    scratch.drop(met, first, able)
-    met = pruned
-    wanted = scratch.cut(met.groupBy(RID).agg(F.sum("n").alias("meets")), "wanted")
-
-    members = met.join(wanted, RID)
-    links, roots, old = None, None, None
-    for k in range(ROUNDS + 1):
-        if k:
-            tied = met.join(roots, F.col(RID) == F.col("node"), "left").select(RID, "size", "shared", "band", "value", "n", F.coalesce("root", RID).alias("root"))
-            split = tied.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
-            left = scratch.cut(tied.join(split.select("band", "value"), ["band", "value"], "left_semi"), "left")
-            sums = left.groupBy("band", "value", "root").agg(F.count("*").alias("c")).groupBy("band", "value").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
-            open_, cross = sums.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0))).first()
-            if not open_:
-                break
-            members = left.join(wanted, RID)
-        most = F.least("shared", "_shared")
-        close = most >= similarity * (F.col("size") + F.col("_size") - most)
-        if k and (k == ROUNDS or few or cross <= 8 * open_):  # all that is left, once
-            other = left.select("band", "value", F.col(RID).alias("_b"), F.col("size").alias("_size"), F.col("shared").alias("_shared"), F.col("root").alias("_root"))
-            pairs, last = left.join(other, ["band", "value"]).where("root < _root").where(close).select(F.col(RID).alias("a"), F.col("_b").alias("b")), True
-        else:
-            # each round's leader is the one of most meetings that isn't in the component of the last round's leader
-            pick = F.struct("meets", (-F.col(RID)).alias("r"), "size", "shared", *(["root"] if k else []))
-            among = members if not k else members.join(old, ["band", "value"], "left").where("_old is null or root <> _old")
-            leaders = scratch.cut(among.groupBy("band", "value").agg(F.max(pick).alias("x")).select("band", "value", (-F.col("x.r")).alias("b"), F.col("x.size").alias("_size"), F.col("x.shared").alias("_shared"), *([F.col("x.root").alias("_root")] if k else [])), "leaders")
-            old = leaders.select("band", "value", F.col("_root" if k else "b").alias("_old"))
-            pairs = members.join(leaders, ["band", "value"]).where(f"{RID} <> b" + " and root <> _root" * bool(k)).where(close).select(F.col(RID).alias("a"), "b")
-            last = False
-        pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        new = scratch.cut(similar(pairs, sets, weighted, similarity), "links")
-        few = new.count() * 100 < pairs.count()  # leaders find hardly any more: the rest at once
-        links = new if links is None else links.unionByName(new)
-        roots = components(links, scratch)
-        if not k:  # the next leader must lie outside the component, which is known only now
-            old = old.join(roots.withColumnRenamed("node", "_old"), "_old", "left").select("band", "value", F.coalesce("root", "_old").alias("_old"))
-        scratch.release()
-        if last:
-            break
-    classes = copies.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select(RID, F.coalesce("root", "first").alias("_class"))
-    classes = classes.unionByName(roots.select(F.col("node").alias(RID), F.col("root").alias("_class")))
-    return rows.drop("_text").join(classes, RID, "left").withColumn("_class", F.coalesce("_class", RID))
+    scratch.drop(signed, met, first, able)
+
+    # each value's members with its leader, the one of most meetings
+    wanted = pruned.groupBy(RID).agg(F.sum("n").alias("meets"))
+    members = pruned.join(wanted, RID)
+    leaders = members.groupBy("band", "value").agg(F.max(F.struct("meets", (-F.col(RID)).alias("r"), "size", "shared")).alias("x")).select("band", "value", (-F.col("x.r")).alias("b"), F.col("x.size").alias("_size"), F.col("x.shared").alias("_shared"))
+    led = members.join(leaders, ["band", "value"]).where(f"{RID} <> b").where(may_be_similar(F.col("size"), F.col("_size"), F.col("shared"), F.col("_shared"), similarity))
+    pairs = scratch.cut(led.select(F.least(RID, "b").alias("a"), F.greatest(RID, "b").alias("b")).distinct(), "pairs")
+    near = scratch.cut(similar(pairs, sets, similarity), "near")
+    roots = components(near, scratch)
+
+    # values whose members are still apart, in blocks
+    tied = pruned.join(roots, F.col(RID) == F.col("node"), "left").select(RID, "size", "shared", "band", "value", F.coalesce("root", RID).alias("root"))
+    apart = tied.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = scratch.cut(tied.join(apart.select("band", "value"), ["band", "value"], "left_semi"), "left")
+    more = scratch.cut(compare_blocks(left, sets, bands_of, similarity), "more")
+    roots = components(near.unionByName(more), scratch)
+    scratch.release()
+
+    classes = copies.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select(RID, F.coalesce("root", "first").alias("dup_class"))
+    classes = classes.unionByName(roots.select(F.col("node").alias(RID), F.col("root").alias("dup_class")))
+    return rows.join(classes, RID, "left").select(*back(df.columns, "dup_row", "dup_class"), F.col(RID).alias("dup_row"), F.coalesce("dup_class", RID).alias("dup_class"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, embedding_dedup, gif, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, simple8b_output, suffix_dedup
-from .common import RID, documents
+from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,10 +48,11 @@ def op7_simple8b_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), kept."""
-    out = minhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", RID, "_class")
-    least = out.groupBy("_class").agg(F.min("doc_id").alias("class_id"))
-    return out.join(least, "_class").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    """doc_id, class_id (the least doc_id of its class), kept. Null ids stay null; a
+    class of null ids alone has a null class_id."""
+    out = minhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "dup_class")
+    least = out.groupBy("dup_class").agg(F.min("doc_id").alias("class_id"))
+    return out.join(least, "dup_class").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
