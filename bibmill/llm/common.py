@@ -101,6 +101,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) ->
             at = to
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each run of equal keys, from batches in order of the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for at, to in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
+            now = tuple(c[at] for c in cols)
+            if held and now != last:
+                yield held
+                held = []
+            held.append(b.slice(at, to - at))
+            last = now
+    if held:
+        yield held
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, Scratch, partitions, with_row_id
+from .common import RID, ROW, Scratch, named, partitions, runs, with_row_id
 from .components import components
 
-TABLES, KEYS, CELL, SEED, BLOCK = 24, 10, 2.0, 20, 256
-ROW = "cls long, copies long, dim int, vector binary, buckets array<long>"
+TABLES, KEYS, CELL, SEED, BLOCK = 24, 10, 2.0, 20, 1024
+SIGNED = "cls long, copies long, dim int, vector binary, buckets array<long>"
 
 
 def hash_vectors(vectors: np.ndarray, tables: int, keys: int, cell: float, seed: int) -> np.ndarray:
@@ -58,9 +58,11 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """vec_id, n_links, component_id, kept for every row. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing, and
     vectors of different lengths don't link. Equal vectors link. A null vec_id
-    links like any other and is never a component_id if the component has another."""
+    links like any other and is never a component_id if the component has another.
+    An empty table gives no rows; other columns of df are left out."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    rows = with_row_id(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")), scratch).withColumn("v", F.col("v").cast("array<double>"))
+    numbered = with_row_id(df.select(named(id_col).cast("long").alias("vec_id"), named(vector_col).alias("v")), scratch)
+    rows = numbered.select(RID, F.col(ROW)["vec_id"].alias("vec_id"), F.col(ROW)["v"].cast("array<double>").alias("v"))
     bad = F.col("v").isNull() | (F.size("v") == 0) | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("v", lambda x: x == 0)
     rows = rows.withColumn("h", F.when(F.coalesce(bad, F.lit(True)), None).otherwise(F.sha2(F.to_json(F.struct(F.transform("v", lambda x: x + 0.0).alias("v"))), 256)))
     classes = scratch.cut(rows.where("h is not null").groupBy("h").agg(F.min(RID).alias("cls"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
@@ -77,7 +79,7 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 buckets = hash_vectors(x, tables, keys, cell, seed)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(at), d), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))], ["cls", "copies", "dim", "vector", "buckets"])
 
-    signed = scratch.cut(classes.select("cls", "copies", "v").mapInArrow(sign, ROW), "signed")
+    signed = scratch.cut(classes.select("cls", "copies", "v").mapInArrow(sign, SIGNED), "signed")
     places = signed.select("cls", "dim", F.posexplode("buckets").alias("t", "bucket"))
     sizes = places.groupBy("t", "bucket", "dim").agg(F.count("*").alias("size")).where("size > 1")
     met = places.join(sizes, ["t", "bucket", "dim"]).withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -86,40 +88,32 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     where = ["t", "bucket", "dim", "i", "j"]
     dealt = met.join(signed.drop("dim"), "cls").repartition(partitions(spark), *where).sortWithinPartitions(*where)
 
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        t, i, j = (b.column(c)[0].as_py() for c in ("t", "i", "j"))
+        name, copies, blk = (b.column(c).to_numpy() for c in ("cls", "copies", "blk"))
+        x = np.array([np.frombuffer(v) for v in b.column("vector").to_pylist()])
+        buckets = b.column("buckets").flatten().to_numpy().reshape(len(name), -1)
+        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        p, q = np.nonzero(x[left] @ x[right].T >= cosine)
+        p, q = left[p], right[q]
+        once = p < q if i == j else np.ones(len(p), bool)
+        p, q = p[once], q[once]
+        first = ~(buckets[p, :t] == buckets[q, :t]).any(axis=1)
+        p, q = p[first], q[first]
+        if not len(p):
+            return None
+        n_links = np.bincount(p, copies[q], len(name)) + np.bincount(q, copies[p], len(name))
+        order = np.argsort(name)
+        rank = np.argsort(order)
+        root = name[order][forest(len(name), rank[p], rank[q])[rank]]
+        on = np.flatnonzero(n_links)
+        return pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(n_links[on].astype(np.int64)), pa.array(root[on])], ["cls", "links", "root"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key = None
-
-        def done() -> pa.RecordBatch | None:
-            t, _, _, i, j = key
-            name, copies, blk = (np.array([r[c] for r in held]) for c in ("cls", "copies", "blk"))
-            x, buckets = np.array([np.frombuffer(r["vector"]) for r in held]), np.array([r["buckets"] for r in held])
-            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-            a, b = np.nonzero(x[left] @ x[right].T >= cosine)
-            a, b = left[a], right[b]
-            once = a < b if i == j else np.ones(len(a), bool)
-            a, b = a[once], b[once]
-            first = ~(buckets[a, :t] == buckets[b, :t]).any(axis=1)
-            a, b = a[first], b[first]
-            if not len(a):
-                return None
-            links = np.bincount(a, copies[b], len(name)) + np.bincount(b, copies[a], len(name))
-            order = np.argsort(name)
-            rank = np.argsort(order)
-            root = name[order][forest(len(name), rank[a], rank[b])[rank]]
-            on = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(links[on].astype(np.int64)), pa.array(root[on])], ["cls", "links", "root"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                at = tuple(row[c] for c in where)
-                if at != key:
-                    if len(held) > 1 and (out := done()) is not None:
-                        yield out
-                    held, key = [], at
-                held.append(row)
-        if len(held) > 1 and (out := done()) is not None:
-            yield out
+        for held in runs(batches, where):
+            if sum(b.num_rows for b in held) > 1 and (out := links(held)) is not None:
+                yield out
 
     found = scratch.cut(dealt.mapInArrow(compare, "cls long, links long, root long"), "found")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))

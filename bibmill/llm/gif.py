@@ -3,7 +3,7 @@
 decode() reads any GIF87a/89a file; frames() composes what a viewer shows;
 encode() writes frames of 8-bit samples. gif_frames() turns a column of files
 into rows of timed frames with colour histograms. payloads() stores bytes as
-samples and reads them back.
+samples of a colour palette, reads them back and describes the frames shown.
 """
 
 from __future__ import annotations
@@ -19,9 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, slices
+
 MAX_BITS = 12
 WIDTH, MAX_ROWS = 64, 65535
-GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+#: Most pixels of a canvas or frame, so that a short file can't ask for more memory than a task has.
+MAX_PIXELS = 1 << 25
+#: Three bits of red, three of green, two of blue.
+COLOURS = np.stack([np.arange(256) >> 5, np.arange(256) >> 2 & 7, np.arange(256) & 3], axis=1) * np.array([36, 36, 85])
+COLOURS = COLOURS.astype(np.uint8)
 
 
 def widths(n: int, least: int) -> np.ndarray:
@@ -145,7 +151,7 @@ def sub_blocks(data: bytes) -> bytes:
     return b"".join([bytes([len(data[i: i + 255])]) + data[i: i + 255] for i in range(0, len(data), 255)]) + b"\0"
 
 
-def encode(width: int, height: int, frames: list[Frame], palette: np.ndarray = GREY) -> bytes:
+def encode(width: int, height: int, frames: list[Frame], palette: np.ndarray = COLOURS) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes()]
     for f in frames:
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, f.disposal << 2 | (f.transparent is not None), f.delay_ms // 10, f.transparent or 0, 0))
@@ -162,7 +168,9 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, common, frames = 13, GREY, []
+    if width * height > MAX_PIXELS:
+        raise ValueError("too large a canvas")
+    at, common, frames = 13, COLOURS, []
 
     def palette(at: int, flags: int) -> tuple[np.ndarray, int]:
         n = 3 << (flags & 7) + 1
@@ -193,6 +201,8 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
             if how & 0x80:
                 own, at = palette(at, how)
             size = data[at]
+            if not 2 <= size <= 8 or w * h > MAX_PIXELS:
+                raise ValueError("a code size or frame that GIF doesn't have")
             body, at = blocks(at + 1)
             samples = lzw_decode(body, size)[: w * h].ljust(w * h, b"\0")
             if how & 0x40:  # interlaced: rows come in four passes
@@ -206,9 +216,8 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, frames
 
 
-def frames(data: bytes) -> Iterator[tuple[np.ndarray, int]]:
+def compose(width: int, height: int, found: list[Frame]) -> Iterator[tuple[np.ndarray, int]]:
     """What is shown, as RGBA of the whole canvas, and for how many milliseconds."""
-    width, height, found = decode(data)
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in found:
         before = canvas.copy() if f.disposal == 3 else None
@@ -217,8 +226,11 @@ def frames(data: bytes) -> Iterator[tuple[np.ndarray, int]]:
         colours[: len(f.palette), :3], colours[:, 3] = f.palette, 255
         area = canvas[f.top: f.top + f.height, f.left: f.left + f.width]
         index = index[: area.shape[0], : area.shape[1]]
-        seen = np.ones(index.shape, bool) if f.transparent is None else index != f.transparent
-        area[seen] = colours[index[seen]]
+        if f.transparent is None:
+            area[:] = colours[index]
+        else:
+            seen = index != f.transparent
+            area[seen] = colours[index[seen]]
         yield canvas.copy(), f.delay_ms
         if f.disposal == 2:
             area[:] = 0
@@ -226,15 +238,21 @@ def frames(data: bytes) -> Iterator[tuple[np.ndarray, int]]:
             canvas = before
 
 
+def frames(data: bytes) -> Iterator[tuple[np.ndarray, int]]:
+    return compose(*decode(data))
+
+
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Opaque pixels by the top two bits of red, green and blue: 64 counts."""
-    p = rgba[rgba[..., 3] > 0] >> 6
-    return np.bincount(p[:, 0].astype(np.int64) << 4 | p[:, 1] << 2 | p[:, 2], minlength=64)
+    p = rgba >> 6
+    return np.bincount((p[..., 0] << 4 | p[..., 1] << 2 | p[..., 2])[rgba[..., 3] > 0], minlength=64)
 
 
 def gif_frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """A row a frame: id, frame, start_ms, delay_ms, width, height, rgba, histogram.
-    A null file gives no rows; one that isn't GIF gives a row with frame -1 and no pixels."""
+    A null file gives no rows; one that isn't GIF, breaks off inside a header, or has a
+    canvas or frame of more than MAX_PIXELS gives a row with frame -1 and no pixels
+    after the frames before. Equal rows give equal rows; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))])
@@ -255,32 +273,35 @@ def gif_frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def store(payload: bytes, delay_ms: int = 40) -> bytes:
-    """A file whose frames' samples are the payload, 64 a row; its length is a multiple of 64."""
+    """A file whose frames' samples are the payload, 64 a row; its length is a multiple of
+    64. Each frame's place is cleared before the next one is shown."""
     step = WIDTH * MAX_ROWS
     parts = [payload[i: i + step] for i in range(0, len(payload), step)]
-    shown = [Frame(0, 0, WIDTH, len(p) // WIDTH, GREY, p, None, delay_ms, 1) for p in parts]
+    shown = [Frame(0, 0, WIDTH, len(p) // WIDTH, COLOURS, p, None, delay_ms, 2) for p in parts]
     return encode(WIDTH, shown[0].height, shown)
 
 
 def payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text's UTF-8 (null: empty), zero-padded to a positive multiple
-    of 64, and describes what the stored file holds. The feature is the number of
-    frames, the whole time shown and 16 counts of grey levels."""
+    """Stores each text's UTF-8 (null: empty), zero-padded to a positive multiple of 64,
+    and describes what the stored file holds. The feature is the number of frames shown,
+    the whole time and the colour histogram over all of them. Equal texts have equal
+    values, an empty table gives no rows, other columns are left out; a text of more
+    than 64 * MAX_ROWS bytes takes several frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             rows = []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = text.encode("utf-8")
                 media = store(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))
-                _, _, found = decode(media)
+                width, height, found = decode(media)
                 back = b"".join([f.samples for f in found])
-                grey = np.bincount(np.frombuffer(back, np.uint8) >> 4, minlength=16)
-                feature = f"frames={len(found)} ms={sum(f.delay_ms for f in found)} grey={','.join(map(str, grey.tolist()))}"
+                colours = sum(histogram(rgba) for rgba, _ in compose(width, height, found))
+                feature = f"frames={len(found)} ms={sum(f.delay_ms for f in found)} colours={','.join(map(str, colours.tolist()))}"
                 rows.append((name, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 8, kinds)], names)
 
-    rows = df.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = df.select(named(id_col).cast("long").alias("i"), F.coalesce(named(text_col), F.lit("")).alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

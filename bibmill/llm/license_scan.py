@@ -19,30 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, slices
+from .license_texts import TEMPLATES
+
 #: Phrases and labels of the base scan.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-#: Wording of well-known notices. (label, template)
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license[[,]] version 2.0 [[(the \"license\")]]"),
-    ("apache-2.0", "you may not use this file except in compliance with the license [[you may obtain a copy of the license at {{12}}]]"),
-    ("mit", "[[released]] [[licensed]] under the [[terms of the]] mit license"),
-    ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction"),
-    ("isc", "permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "[[released]] [[licensed]] under the [[terms of the]] [[new]] [[simplified]] [[{{1}} clause]] bsd license"),
-    ("gpl-3.0", "licensed under the gnu general public license[[,]] version 3 [[0]]"),
-    ("gpl-2.0", "licensed under the gnu general public license[[,]] version 2 [[0]]"),
-    ("gpl-or-later", "under the terms of the gnu general public license as published by the free software foundation; either version {{1}} of the license, or (at your option) any later version"),
-    ("lgpl", "gnu lesser general public license"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license[[, v]] [[version]] 2.0"),
-    ("cc-by-nc", "licensed under [[a]] [[the]] cc by-nc [[4 0]]"),
-    ("cc-by-sa", "licensed under [[a]] [[the]] cc by-sa [[4 0]]"),
-    ("cc-by-4.0", "licensed under [[a]] [[the]] cc by 4 0"),
-    ("cc-by-4.0", "creative commons attribution 4 0 international [[public]] license"),
-    ("copyright", "copyright [[c]] {{8}} all rights reserved"),
-]
-
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
@@ -109,48 +91,64 @@ class Automaton:
                 best = k + 1
         return best
 
+    def starts_with_any(self) -> bool:
+        return any(self.any[s] for s in self._spread({0}))
+
     def firsts(self) -> set[bytes]:
         return {w for s in self._spread({0}) for w in self.steps[s]}
 
 
+def mandatory(template: str) -> list[list[bytes]]:
+    """The words outside optional and replaceable regions, in runs between them."""
+    while "[[" in template:
+        template = re.sub(r"\[\[(?:(?!\[\[|\]\]).)*\]\]", " {{1}} ", template)
+    return [words for part in re.split(r"\{\{\d+\}\}", template) if (words := WORD.findall(part.lower().encode()))]
+
+
 @lru_cache
 def compiled(templates: tuple[tuple[str, str], ...]):
-    """Automata by the words that a match can start with."""
+    """Automata by the words that a match can start with (None: any word), each with
+    the first run of mandatory words, without which it needn't be tried."""
     by = defaultdict(list)
     for label, template in templates:
         a = Automaton(template)
-        for word in a.firsts():
-            by[word].append((label, a))
+        must = max(mandatory(template), key=len)
+        for word in a.firsts() | ({None} if a.starts_with_any() else set()):
+            by[word].append((label, a, must))
     return dict(by)
 
 
+@lru_cache
+def hint(templates: tuple[tuple[str, str], ...]) -> re.Pattern:
+    """A text without any of these words holds no base phrase and no template: of each
+    template and phrase the longest mandatory word."""
+    longest = {max((w for run in mandatory(t) for w in run), key=len) for _, t in (*templates, *((x, p) for p, x in BASE if p != "cc by"))}
+    return re.compile(b"|".join([re.escape(w) for w in sorted(longest)] + [rb"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"]))
+
+
+def stands(words: list[bytes], run: list[bytes], where: list[int]) -> bool:
+    return any(words[k: k + len(run)] == run for k in where)
+
+
 def scan(text: bytes, templates=tuple(TEMPLATES)) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Places of base phrases and of templates as (label, first word, word after) in a lower-cased text."""
     words = WORD.findall(text)
-    base, found = [], []
     where = defaultdict(list)
-    by = compiled(templates)
-    phrases = [(tuple(p.encode().split()), label) for p, label in BASE]
-    heads = {p[0] for p, _ in phrases} | set(by)
     for k, w in enumerate(words):
-        if w in heads:
-            where[w].append(k)
-    for phrase, label in phrases:
-        for k in where.get(phrase[0], ()):
-            if tuple(words[k: k + len(phrase)]) == phrase:
-                base.append((label, k, k + len(phrase)))
-    for head, automata in by.items():
-        for k in where.get(head, ()):
-            for label, a in automata:
-                if (end := a.match(words, k)) is not None:
-                    found.append((label, k, end))
+        where[w].append(k)
+    base = [(label, k, k + len(p)) for phrase, label in BASE for p in [phrase.encode().split()] for k in where.get(p[0], ()) if words[k: k + len(p)] == p]
+    found, tried = [], {}
+    for head, automata in compiled(templates).items():
+        if not (at := range(len(words)) if head is None else where.get(head, ())):
+            continue
+        for label, a, must in automata:
+            if id(a) not in tried:
+                tried[id(a)] = stands(words, must, where.get(must[0], ()))
+            if tried[id(a)]:
+                found += [(label, k, end) for k in at if (end := a.match(words, k)) is not None]
     return base, found
 
 
-#: A text without any of these bytes holds no base phrase and no template.
-HINT = re.compile(rb"licen|rights|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by|permi|redistribution|creative|copyright")
-
-
 def count_words(texts: list[bytes]) -> np.ndarray:
     """The number of words of each text."""
     if not texts:
@@ -163,15 +161,17 @@ def count_words(texts: list[bytes]) -> np.ndarray:
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """A row a text (null: empty): n_words, n_base, first_word, last_word, base_labels,
-    labels, score (the share of words in some match) and, with spans, the matches."""
+    labels, score (the share of words in some match) and, with spans, the matches.
+    Equal rows give equal rows, an empty table gives none, other columns are left out."""
+    templates = tuple(TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             names = b.column(0).to_pylist()
             texts = [t.encode("utf-8").translate(LOWER) for t in b.column(1).to_pylist()]
             rows = []
             for name, n, text in zip(names, count_words(texts).tolist(), texts):
-                base, found = scan(text) if HINT.search(text) else ([], [])
+                base, found = scan(text, templates) if hint(templates).search(text) else ([], [])
                 starts = [s for _, s, _ in base]
                 covered = len({k for _, s, e in (*base, *found) for k in range(s, e)})
                 row = (name, n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for x, _, _ in base})), ",".join(sorted({x for x, _, _ in (*base, *found)})), covered / n if n else 0.0)
@@ -180,5 +180,5 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             head = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] + ["spans"] * spans
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * len(kinds), kinds)], head)
 
-    rows = df.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = df.select(named(id_col).cast("long").alias("i"), F.coalesce(named(text_col), F.lit("")).alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double" + ", spans array<struct<label:string,first:long,end:long>>" * spans)

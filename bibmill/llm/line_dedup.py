@@ -1,12 +1,14 @@
 """Site-relative line dedup, with DataFrame functions only.
 
-A line (without outer spaces; blank lines never count) is boilerplate of a host
-if it stands in at least min_pages of the host's pages and in more than ratio of
-them. Lines are counted once a page, as 64-bit hashes, added up before the
-shuffle. The shares of a host's lines sum to its mean number of distinct lines a
+A line (without outer spaces; blank lines never count) is boilerplate of a host if
+more than ratio of the host's pages hold it, and at least two do, as a line of one
+page repeats nothing. Pages of a host with the same lines count once, above and
+below the line of the fraction, so that a group of copies doesn't turn its own body
+into boilerplate. Lines are counted once a page, as 64-bit hashes, added up before
+the shuffle. The shares of a host's lines sum to its mean number of distinct lines a
 page, so it has at most that number / ratio boilerplate lines: one short array a
-host, which Spark broadcasts when the written table is small enough, and
-otherwise joins by sort and merge with skewed hosts split.
+host, which Spark broadcasts when the written table is small enough, and otherwise
+joins by sort and merge with skewed hosts split.
 """
 
 from __future__ import annotations
@@ -14,42 +16,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import ROW, Scratch, named
 
-RATIO, MIN_PAGES = 0.1, 5
+RATIO, LEAST = 0.05, 2
 
 
-def boilerplate(df: DataFrame, host: str, text: str, ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
-    """_host, _lines: the hashes of the host's boilerplate lines. copies_once:
-    pages of a host with the same lines count as one page, in both counts."""
-    hashed = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
-    pages = df.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), hashed.alias("_lines"))
-    if copies_once:
-        pages = pages.distinct()
-    totals = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
-    counts = pages.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    often = counts.where(F.col("_n") >= min_pages).join(totals, "_host").where(F.col("_n") > ratio * F.col("_pages"))
-    return often.groupBy("_host").agg(F.array_sort(F.collect_list("_line")).alias("_lines"))
+def line_hashes(text) -> F.Column:
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
 
 
-def drop_boilerplate_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float) -> DataFrame:
+    """host and lines, the sorted hashes of its boilerplate lines, from the host and text of each page."""
+    pages = pages.select("host", line_hashes("text").alias("lines")).distinct()
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") >= LEAST).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    return often.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+
+def drop_boilerplate_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO) -> DataFrame:
     """df with boilerplate lines taken out of text, and n_lines and n_dropped.
-    A null text stays null with 0 lines; a null host is a host of its own, the
-    same as an empty one; equal rows are pages of their own, unless copies_once."""
-    found = Scratch(df.sparkSession).cut(boilerplate(df, host, text, ratio, min_pages, copies_once), "boilerplate")
-    rows = df.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(found, "_host", "left")
-    lines = F.split(text, "\n")
-    kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_lines", F.xxhash64(F.trim(x)))))
-    rows = rows.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)) * F.col(text).isNotNull().cast("int"))
-    rows = rows.withColumn("n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("_kept")))
-    return rows.withColumn(text, F.array_join("_kept", "\n")).select(*[F.col(c) for c in df.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    A null text stays null with 0 lines, an empty one is one blank line; a null host is
+    a host of its own, the same as an empty one; a page whose lines all go stays, empty.
+    An empty table gives no rows. Columns of df named n_lines or n_dropped are replaced,
+    all others stay."""
+    rows = df.select(F.struct(*map(named, df.columns)).alias(ROW), F.coalesce(named(host).cast("string"), F.lit("")).alias("host"), named(text).alias("text"))
+    found = Scratch(df.sparkSession).cut(boilerplate(rows.select("host", "text"), ratio), "boilerplate")
+    split = F.split("text", "\n")
+    kept = F.when(F.col("lines").isNull(), split).otherwise(F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("lines", F.xxhash64(F.trim(x)))))
+    told = rows.join(found, "host", "left").select(ROW, kept.alias("kept"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"))
+    out = [F.array_join("kept", "\n").alias(c) if c == text else F.col(ROW)[c].alias(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return told.select(*out, "n_lines", F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).alias("n_dropped"))
 
 
 ORACLE = f"""
-WITH pages AS (SELECT coalesce(source, '') AS host, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS ls FROM documents),
+WITH pages AS (SELECT DISTINCT coalesce(source, '') AS host, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS ls FROM documents),
 totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
 counts AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(ls) AS line FROM pages) GROUP BY host, line),
-often AS (SELECT host, list(line) AS ls FROM counts JOIN totals USING (host) WHERE n >= {MIN_PAGES} AND n > {RATIO} * pages GROUP BY host),
+often AS (SELECT host, list(line) AS ls FROM counts JOIN totals USING (host) WHERE n >= {LEAST} AND n > {RATIO} * pages GROUP BY host),
 cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
                list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') = '' OR NOT coalesce(list_contains(ls, trim(x, ' ')), false)) AS kept
         FROM documents LEFT JOIN often ON often.host = coalesce(source, ''))

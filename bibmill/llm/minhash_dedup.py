@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, Scratch, back, partitions, slices, text_of, with_row_id
+from .common import RID, Scratch, back, partitions, runs, slices, text_of, with_row_id
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
@@ -342,21 +342,9 @@ def compare_blocks(members: DataFrame, sets: DataFrame, bands_of: DataFrame, sim
         return pa.RecordBatch.from_arrays([pa.array(y), pa.array(x)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in where]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for at, to in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
-                now = tuple(k[at] for k in keys) if to > at else key
-                if now != key and held:
-                    if (out := links(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held = []
-                key = now
-                held.append(batch.slice(at, to - at))
-        if held and (out := links(pa.Table.from_batches(held))) is not None:
-            yield out
+        for held in runs(batches, where):
+            if (out := links(pa.Table.from_batches(held))) is not None:
+                yield out
 
     return full.mapInArrow(run, "a long, b long")
 

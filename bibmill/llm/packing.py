@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, partitions, slices
 from .word_encoder import word_encoder
 
 CAPACITY = 4096
@@ -141,7 +141,7 @@ def uses(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
 def cut_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches, 1):
             rows = []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = encode(text) + end
@@ -158,7 +158,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Dat
 def best_fit_pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece.
     A null or empty text is one piece, its end id. Equal rows are packed apart.
-    An empty table gives no rows."""
+    An empty table gives no rows; other columns of df are left out."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

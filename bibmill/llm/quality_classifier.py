@@ -1,49 +1,72 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, byte 3- and 4-grams and a mark for each word
-that follows itself, hashed into ROWS rows of learned vectors; their mean goes through a softmax. Vectors and output
-weights are learned by stochastic gradient descent in numpy on the driver, from
-a sample of at most SAMPLE labelled rows (the lowest hashes of doc_id). All else
-covers every whole text. As the output is linear in the mean, scoring needs only
-each row's product with the difference of the two output weights.
+A document's features are its words, its word pairs (unordered: the hashes of two
+neighbours are joined by xor, so a word beside itself is one feature whatever the
+word) and the n-grams of 3 and 4 characters within words (a word's ends count as
+characters), hashed into ROWS rows of learned vectors; their mean goes through a softmax. Vectors and output weights are learned by
+stochastic gradient descent in numpy on the driver, from a sample of at most SAMPLE
+labelled rows (the lowest hashes of doc_id), which come there as counted features, at
+most ROWS a document whatever its length. All else covers every whole text. As the
+output is linear in the mean, scoring needs only each row's product with the
+difference of the two output weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import named, slices
 
 SAMPLE, ROWS, DIM, EPOCHS, RATE, SEED = 3000, 1 << 17, 8, 6, 1.0, 6
-CHUNK = 1 << 21
-U = np.uint32
+CHUNK = 1 << 18
+BASE = 0x9E3779B97F4A7C15
+U = np.uint64
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n + 1, BASE, U), np.full(n + 1, pow(BASE, -1, 1 << 64), U)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all features, and the text of each."""
-    flat = np.frombuffer(b"\0".join(texts) + b"\0\0\0\0", np.uint8).astype(U)
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> U(32)) * U(0xD6E8FEB86659FD93)
+    return h ^ h >> U(32)
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all features, and the text of each. Words are runs without white space."""
+    c = np.frombuffer((" " + " ".join(texts) + "   ").encode("utf-32-le"), np.uint32).astype(U)
     sizes = np.array([len(t) for t in texts], np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes + 1)
-    n = len(doc)
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    left = np.repeat(begin + sizes, sizes + 1) - np.arange(n)  # bytes from here to the text's end
+    doc = np.concatenate([[0], np.repeat(np.arange(len(texts)), sizes + 1), [0, 0, 0]])[: len(c)]
+    space = (c <= 32) | (c == 0xA0) | ((c >= 0x2000) & (c <= 0x200A)) | (c == 0x3000)
+    c[space] = 32
+    inside = ~space
+    up, down = powers(1 << max(16, int(len(c) + 4).bit_length()))
     with np.errstate(over="ignore"):
-        a = flat[:n] * U(0x01000193) ^ flat[1: n + 1] * U(0x9E3779B1) ^ flat[2: n + 2] * U(0x85EBCA6B)
-        b = a ^ flat[3: n + 3] * U(0xC2B2AE35)
-        inside = (flat[:n] > 32) & (left > 0)
-        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-        ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-        tokens = (flat[:n] + U(7)) * U(0x2545F491)
-        tokens = tokens ^ tokens >> U(15)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
-        # a word's hash: its bytes' sum, length, first and last trigrams
-        word = ((sums[ends] - sums[starts]) & np.uint64(0xFFFFFFFF)).astype(U) * U(0x27D4EB2F) ^ (ends - starts).astype(U) * U(0x165667B1) ^ a[starts] * U(3) ^ a[np.maximum(starts, ends - 3)] * U(5)
-        pair = np.flatnonzero((word[1:] == word[:-1]) & (doc[starts[1:]] == doc[starts[:-1]])) + 1  # a word that follows itself
-        rows = np.concatenate([x ^ x >> U(13) for x in (a[left > 2] * U(0xB5297A4D), b[left > 3] * U(0x68E31DA4) ^ U(1), word * U(0x1B56C4E9) ^ U(2), np.full(len(pair), 0x7F4A7C15, U))])
-    return (rows >> U(15)).astype(np.int64) & (ROWS - 1), np.concatenate([doc[left > 2], doc[left > 3], doc[starts], doc[starts[pair]]])
+        sums = np.zeros(len(c) + 1, U)
+        np.cumsum((c + U(1)) * up[: len(c)], out=sums[1:])
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        found = [(sums[ends] - sums[starts]) * down[starts] + U(1)]
+        docs = [doc[starts]]
+        pairs = np.flatnonzero(docs[0][1:] == docs[0][:-1])
+        found.append(mix(found[0][pairs]) ^ mix(found[0][pairs + 1]))
+        docs.append(docs[0][pairs])
+        for n in (3, 4):  # all characters but the first and last lie inside a word
+            at = np.flatnonzero(inside[1:-2] & inside[n - 2 : len(c) - 4 + n - 1])
+            found.append((sums[at + n] - sums[at]) * down[at] + U(n))
+            docs.append(doc[at + 1])
+        rows = mix(np.concatenate(found)) >> U(47)
+    return rows.astype(np.int64) & (ROWS - 1), np.concatenate(docs)
 
 
 class Model:
@@ -52,22 +75,19 @@ class Model:
     def __init__(self, rows: np.ndarray, bias: float):
         self.rows, self.bias = rows, bias
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
-                size += len(texts[to])
-                to += 1
-            rows, doc = features(texts[at:to])
-            total, n = np.bincount(doc, self.rows[rows], to - at), np.bincount(doc, minlength=to - at)
-            out[at:to] = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -30, 30)))
-            at = to
-        return out
-
-
-def train(texts: list[bytes], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    def score(self, texts: list[str]) -> np.ndarray:
+        rows, doc = features(texts)
+        total, n = np.bincount(doc, self.rows[rows], len(texts)), np.bincount(doc, minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -30, 30)))
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct rows and their shares."""
+    rows, n = np.unique(features([text])[0], return_counts=True)
+    return rows, n / max(1, n.sum())
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Without labels, or with one class only, the score is the smoothed share of label 1."""
     y = np.array(labels, np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -76,10 +96,6 @@ def train(texts: list[bytes], labels: list[int], dim: int = DIM, epochs: int = E
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (ROWS, dim))
     out, bias = rng.uniform(-1, 1, (dim, 2)), np.zeros(2)
-    bags = []
-    for t in texts:
-        rows, n = np.unique(features([t])[0], return_counts=True)
-        bags.append((rows, n / max(1, n.sum())))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for k in rng.permutation(len(bags)).tolist():
@@ -105,22 +121,34 @@ def held_out(doc_id) -> F.Column:
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled rows outside the held-out third, at most sample of them.
-    Rows without a doc_id, a label or a text teach nothing; of several labels of a document the largest holds."""
+    Rows without a doc_id, a label or a text teach nothing; of several labels of a
+    document the largest holds, of several texts of a doc_id the least."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train([r["text"].encode("utf-8") for r in rows], [r["quality"] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2, CHUNK):
+            bags = [bag(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.astype(np.int32) for r, _ in bags], pa.list_(pa.int32())), pa.array([p for _, p in bags], pa.list_(pa.float64()))], ["doc_id", "quality", "rows", "parts"])
+
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, rows array<int>, parts array<double>").collect())
+    return train([(np.array(r["rows"], np.int64), np.array(r["parts"])) for r in got], [r["quality"] for r in got])
 
 
-def score(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id columns and score; a null text counts as empty."""
+def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns to keep and score, for every row; a null text counts as empty, equal
+    texts have equal scores. The text goes through once, also when it is kept. A kept
+    column named score is replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c.lower() != "score"]
+    cols = keep + [text_col] * (text_col not in keep)
+    at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = shared.value.score([t.encode("utf-8") for t in b.column(len(id_cols)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(id_cols)], pa.array(scores)], [*id_cols, "score"])
+        for b in slices(batches, at, CHUNK):
+            scores = shared.value.score([t or "" for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores)], [*keep, "score"])
 
-    rows = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
-    return rows.mapInArrow(run, kinds + ", score double")
+    rows = df.select(*map(named, cols))
+    return rows.mapInArrow(run, T.StructType([*rows.schema[: len(keep)], T.StructField("score", T.DoubleType())]))

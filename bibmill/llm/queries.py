@@ -39,7 +39,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = quality_classifier.score(docs, model, ["doc_id"])
+    out = quality_classifier.score(docs.select("doc_id", "text"), model, ["doc_id"])
     return out.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

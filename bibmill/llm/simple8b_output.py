@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, named, partitions, slices
 from .word_encoder import word_encoder
 
 BLOCK = 4096
@@ -145,7 +145,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
             data = segment(lengths, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([held], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "data": pa.array([data], pa.binary())})
 
-        for b in batches:
+        for b in slices(batches, 1):
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = encode(text) + end
                 names.append(name)
@@ -159,7 +159,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
         if names:
             yield full()
 
-    rows = df.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = df.select(named(id_col).cast("long").alias("i"), F.coalesce(named(text_col), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(partitions(df.sparkSession), "i", F.xxhash64("t")).sortWithinPartitions("i", F.xxhash64("t"))
     out = rows.mapInArrow(run, "part int, first long, n_ids long, doc_ids array<long>, data binary")
     out.write.option("compression", "uncompressed").parquet(path)
@@ -186,7 +186,8 @@ def read_ids(spark, path: str) -> DataFrame:
 
 def token_files(df: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32.
-    An empty or null text is its end id alone; an empty table gives no rows."""
+    An empty or null text is its end id alone; an empty table gives no rows, equal rows
+    are written each; other columns are left out."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     path = scratch.path("ids")
     write_ids(df, path, tokenizer)

@@ -17,9 +17,9 @@ sampled at content-defined places and the others induced from the samples.
    order, those equal in o bytes to the left a class of the left order, and a
    string repeats if interval and class have two members.
 4. A gram with more than GROUP different surroundings isn't sorted in one task:
-   the offsets are cut into parts, and each part recurses with the bytes that its
-   strings have in common as a longer gram; what is left is counted string by
-   string. No group, however large, is gathered.
+   the offsets are cut into parts, each known by the bytes that its strings have in
+   common, a longer gram; what is left is counted string by string. No group,
+   however large, is gathered.
 
 Equality of whole surroundings and of counted strings rests on 128 hash bits.
 """
@@ -34,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import RID, Scratch, partitions, with_row_id
+from .common import RID, ROW, Scratch, back, partitions, slices, text_of, with_row_id
 
 LENGTH, GRAM, GROUP, PART, BATCH = 200, 48, 1024, 13, 6000
 REACH = LENGTH - GRAM  # an anchor lies 0 to REACH bytes after the start of a string that holds it
@@ -96,15 +97,13 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def find_anchors(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                found = [anchors(t.encode("utf-8")) for t in texts[i: i + 500]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(rids[i: i + 500], [len(f[0]) for f in found])),
-                    pa.array(np.concatenate([f[0] for f in found]).astype(np.int32)),
-                    *(pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in (1, 2)),
-                ], [RID, "at", "gram", "around"])
+        for b in slices(batches, 1):
+            found = [anchors(t.encode("utf-8")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(b.column(0).to_numpy(), [len(f[0]) for f in found])),
+                pa.array(np.concatenate([f[0] for f in found]).astype(np.int32)),
+                *(pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in (1, 2)),
+            ], [RID, "at", "gram", "around"])
 
     return df.select(RID, "_text").mapInArrow(run, f"{RID} long, at int, gram long, around long")
 
@@ -258,12 +257,9 @@ def recurse(sides: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def remove(text: bytes, hits: list[tuple]) -> tuple[bytes, int]:
-    """The text without the bytes of the strings found, and how many runs went.
+def covered(n: int, hits: list[tuple]) -> np.ndarray:
+    """Which of n bytes the strings found cover.
     hits: (anchor, mask or None, offsets or None); None twice stands for all."""
-    n = len(text)
-    if not hits:
-        return text, 0
     edge = np.zeros(n + 1, np.int64)
     for at, mask, offsets in hits:
         if mask is not None:
@@ -274,30 +270,45 @@ def remove(text: bytes, hits: list[tuple]) -> tuple[bytes, int]:
             starts = np.arange(max(0, at - REACH), min(at, n - LENGTH) + 1)
         edge[starts] += 1
         edge[starts + LENGTH] -= 1
-    gone = np.cumsum(edge[:n]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), runs
+    return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df's columns with n_bytes, n_removed, n_spans and kept (the bytes that are left)
-    instead of the text column. Null texts are empty; equal rows repeat each other;
-    texts shorter than LENGTH bytes keep all."""
+def remove(text: bytes, hits: list[tuple], characters: bool) -> tuple[bytes, int, int]:
+    """What is left of the text, and how many bytes and runs were found. With
+    characters, the other bytes of a character that a run cuts go too."""
+    if not hits:
+        return text, 0, 0
+    data, gone = np.frombuffer(text, np.uint8), covered(len(text), hits)
+    found, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    if characters:
+        character = np.cumsum(data & 0xC0 != 0x80)
+        gone = (np.bincount(character, gone) > 0)[character]
+    return data[~gone].tobytes(), found, runs
+
+
+def remove_repeats(df: DataFrame, text_col: str = "text", characters: bool = False) -> DataFrame:
+    """df's columns with n_bytes, n_removed, n_spans and kept instead of the text column.
+    kept is the bytes that are left, or with characters a text without the characters
+    that lost a byte. Null texts are empty; equal rows repeat each other; texts shorter
+    than LENGTH bytes keep all; an empty table gives no rows. Columns of df named as a
+    result are replaced, all others stay."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    rows = with_row_id(df, scratch).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    found = scratch.cut(find_anchors(rows), "anchors")
+    rows = with_row_id(df, scratch)
+    texts = rows.select(RID, text_of(text_col).alias("_text"))
+    found = scratch.cut(find_anchors(texts), "anchors")
     counts = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
     met = scratch.cut(found.join(counts.select("gram", (F.col("low") == F.col("high")).alias("same")), "gram"), "repeated")
     scratch.drop(found)
 
     open_ = met.where("not same")
-    kinds = open_.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct(RID, "at")).alias("first"))
+    # written before the join, whose shuffle Spark can then split where one gram has very many surroundings
+    kinds = scratch.cut(open_.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct(RID, "at")).alias("first")), "kinds")
     sizes = kinds.groupBy("gram").agg(F.count("*").alias("d"))
-    reps = scratch.cut(kinds.join(sizes, "gram").select("gram", "around", "c", "first.*", "d"), "kinds")
-    scratch.release()
-    small = scratch.cut(solve(surroundings(reps.where(F.col("d") <= GROUP), rows.select(RID, "_text")), spark), "small")
+    reps = scratch.cut(kinds.join(sizes, "gram").select("gram", "around", "c", "first.*", "d"), "reps")
+    scratch.drop(kinds)
+    small = scratch.cut(solve(surroundings(reps.where(F.col("d") <= GROUP), texts), spark), "small")
     scratch.release()
-    sides = scratch.cut(surroundings(reps.where(F.col("d") > GROUP), rows.select(RID, "_text")), "sides")
+    sides = scratch.cut(surroundings(reps.where(F.col("d") > GROUP), texts), "sides")
     scratch.release()
     large = recurse(sides, scratch)
     scratch.drop(sides)
@@ -306,19 +317,20 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     told = small.select("gram", "around", "mask", offsets).unionByName(large.select("gram", "around", mask, "offsets")).unionByName(reps.where("c > 1").select("gram", "around", mask, offsets))
     hits = open_.join(told, ["gram", "around"]).select(RID, "at", "mask", "offsets").unionByName(met.where("same").select(RID, "at", mask, offsets))
     hits = hits.groupBy(RID).agg(F.collect_list(F.struct("at", "mask", "offsets")).alias("_hits"))
-    others = [c for c in df.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")]
-    joined = rows.join(hits, RID, "left").select(*others, "_text", "_hits")
+    names = ("n_bytes", "n_removed", "n_spans", "kept")
+    others = F.struct(F.lit(0).alias("_"), *back(df.columns, text_col, *names)).alias(ROW)
+    joined = rows.join(hits, RID, "left").select(others, text_of(text_col).alias("_text"), "_hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part, out = b.slice(i, 500), []
-                for text, hit in zip(part.column(len(others)).to_pylist(), part.column(len(others) + 1).to_pylist()):
-                    text = text.encode("utf-8")
-                    kept, spans = remove(text, [(h["at"], h["mask"], h["offsets"]) for h in hit or ()])
-                    out.append((len(text), len(text) - len(kept), spans, kept))
-                cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *cols], [*others, "n_bytes", "n_removed", "n_spans", "kept"])
-
-    schema = ", ".join(f"`{c}` {k}" for c, k in joined.dtypes[:-2]) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.mapInArrow(run, schema)
+        for b in slices(batches, 1):
+            out = []
+            for text, hit in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                text = text.encode("utf-8")
+                kept, gone, spans = remove(text, [(h["at"], h["mask"], h["offsets"]) for h in hit or ()], characters)
+                out.append((len(text), gone, spans, kept.decode("utf-8") if characters else kept))
+            cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string() if characters else pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], [ROW, *names])
+
+    schema = T.StructType([joined.schema[ROW], *(T.StructField(c, T.LongType()) for c in names[:3]), T.StructField("kept", T.StringType() if characters else T.BinaryType())])
+    done = joined.mapInArrow(run, schema)
+    return done.select(*back(df.columns, text_col, *names), *names)

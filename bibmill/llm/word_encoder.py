@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never merges across it, so a text's ids are
 those of its white-space chunks, joined. Chunks repeat, so each worker keeps a
-bounded memo; the tokenizers library encodes what the memo lacks.
+bounded memo; the tokenizers library encodes what the memo lacks. Strings of special
+tokens in a text are those tokens, as the library has it by default.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: ASCII punctuation that ends a run of letters; an apostrophe may start a contraction.
 CLOSERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -35,7 +36,6 @@ class WordEncoder(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
 
     def direct(self, text: str) -> bytes:

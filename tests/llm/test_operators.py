@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bibmill.llm import byte_bpe, common, embedding_dedup, gif, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, simple8b_output, suffix_dedup
@@ -25,15 +26,27 @@ def words(n, rng=RNG):
 
 PASSAGE = words(80)
 TEXTS = [None, "", " ", "a", words(30), words(400), PASSAGE, PASSAGE + " tail one", "head two " + PASSAGE, words(60) + PASSAGE + words(60), "x" * 900, "x" * 350, words(4000), "line\nline\n\nother", "tab\there  two  spaces nbsp \U0001f600 é"]
+TEXTS += ["foo <|endoftext|> bar<|startoftext|>x <|EndOfText|>", "ababab ababa momomom ==== =====  ....", "\ufffd kept"]
 TEXTS += [TEXTS[5], TEXTS[5], " ".join(w if i % 40 else "changed" for i, w in enumerate(TEXTS[5].split(" ")))]
 
 
+#: Names that the operators use inside.
+CLASH = ["_rid", "_row", "_text", "_hits", "_class", "_host", "host", "lines", "kept_", "items", "a.b", "first", "root"]
+
+
+def intact(df):
+    """The user's columns come back as they were."""
+    assert set(CLASH) <= set(df.columns)
+    for r in df.collect():
+        assert {r[c] for c in CLASH} == {f"u{r['doc_id']}"}
+
+
 def _table(spark):
     import tempfile
 
     path = tempfile.mkdtemp(prefix="bibmill-test-") + "/d"
-    rows = [(i, t, "en", "s" if i % 2 else None, 1, i * 2, "z") for i, t in enumerate(TEXTS)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines long, _host string").repartition(3).write.parquet(path)
+    rows = [(i, t, "en", "s" if i % 2 else None, 1, *[f"u{i}"] * len(CLASH)) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)).repartition(3).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -62,19 +75,57 @@ def repeats(texts):
 @pytest.mark.parametrize("group", [1024, 1])
 def test_suffix_dedup(docs, empty, group, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs.select("doc_id", "text")).collect()}
+    out = suffix_dedup.remove_repeats(docs)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()}
     assert got == dict(enumerate(repeats(TEXTS)))
+    intact(out)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_keeps_whole_characters():
+    text = ("é" * 5 + "\ufffd").encode()
+    assert suffix_dedup.covered(3, []).sum() == 0
+    edge = np.zeros(len(text), bool)
+    edge[1:4] = True
+    old = suffix_dedup.covered
+    try:
+        suffix_dedup.covered = lambda n, hits: edge
+        assert suffix_dedup.remove(text, [1], False) == (text[:1] + text[4:], 3, 1)
+        assert suffix_dedup.remove(text, [1], True) == (("é" * 3 + "\ufffd").encode(), 3, 1)
+    finally:
+        suffix_dedup.covered = old
+
+
 def test_gif(docs, empty):
     for r in gif.payloads(docs).collect():
         raw = (TEXTS[r["doc_id"]] or "").encode()
         padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        shown = list(gif.frames(gif.store(padded)))
+        colours = sum(gif.histogram(x) for x, _ in shown)
+        assert r["feature"] == f"frames={len(shown)} ms={40 * len(shown)} colours={','.join(map(str, colours))}" and colours.sum() == len(padded)
+        bins = Counter(tuple(int(x) >> 6 for x in gif.COLOURS[b]) for b in padded)
+        assert {(r >> 4, r >> 2 & 3, r & 3): n for r, n in enumerate(colours.tolist()) if n} == dict(bins)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(gif.store(padded)), hashlib.sha256(gif.store(padded)).hexdigest())
     assert gif.payloads(empty).count() == 0
 
 
+def test_long_text_takes_several_frames():
+    payload = bytes(range(64)) * 66000
+    _, _, found = gif.decode(gif.store(payload))
+    assert len(found) == 2 and b"".join(f.samples for f in found) == payload
+
+
+@pytest.mark.parametrize("size", [0, 1, 9, 200])
+def test_bad_gif_files_are_told(spark, size):
+    good = gif.store(bytes(64))
+    at = 13 + 768 + 8 + 10  # behind the header, the palette, the control block and the descriptor
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    files = [good[:at] + bytes([size]) + good[at + 1:], good[:20], b"", huge]
+    rows = gif.gif_frames(spark.createDataFrame(list(enumerate(files)), "id long, m binary"), "id", "m").collect()
+    assert [(r["id"], r["frame"]) for r in rows] == [(k, -1) for k in range(4)]
+
+
 @pytest.mark.parametrize("size", [2, 8])
 @pytest.mark.parametrize("n", [0, 1, 3, 5000, 40000])
 def test_lzw_round_trip(size, n):
@@ -109,6 +160,27 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty, spans=True).count() == 0
 
 
+def marked(template, full):
+    """The template's text with all optional wording, or none."""
+    import re
+
+    while "[[" in template:
+        template = re.sub(r"\[\[((?:(?!\[\[|\]\]).)*)\]\]", r" \1 " if full else " ", template)
+    return re.sub(r"\{\{\d+\}\}", "acme", template)
+
+
+@pytest.mark.parametrize("label, template", license_scan.TEMPLATES)
+def test_templates_accept_their_wording_alone(label, template):
+    for full in (True, False):
+        text = f"x {marked(template, full)} y".upper().encode().translate(license_scan.LOWER)
+        assert label in {a for a, _, _ in license_scan.scan(text)[1]} and license_scan.hint(tuple(license_scan.TEMPLATES)).search(text)
+    if label.endswith("-full"):
+        ws = license_scan.WORD.findall(marked(template, False).lower().encode())
+        for k, w in enumerate(ws):
+            if w != b"acme" and k % 7 == 0:
+                assert label not in {a for a, _, _ in license_scan.scan(b" ".join(ws[:k] + [b"zzz"] + ws[k + 1:]))[1]} or b"acme" in ws[max(0, k - 16): k + 17]
+
+
 def test_automaton():
     a = license_scan.Automaton("a [[b [[c]]]] {{2}} d")
     match = lambda t: a.match(t.encode().split(), 0)
@@ -134,11 +206,41 @@ def test_embedding_dedup(spark):
         assert got[i] == (len(links.get(i, [])), min(reach), min(reach) == i)
 
 
+def test_embedding_recall_at_the_threshold():
+    """Pairs of a cosine of just 0.9, of which candidates must hold nine tenths."""
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    d = embedding_dedup
+    for cosine, least in ((0.9, 0.95), (0.93, 0.98), (0.97, 0.999)):
+        near = cosine * a + (1 - cosine**2) ** 0.5 * b
+        x, y = (d.hash_vectors(v, d.TABLES, d.KEYS, d.CELL, d.SEED) for v in (a, near))
+        assert (x == y).any(axis=1).mean() > least
+
+
+def test_embedding_large_buckets(spark, monkeypatch):
+    """A bucket of several blocks gives the links of brute force."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal(16) + 0.25 * rng.standard_normal((60, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist(), "u") for i, r in enumerate(x)], "vec_id long, embedding array<float>, _rid string")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_links(df).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    assert sum(got.values()) >= 0.9 * (near.sum() - len(x)) and all(got[i] <= near[i].sum() - 1 for i in got)
+    assert embedding_dedup.embedding_links(df.where("vec_id < 0")).count() == 0
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(i, ("menu\n" if i < 6 else "") + f"own {i}\n\n menu ", "h", 7) for i in range(8)] + [(8, None, None, 7), (9, "", "", 7)]
+    rows += [(10, "copied\nbody", "h", 7)] * 4 + [(11, "once", "small", 7), (12, "twice\nonly a", "two", 7), (13, "twice\nonly b", "two", 7)]
     out = line_dedup.drop_boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int"), ratio=0.5)
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()}
     assert got[0] == ("own 0\n", 4, 2) and got[7] == ("own 7\n", 3, 1) and got[8] == (None, 0, 0) and got[9] == ("", 1, 0)
+    assert got[10] == ("copied\nbody", 2, 0) and got[11] == ("once", 1, 0) and got[12] == ("only a", 2, 1)
+    intact(line_dedup.drop_boilerplate_lines(docs))
     assert line_dedup.drop_boilerplate_lines(empty).count() == 0
 
 
@@ -150,6 +252,8 @@ def test_quality_classifier(spark, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(None, 1), (5, None)], "doc_id long, quality int")
     model = quality_classifier.fit(df, labels)
     got = {r["doc_id"]: r["score"] for r in quality_classifier.score(df, model, ["doc_id"]).collect()}
+    twice = quality_classifier.score(df.withColumn("score", F.lit("old")).union(df.withColumn("score", F.lit("old"))), model, ["doc_id", "text", "score"]).collect()
+    assert len(twice) == 244 and all(r["score"] == got[r["doc_id"]] for r in twice) and {r["text"] for r in twice} == {r["text"] for r in df.collect()}
     out = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(got[i] >= 0.5) == i % 2 for i in out]) > 0.95 and got[200] == got[201] and all(0 <= s <= 1 for s in got.values())
     assert quality_classifier.score(empty, quality_classifier.fit(empty, labels), ["doc_id"]).count() == 0
@@ -157,7 +261,6 @@ def test_quality_classifier(spark, empty):
 
 def expected_ids():
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in TEXTS]
 
 
@@ -178,20 +281,25 @@ def test_simple8b_round_trip(top):
         assert lengths.tolist() == [n] and (back == ids).all()
 
 
-def test_minhash(docs, empty):
-    out = {r["doc_id"]: r["_class"] for r in minhash_dedup.near_duplicates(docs).collect()}
+@pytest.mark.parametrize("weighted", [True, False])
+def test_minhash(docs, empty, weighted):
+    rows = minhash_dedup.near_duplicates(docs, weighted=weighted)
+    intact(rows)
+    out = {r["doc_id"]: r["dup_class"] for r in rows.collect()}
     groups = defaultdict(set)
     for i, c in out.items():
         groups[c].add(i)
     sets = []
     for t in TEXTS:
         w = minhash_dedup.WORDS.findall((t or "").lower())
-        sets.append({tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        sets.append(Counter(tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+        if not weighted:
+            sets[-1] = Counter(set(sets[-1]))
     root = list(range(len(TEXTS)))
     for a in range(len(TEXTS)):
         for b in range(a):
-            common = len(sets[a] & sets[b])
-            if (TEXTS[a] or "") == (TEXTS[b] or "") or common and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            common = (sets[a] & sets[b]).total()
+            if (TEXTS[a] or "") == (TEXTS[b] or "") or common and common >= 0.8 * (sets[a].total() + sets[b].total() - common):
                 root = [root[b] if r == root[a] else r for r in root]
     want = defaultdict(set)
     for i, r in enumerate(root):
@@ -223,7 +331,73 @@ def test_suffix_dedup_when_splits_change(docs, repacked):
 
 
 def test_minhash_when_splits_change(docs, repacked):
-    test_minhash(docs, docs.where("doc_id < 0"))
+    test_minhash(docs, docs.where("doc_id < 0"), True)
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+@pytest.mark.parametrize("block", [256, 5])
+def test_minhash_of_a_loose_group(spark, monkeypatch, weighted, block):
+    """Many texts about as far from each other as the threshold: classes are those of
+    brute force, in one block as in many."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 400, 100)]
+    texts = []
+    for k in range(70):
+        own = list(base)
+        for at in rng.choice(100, rng.integers(0, 7), replace=False):
+            own[at] = f"n{rng.integers(0, 10**9)}"
+        texts.append(" ".join(own + ["again and again and"] * (k % 3)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["dup_class"] for r in minhash_dedup.near_duplicates(df, weighted=weighted).collect()}
+    sets = [Counter(tuple(w[i: i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    sets = sets if weighted else [Counter(set(x)) for x in sets]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            c = (sets[a] & sets[b]).total()
+            if c >= 0.8 * (sets[a].total() + sets[b].total() - c):
+                root = [root[b] if r == root[a] else r for r in root]
+    groups = lambda labels: {frozenset(i for i, x in enumerate(labels) if x == y) for y in set(labels)}
+    assert groups([got[i] for i in range(len(texts))]) == groups(root) and 1 < len(groups(root)) < 60
+
+
+def test_common_counts_agree():
+    rng = np.random.default_rng(2)
+    items = [np.unique(rng.integers(0, 3000, rng.integers(1, 900))) for _ in range(30)]
+    a, b = map(np.array, zip(*[(i, j) for i in range(30) for j in range(i)]))
+    want = [len(np.intersect1d(items[x], items[y])) for x, y in zip(a, b)]
+    assert minhash_dedup.common_counts(items, a, b).tolist() == want
+    assert minhash_dedup.common_counts(items, a[:2], b[:2]).tolist() == want[:2]
+
+
+def test_minhash_recall():
+    """Of 12,000 texts, candidates of pairs with a similarity of 0.8 to 0.9."""
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 2**63, (6000, 90), dtype=np.uint64)
+    twin = h.copy()
+    twin[:, :10] = rng.integers(0, 2**63, (6000, 10), dtype=np.uint64)  # 80 of 100 elements in common
+    both = np.stack([h, twin], axis=1).reshape(12000, 90)
+    met = 0
+    for part in np.split(both, 40):
+        darts = minhash_dedup.signatures(part.ravel(), np.ones(part.size), np.repeat(np.arange(300), 90), 300).reshape(150, 2, minhash_dedup.BANDS, minhash_dedup.ROWS)
+        met += (darts[:, 0] == darts[:, 1]).all(axis=2).any(axis=1).sum()
+    assert met / 6000 > 0.99
+
+
+@pytest.mark.parametrize("mean", [0.01, 3.0, 15.9])
+def test_poisson(mean):
+    n = minhash_dedup.poisson(np.random.default_rng(1).random(200_000), mean)
+    assert n.mean() == pytest.approx(mean, rel=0.03) and n.var() == pytest.approx(mean, rel=0.05)
+
+
+def test_regions_cover_all_weights():
+    for heaviest, width in ((1.0, 1e-5), (1000.0, 0.2), (7.0, 3.0)):
+        at = 0.0
+        for _, _, light, heavy in minhash_dedup.regions(heaviest, width):
+            assert light == pytest.approx(at) and minhash_dedup.K * width * (heavy - light) <= minhash_dedup.MOST_DARTS * 1.001
+            at = heavy
+        assert at >= heaviest
 
 
 def test_weighted_signatures_agree_as_weighted_jaccard():
@@ -243,9 +417,19 @@ def test_byte_bpe(docs, empty):
         ids = enc.encode_ordinary(TEXTS[r["doc_id"]] or "")
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((TEXTS[r["doc_id"]] or "").encode()).hexdigest())
     assert byte_bpe.round_trip(empty, BYTE_BPE, public_tokenizers.PATTERN).count() == 0
-    row = byte_bpe.encode(docs.where("doc_id = 14"), BYTE_BPE, public_tokenizers.PATTERN, offsets=True).first()
-    raw, ids = TEXTS[14].encode(), np.frombuffer(row["ids"], "<u4")
-    assert [raw[o["start"]: o["end"]] for o in row["offsets"]] == [byte_bpe.byte_bpe(BYTE_BPE, public_tokenizers.PATTERN).bytes_of[i] for i in ids]
+    for r in byte_bpe.decode(byte_bpe.encode(docs, BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE).collect():
+        raw, ids, starts = (TEXTS[r["id"]] or "").encode(), np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["starts"], "<u8")
+        assert [raw[a:b] for a, b in zip(starts, starts[1:])] == [byte_bpe.byte_table(BYTE_BPE).bytes_of[i] for i in ids]
+
+
+def test_byte_bpe_as_tiktoken():
+    """Where merges of one rank overlap, too; and of a very long piece."""
+    bpe = byte_bpe.byte_bpe(BYTE_BPE, public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    parts = ["a", "b", "ab", "aba", "mom", " ", "  ", "-", "=", "..", "0", "é", "数", "ha", "\n", "'s", "漢", "😀"]
+    texts = ["".join(RNG.choice(RNG.choice(parts, RNG.integers(1, 5)), RNG.integers(1, 40))) for _ in range(3000)] + ["=" * 20001, "ab" * 10000]
+    for t in texts:
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
 
 
 def test_packing(docs, empty):
@@ -263,9 +447,37 @@ def test_packing(docs, empty):
             assert offset == at
             at += length
         assert at <= 4096
+    assert len(held) == -(-sum(map(len, ids)) // 4096)
     assert packing.best_fit_pack(empty, WORD_BPE).count() == 0
 
 
+def test_packing_is_near_the_bound():
+    """On random lengths, as many sequences as the tokens need, but for one in fifty."""
+    for seed in range(5):
+        counts = np.bincount(np.minimum(np.random.default_rng(seed).lognormal(5.5, 1.2, 5000).astype(int) + 1, 1000), minlength=1001)
+        used = sum(n for _, n in packing.plan(counts))
+        assert used <= 1.02 * -(-(counts * np.arange(1001)).sum() // 1000)
+
+
+def test_scratch_without_a_shared_folder(spark, monkeypatch):
+    """A local session gets a temporary folder; a cluster an error."""
+    class Conf:
+        def get(self, name, other=None):
+            return other
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "local[2]", "test-app"
+
+    assert common.shared_dir(Session).startswith("file:///") and common.shared_dir(Session) == common.shared_dir(Session)
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError):
+            common.shared_dir(Session)
+
+
 def test_plan_fills_exactly():
     counts = np.zeros(101, np.int64)
     counts[[60, 40, 30, 10]] = 4, 2, 2, 2
