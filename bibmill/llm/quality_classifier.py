@@ -84,7 +84,7 @@ class Model:
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A text's distinct rows and their shares."""
     rows, n = np.unique(features([text])[0], return_counts=True)
-    return rows, n / max(1, n.sum())
+    return rows.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -129,11 +129,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2, CHUNK):
             bags = [bag(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.astype(np.int32) for r, _ in bags], pa.list_(pa.int32())), pa.array([p for _, p in bags], pa.list_(pa.float64()))], ["doc_id", "quality", "rows", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1))], ["doc_id", "quality", "rows", "parts"])
 
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, rows array<int>, parts array<double>").collect())
-    return train([(np.array(r["rows"], np.int64), np.array(r["parts"])) for r in got], [r["quality"] for r in got])
+    # as bytes, since the driver would need many times their size for lists of numbers
+    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, rows binary, parts binary").collect())
+    return train([(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["parts"], np.float32)) for r in got], [r["quality"] for r in got])
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
