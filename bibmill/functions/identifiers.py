@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DOI, PMID, PMCID, HANDLE = r"^10\.\d{4,9}/\S+$", r"^[1-9]\d{0,8}$", r"^PMC\d+$", r"^\d+(\.\d+)*/\S+$"
-ARXIV = r"^(\d{4}\.\d{4,5}|[a-z-]+(\.[a-z]{2})?/\d{7})(v\d+)?$"
-#: Hosts whose addresses say nothing about a work.
-GENERIC_HOSTS = ["doi.org", "dx.doi.org", "google.com", "scholar.google.com", "researchgate.net", "academia.edu", "semanticscholar.org"]
+from .bind import let
+
+#: Forms of identifiers.
+DOI, PMID, PMCID, HANDLE = r"(?i)^10\.\d{4,9}/[-._;()/:a-z0-9]+$", r"^[1-9]\d{0,8}$", r"^PMC\d+$", r"^\d+(\.\d+)*/\S+$"
+ARXIV = r"(?i)^(\d{4}\.\d{4,5}|[a-z-]+(\.[A-Z]{2})?/\d{7})(v\d+)?$"
+PATENT = r"\b((US|EP|WO|CN|JP|GB|DE|FR|KR|CA|AU)\s*)?(RE|PP|D)?\s*\d{6,}[A-Z0-9/-]*\b"
+#: Hosts whose addresses don't tell one work from another.
+GENERIC_HOSTS = ["doi.org", "dx.doi.org", "handle.net", "hdl.handle.net", "arxiv.org", "www.arxiv.org", "patents.google.com"]
 
 
 def when_matches(value: Column, pattern: str) -> Column:
-    return F.when(value.rlike(pattern), value)
+    return let(value, lambda x: F.when(x.rlike(pattern), x))
 
 
 def drop_surplus(c: Column, opening: str, closing: str) -> Column:
     """Takes trailing closing brackets off, as many as have no opening one."""
+    count = lambda x, mark: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
     trailing = F.length(c) - F.length(F.rtrim(c, F.lit(closing)))
-    surplus = (F.length(c) - F.length(F.replace(c, F.lit(closing), F.lit("")))) - (F.length(c) - F.length(F.replace(c, F.lit(opening), F.lit(""))))
-    return F.substring(c, F.lit(1), F.length(c) - F.greatest(F.lit(0), F.least(trailing, surplus)))
+    return F.substring(c, F.lit(1), F.length(c) - F.greatest(F.lit(0), F.least(trailing, count(c, closing) - count(c, opening))))
 
 
 def strip_tail(c: Column) -> Column:
     """Without <...> around it, query or fragment, trailing marks and surplus brackets."""
     c = F.regexp_replace(F.regexp_replace(F.trim(c), r"^<(.*)>$", "$1"), r"[?#].*$", "")
-    c = F.regexp_replace(c, r"[.,;:]+$", "")
-    return F.regexp_replace(drop_surplus(drop_surplus(c, "(", ")"), "[", "]"), r"[.,;:]+$", "")
+    c = let(F.regexp_replace(c, r"[.,;:]+$", ""), lambda x: drop_surplus(x, "(", ")"))
+    return F.regexp_replace(let(c, lambda x: drop_surplus(x, "[", "]")), r"[.,;:]+$", "")
 
 
 def doi(c: Column) -> Column:
@@ -49,8 +53,33 @@ def pmcid(c: Column) -> Column:
 
 
 def arxiv(c: Column) -> Column:
-    bare = F.regexp_replace(F.lower(F.trim(c)), r"^(https?://arxiv\.org/(abs|pdf)/|arxiv:\s*|10\.48550/arxiv\.)", "")
-    return when_matches(F.regexp_replace(bare, r"\.pdf$", ""), ARXIV)
+    """With its version, if it has one; also out of the DOI that arXiv gives."""
+    def told(bare: Column) -> Column:
+        rest = F.regexp_replace(bare, r"(?i)^https?://(www\.)?arxiv\.org/(abs|pdf)/", "")
+        rest = strip_tail(F.regexp_replace(F.regexp_replace(rest, r"(?i)\.pdf$", ""), r"(?i)^arxiv:\s*", ""))
+        return F.coalesce(strip_tail(F.nullif(F.regexp_extract(bare, r"(?i)10\.48550/arxiv\.([^\s/]+)", 1), F.lit(""))), when_matches(rest, ARXIV))
+
+    return let(strip_tail(c), told)
+
+
+def patent(c: Column) -> Column:
+    """Needs a jurisdiction or the word patent, six digits, and not to be part of a DOI."""
+    google = r"(?i)^https?://(www\.)?patents\.google\.com/patent/"
+    word = r"(?i)\bpatent(\s+application)?(\s+no\.?)?\b"
+
+    def found(raw: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(raw, google, ""), r"(?i)/[a-z]{2}(-[a-z]{2})?/?$", "")
+        bare = F.upper(F.trim(F.regexp_replace(F.regexp_replace(bare, word, ""), r"\s+", " ")))
+        return let(F.regexp_replace(F.regexp_extract(bare, PATENT, 0), r"\s+", ""), lambda x: checked(raw, x))
+
+    def checked(raw: Column, number: Column) -> Column:
+        tight = F.upper(F.regexp_replace(raw, r"\s+", ""))
+        inside = F.instr(F.regexp_extract(tight, r"(10\.\d{4,9}/.*)$", 1), number) > 0
+        told = raw.rlike(word) | raw.rlike(google)
+        ok = (F.length(F.regexp_replace(number, r"\D", "")) >= 6) & (told | (~inside & number.rlike("^(US|EP|WO|CN|JP|GB|DE|FR|KR|CA|AU|RE|PP|D)")))
+        return F.when(ok, number)
+
+    return let(strip_tail(c), found)
 
 
 def handle(c: Column) -> Column:
@@ -87,17 +116,25 @@ def url_path(url: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """Lower-case scheme and host without default port, path and query; no fragment."""
-    rest = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1)
-    return F.when(url.rlike(r"^[A-Za-z]+://[^/?#]+"), F.concat(F.lower(F.regexp_extract(url, r"^([A-Za-z]+)://", 1)), F.lit("://"), url_host(url), rest))
+    """A DOI's address for a DOI; else lower-case scheme and host without default port,
+    path and query; no fragment. Null for what is no web address."""
+    def made(bare: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1), "^(?!/)", "/")
+        plain = F.concat(F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)://", 1)), F.lit("://"), url_host(bare), rest)
+        return F.coalesce(F.concat(F.lit("https://doi.org/"), doi(bare)), F.when(bare.rlike(r"(?i)^https?://[^/?#]+"), plain))
+
+    return let(F.regexp_replace(F.trim(url), r"[)\],.;:]+$", ""), made)
 
 
 def url_propagation_key(url: Column) -> Column:
-    """Host and path, one slash at a time; null for hosts that many works share."""
-    host = F.regexp_replace(url_host(url), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_replace(url_path(url), r"/+", "/"), r"/$", "")
-    return F.when((host != "") & ~host.isin(GENERIC_HOSTS), F.concat(host, path))
+    """Host and path, one slash at a time; null for hosts that many works share and
+    for addresses without a path."""
+    def made(bare: Column) -> Column:
+        host, path = F.regexp_replace(url_host(bare), r":\d+$", ""), F.regexp_replace(F.regexp_replace(url_path(bare), r"/+", "/"), r"/$", "")
+        return F.when(bare.rlike(r"(?i)^https?://") & (host != "") & ~host.isin(GENERIC_HOSTS) & (path != ""), F.concat(host, path))
+
+    return let(strip_tail(url), made)
 
 
 def normalize(kind: str, c: Column) -> Column:
-    return {"doi": doi, "pmid": pmid, "pmcid": pmcid, "arxiv": arxiv, "handle": handle, "isbn": isbn, "issn": issn, "url": url_key}[kind](c)
+    return {"doi": doi, "pmid": pmid, "pmcid": pmcid, "arxiv": arxiv, "handle": handle, "isbn": isbn, "issn": issn, "patent": patent, "url": url_key}[kind](c)

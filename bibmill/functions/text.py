@@ -9,10 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entities that markup stripping decodes, ampersand last.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+#: Entities that markup stripping decodes, in this order and whatever their case.
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&(?:apos|#0*39|#x0*27);", "'"), ("&nbsp;", " ")]
 #: Small words that title case leaves alone.
-SMALL_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "nor", "of", "on", "or", "the", "to", "via", "with"]
+SMALL_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "nor", "of", "on", "or", "per", "the", "to", "via", "vs"]
+#: Ligatures and what they stand for.
+LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st")]
 
 
 def collapse(c: Column) -> Column:
@@ -28,26 +30,33 @@ def sanitize(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def fold_marks(s: pd.Series) -> pd.Series:
-    """NFKD without combining marks."""
-    return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")))
+    """NFKD without combining marks. ASCII texts are that already."""
+    return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")))
+
+
+@F.pandas_udf(T.StringType())
+def compatible(s: pd.Series) -> pd.Series:
+    """NFKC. ASCII texts are that already."""
+    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def key(c: Column) -> Column:
-    return F.lower(collapse(fold_marks(c)))
+    return collapse(F.lower(fold_marks(c)))
 
 
 def content_hash(c: Column) -> Column:
-    """sha256 of the sanitized, lower-case text with single spaces."""
-    return F.sha2(F.lower(collapse(sanitize(c))), 256)
+    """sha256 of the key of the sanitized text."""
+    return F.sha2(key(sanitize(c)), 256)
 
 
 def truth_hash(c: Column) -> Column:
-    """As content_hash, with the case as it is."""
+    """Of single-spaced text, with the case as it is."""
     return F.sha2(collapse(c), 256)
 
 
 def title_hash(c: Column) -> Column:
-    return F.substring(content_hash(c), 1, 24)
+    """24 hex digits of the key's sha256; null for a title without any character."""
+    return F.substring(F.sha2(F.nullif(key(c), F.lit("")), 256), 1, 24)
 
 
 def training_hash(c: Column) -> Column:
@@ -56,22 +65,30 @@ def training_hash(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    made = F.regexp_replace(F.regexp_replace(F.lower(collapse(c)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    made = F.regexp_replace(F.regexp_replace(key(c), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
     return F.coalesce(F.nullif(made, F.lit("")), F.lit("unknown"))
 
 
 def ocr_fold(c: Column) -> Column:
     """A key under which common misreadings meet; the order of the steps matters."""
+    c = F.lower(compatible(c))
     for a, b in (("rn", "m"), ("vv", "w"), ("cl", "d")):
-        c = F.replace(F.lower(c), F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(c, "01l|!5$8", "oiiiissb"), "[^a-z0-9]", "")
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.translate(c, "01i589qe2", "ollsbggcz"), "[^a-z0-9]", "")
 
 
 def strip_markup(c: Column) -> Column:
-    c = F.regexp_replace(c, "<[^>]*>", " ")
+    """Tags become spaces; what only looks like one, as in a < b, stays."""
+    c = F.regexp_replace(c, r"(?i)</?[a-z][a-z0-9]*(\s[^>]*)?>", " ")
     for entity, plain in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return collapse(c)
+        c = F.regexp_replace(c, f"(?i){entity}", plain)
+    return c
+
+
+def expand_ligatures(c: Column) -> Column:
+    for a, b in LIGATURES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
 def comparable(c: Column) -> Column:
@@ -100,12 +117,27 @@ def initials(given: Column, dots: bool = True) -> Column:
     return F.array_join(F.transform(names, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lit("." if dots else ""))), " " if dots else "")
 
 
+def _cased(c: Column, small) -> Column:
+    """Each word by its rule: one with a digit or capitals inside stays, as does a short
+    one in capitals, unless the whole is in capitals; small(word, index) tells which words
+    are written low. What follows a colon or a long dash starts with a capital."""
+    words = F.split(c, " ")
+    shouting = ~c.rlike(r"\p{Ll}") & (F.size(words) >= 4) & c.rlike(r"\p{L}{5}")
+
+    def one(w: Column, i: Column) -> Column:
+        bare = F.regexp_replace(w, r"[^A-Za-z0-9]", "")
+        stays = (bare == "") | bare.rlike(r"\d") | w.rlike(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]") | (~shouting & (bare == F.upper(bare)) & (F.length(bare) <= 4))
+        lead, rest = F.regexp_extract(w, r"^([^\p{L}\p{N}]*)", 1), F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]*", ""))
+        big = F.concat(lead, F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)))
+        after = F.coalesce(F.get(words, i - 1), F.lit("")).rlike("[:–—]$")
+        return F.when(stays, w).when(small(F.lower(bare), i) & ~after, F.lower(w)).otherwise(big)
+
+    return F.array_join(F.transform(words, one), " ")
+
+
 def sentence_case(c: Column) -> Column:
-    """The first letter as it is, other words in lower case unless they are acronyms or the whole is upper case."""
-    words = F.transform(F.split(c, " "), lambda w, i: F.when((i == 0) | (w.rlike(r"^\p{Lu}{2,}[\p{Lu}\d]*$") & (F.upper(c) != c)), w).otherwise(F.lower(w)))
-    out = F.array_join(words, " ")
-    return F.when(F.upper(c) == c, F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))).otherwise(out)
+    return _cased(c, lambda w, i: i > 0)
 
 
 def title_case(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, " "), lambda w, i: F.when((i > 0) & F.lower(w).isin(SMALL_WORDS), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))), " ")
+    return _cased(c, lambda w, i: (i > 0) & w.isin(SMALL_WORDS))

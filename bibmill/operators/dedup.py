@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import shared_dir
+
 #: Permutations, bands, rows a band, characters a shingle, threshold.
 PERMUTATIONS, BANDS, ROWS, SHINGLE, THRESHOLD = 128, 16, 8, 3, 0.85
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
@@ -73,12 +75,8 @@ def components(links: DataFrame, every: int = 3) -> DataFrame:
     """(node, root): the least node that links reach. Labels spread and pointers are
     halved until nothing changes; every few rounds a checkpoint cuts the lineage."""
     spark = links.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bibmill-"))
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     edges = links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct().checkpoint()
     labels = edges.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("root")).checkpoint()
     while True:

@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from .split import NUMBERED, lines
 
 SIGNALS = {
@@ -29,19 +30,22 @@ def signal_ratios(text: Column) -> dict[str, Column]:
 
 
 def detect_format(text: Column) -> Column:
-    """The first rule that holds."""
-    counted = lambda p: F.size(F.filter(lines(text), lambda x: x.rlike(p)))
-    n = F.size(lines(text))
-    return (
-        F.when(n == 0, "unknown")
-        .when((n > 0) & (counted(r"^\s*(https?://(dx\.)?doi\.org/|doi:\s*)?10\.\d{4,9}/\S+\s*$") == n), "doi_list")
-        .when(text.rlike(r"@\w+\s*\{"), "bibtex")
-        .when(text.rlike(r"(?m)^TY  - "), "ris")
-        .when(counted(NUMBERED) >= 2, "numbered")
-        .when(F.size(F.split(F.trim(text), r"\n[ \t]*\n+")) >= 2, "blank_line")
-        .when(counted(r"^\s{2,}\S") * 3 >= n, "hanging")
-        .otherwise("plain")
-    )
+    """The first rule that holds. The lines are split once and passed on."""
+
+    def told(found: Column) -> Column:
+        n, counted = F.size(found), lambda p: F.size(F.filter(found, lambda x: x.rlike(p)))
+        return (
+            F.when(n == 0, "unknown")
+            .when(F.forall(found, lambda x: x.rlike(r"^\s*(https?://(dx\.)?doi\.org/|doi:\s*)?10\.\d{4,9}/\S+\s*$")), "doi_list")
+            .when(text.rlike(r"@\w+\s*\{"), "bibtex")
+            .when(text.rlike(r"(?m)^TY  - "), "ris")
+            .when(counted(NUMBERED) >= 2, "numbered")
+            .when(F.size(F.split(F.trim(text), r"\n[ \t]*\n+")) >= 2, "blank_line")
+            .when(counted(r"^\s{2,}\S") * 3 >= n, "hanging")
+            .otherwise("plain")
+        )
+
+    return let(lines(text), told)
 
 
 def score_formats(text: Column) -> Column:
@@ -53,9 +57,9 @@ def score_formats(text: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    each = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(each, lambda x: x / F.aggregate(each, F.lit(0.0), lambda a, y: a + y))
+    """An array's maximum and sum are worked out once, not again for each element."""
+    shifted = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+    return let(shifted, lambda each: let(F.aggregate(each, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(each, lambda x: x / total)))
 
 
 def normalized_entropy(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -23,8 +23,8 @@ def records(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey,
- CASE WHEN o_orderkey % 2 = 0 THEN c_name || ', A. B.' ELSE c_name || ', A. B. & ' || o_orderpriority || ', C.' END || ' (' || year(o_orderdate) || '). Notes on the ' || CASE WHEN regexp_full_match(c_mktsegment, '[A-Z]{2,}') THEN c_mktsegment ELSE lower(c_mktsegment) END || ' trade. Trade Review.' AS apa7,
- CASE WHEN o_orderkey % 2 = 0 THEN c_name || ' AB' ELSE c_name || ' AB, ' || o_orderpriority || ' C' END || '. Notes on the ' || CASE WHEN regexp_full_match(c_mktsegment, '[A-Z]{2,}') THEN c_mktsegment ELSE lower(c_mktsegment) END || ' trade. Trade Review. ' || year(o_orderdate) || '.' AS vancouver
+ CASE WHEN o_orderkey % 2 = 0 THEN c_name || ', A. B.' ELSE c_name || ', A. B. & ' || o_orderpriority || ', C.' END || ' (' || year(o_orderdate) || '). Notes on the ' || CASE WHEN length(c_mktsegment) <= 4 THEN c_mktsegment ELSE lower(c_mktsegment) END || ' trade. Trade Review.' AS apa7,
+ CASE WHEN o_orderkey % 2 = 0 THEN c_name || ' AB' ELSE c_name || ' AB, ' || o_orderpriority || ' C' END || '. Notes on the ' || CASE WHEN length(c_mktsegment) <= 4 THEN c_mktsegment ELSE lower(c_mktsegment) END || ' trade. Trade Review. ' || year(o_orderdate) || '.' AS vancouver
 FROM orders JOIN customer ON o_custkey = c_custkey""")
 def render_citations(spark, sf_dir):
     args = [F.col(c) for c in ("people", "title", "year", "container", "doi")]
@@ -58,11 +58,10 @@ def bibtex_round_trip(spark, sf_dir):
     return bibliography.parse_bibtex(text).select("o_orderkey", "entry_type", "entry_key", F.col("fields.title").alias("title"), F.col("fields.year").alias("year"))
 
 
-@query("SELECT o_orderkey, 'JOUR' AS kind, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS n_authors, 'Notes On The ' || c_mktsegment || ' trade' AS title FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, 'JOUR' AS kind, c_name || ', Ann Bea' AS first_author, 'Trade Review' AS journal, year(o_orderdate)::VARCHAR AS year, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS n_authors, 'Notes On The ' || c_mktsegment || ' trade' AS title FROM orders JOIN customer ON o_custkey = c_custkey")
 def ris_round_trip(spark, sf_dir):
-    names = F.transform("people", lambda p: p["family"])
-    text = records(spark, sf_dir).select("o_orderkey", sinks.ris(F.lit("article-journal"), names, F.col("title"), F.col("year"), F.col("container")).alias("text"))
-    return bibliography.parse_ris(text).select("o_orderkey", F.get("fields.TY", F.lit(0)).alias("kind"), F.size("fields.AU").alias("n_authors"), F.get("fields.TI", F.lit(0)).alias("title"))
+    text = records(spark, sf_dir).select("o_orderkey", sinks.ris(F.lit("article-journal"), F.col("people"), F.col("title"), F.col("year"), F.col("container")).alias("text"))
+    return bibliography.parse_ris(text).select("o_orderkey", F.get("fields.TY", F.lit(0)).alias("kind"), F.get("fields.AU", F.lit(0)).alias("first_author"), F.size("fields.AU").alias("n_authors"), bibliography.ris_field("title").alias("title"), bibliography.ris_field("journal").alias("journal"), bibliography.ris_field("year").alias("year"))
 
 
 @query("SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''), ' ')) = 0 THEN 400 WHEN length(text) > 500000 THEN 413 ELSE 200 END AS status FROM documents")
@@ -76,20 +75,21 @@ def field_validity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", validation.clear_placeholder(title).alias("title"), validation.valid_year(900 + F.col("p_size") * 25, 2025).alias("year_ok"), validation.is_placeholder(title).alias("placeholder"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN take THEN c_name ELSE old END AS value, CASE WHEN take THEN 'provider' ELSE src END AS source FROM (
- SELECT o_orderkey, c_name, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS old, CASE o_orderkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'user' ELSE 'parser' END AS src,
- o_orderkey % 5 <> 0 AND c_name IS NOT NULL AND (o_orderkey % 4 = 0 OR ((o_orderkey % 100) / 100.0 >= 0.85 AND (o_orderkey % 100) / 100.0 > 0.5)) AS take
- FROM orders LEFT JOIN customer ON o_custkey = c_custkey)""")
+@query("""SELECT o_orderkey, CASE WHEN take THEN c_name ELSE old END AS value, CASE WHEN take THEN 'enrichment_crossref' ELSE src END AS source, CASE WHEN take THEN src END AS previous_source, may AS may_overwrite FROM (
+ SELECT *, src <> 'admin_confirmed' AND c_name IS NOT NULL AND (old IS NULL OR (conf >= 0.85 AND conf > 0.5)) AS take, src <> 'admin_confirmed' AND conf >= 0.85 AND conf > 0.5 AS may FROM (
+ SELECT o_orderkey, c_name, (o_orderkey % 100) / 100.0 AS conf, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS old, CASE o_orderkey % 5 WHEN 0 THEN 'admin_confirmed' WHEN 1 THEN 'user_correction' ELSE 'ml_extraction' END AS src
+ FROM orders LEFT JOIN customer ON o_custkey = c_custkey))""")
 def overwrite_guard_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     k = F.col("o_orderkey")
-    old, source = F.when(k % 4 != 0, F.col("o_orderpriority")), F.when(k % 5 == 0, "admin").when(k % 5 == 1, "user").otherwise("parser")
-    merged = validation.merge_field(old, source, F.lit(0.5), F.col("c_name"), F.lit("provider"), (k % 100) / 100)
-    return rows.select("o_orderkey", merged["value"].alias("value"), merged["source"].alias("source"))
+    old, source = F.when(k % 4 != 0, F.col("o_orderpriority")), F.when(k % 5 == 0, "admin_confirmed").when(k % 5 == 1, "user_correction").otherwise("ml_extraction")
+    merged = validation.merge_field(old, source, F.lit(0.5), F.col("c_name"), F.lit("enrichment_crossref"), (k % 100) / 100)
+    may = validation.may_overwrite(source, F.lit(0.5), F.lit("enrichment_crossref"), (k % 100) / 100)
+    return rows.select("o_orderkey", merged["value"].alias("value"), merged["source"].alias("source"), merged["previous_source"].alias("previous_source"), may.alias("may_overwrite"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['year'] ELSE []::VARCHAR[] END AS missing, CASE WHEN o_orderkey % 3 = 0 THEN 'needs_action' WHEN o_orderkey % 10 < 6 THEN 'needs_review' ELSE 'ready' END AS status,
- CAST(greatest(0, least(100, floor(100 * (0.4 * ((o_orderkey % 10) / 10) + 0.35 * 0.5 + 0.25 * 1.0) - CASE WHEN o_orderkey % 3 = 0 THEN 15 ELSE 0 END + 0.5))) AS INT) AS score FROM orders""".replace("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['year'] ELSE []::VARCHAR[] END AS missing", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'year' ELSE '' END AS missing"))
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'year' ELSE '' END AS missing, CASE WHEN o_orderkey % 3 = 0 THEN 'needs_action' WHEN o_orderkey % 10 < 6 THEN 'needs_review' ELSE 'ready' END AS status,
+ CAST(greatest(0, least(100, floor(100 * (0.4 * ((o_orderkey % 10) / 10) + 0.35 * 0.5 + 0.25 * 1.0) - CASE WHEN o_orderkey % 3 = 0 THEN 15 ELSE 0 END + 0.5))) AS INT) AS score FROM orders""")
 def mandatory_audit(spark, sf_dir):
     k = F.col("o_orderkey")
     lacks = health.missing(F.lit("article-journal"), {"title": F.lit(True), "authors": F.lit(True), "container": F.lit(True), "year": k % 3 != 0})
@@ -98,9 +98,10 @@ def mandatory_audit(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(lacks, ",").alias("missing"), health.status(lacks, confidence).alias("status"), score.alias("score"))
 
 
-@query("SELECT o_orderkey, coalesce(c_name, o_orderpriority) AS label FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, coalesce(c_name, o_orderpriority) AS label FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0) ON o_custkey = c_custkey")
 def precedence_overlay(spark, sf_dir):
-    certified = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("label"))
+    """The names of customers in debt over the order's own label."""
+    certified = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("label"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("label"))
     return match.overlay(rows, [certified], "o_custkey", "label").select("o_orderkey", "label")
 
@@ -110,10 +111,21 @@ def hash_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").where(sampling.share(F.col("doc_id")) <= 0.15)
 
 
-@query("SELECT p_partkey, k AS kind, CASE k WHEN 'odd_punctuation' THEN replace(p_name, '.', ' . ') WHEN 'non_ascii' THEN translate(p_name, 'aeo', 'áéó') WHEN 'style_specific_quirk' THEN upper(p_name) ELSE p_name END AS noisy FROM (SELECT *, CASE WHEN s < .3 THEN 'missing_field' WHEN s < .5 THEN 'alternate_identifier_format' WHEN s < .7 THEN 'odd_punctuation' WHEN s < .85 THEN 'non_ascii' WHEN s < .95 THEN 'style_specific_quirk' ELSE 'fake_plausible_id' END AS k FROM (SELECT *, ('0x' || substr(sha256(p_partkey::VARCHAR), 1, 8))::BIGINT / 4294967295 AS s FROM part))")
+NOISY = """CASE k WHEN 'bare_identifier' THEN trim(regexp_replace(regexp_replace(t, 'https?://(dx[.])?doi[.]org/', '', 'i'), '\\s{2,}', ' ', 'g'), ' ')
+ WHEN 'alternate_identifier_format' THEN CASE WHEN doi IS NOT NULL THEN regexp_replace(t, 'https?://doi[.]org/', 'doi:', 'i') WHEN arxiv IS NOT NULL THEN t || ' arXiv:' || arxiv ELSE t END
+ WHEN 'odd_punctuation' THEN trim(regexp_replace(t, '([.,;:])\\s', '\\1  ', 'g'), ' ') WHEN 'non_ascii' THEN translate(t, 'ea', 'éà') WHEN 'style_specific_quirk' THEN regexp_replace(t, '\\bpp?[.]\\s*', '', 'i')
+ ELSE CASE WHEN arxiv IS NOT NULL THEN replace(t, arxiv, '9999.99999') WHEN doi IS NOT NULL THEN t || ' doi:10.9999/fake-doi' ELSE t || ' PMID:99999999' END END"""
+
+
+@query(f"""SELECT p_partkey, k AS kind, {NOISY} AS noisy FROM (SELECT *, CASE WHEN s < .3 THEN 'bare_identifier' WHEN s < .5 THEN 'alternate_identifier_format' WHEN s < .7 THEN 'odd_punctuation' WHEN s < .85 THEN 'non_ascii' WHEN s < .95 THEN 'style_specific_quirk' ELSE 'fake_plausible_id' END AS k,
+ p_brand || ', A. (2001). ' || p_name || ', pp. 1-9. ' || coalesce('https://doi.org/' || doi, arxiv, '') AS t FROM (SELECT *, ('0x' || substr(sha256(p_partkey || ':apa7'), 1, 8))::BIGINT / 4294967295 AS s, CASE WHEN p_size > 20 THEN '10.1000/' || p_partkey END AS doi, CASE WHEN p_size < 10 THEN '2001.' || lpad(p_partkey::VARCHAR, 5, '0') END AS arxiv FROM part))""")
 def noise_variants(spark, sf_dir):
-    kind = sampling.noise_kind(F.col("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), sampling.apply_noise(kind, F.col("p_name")).alias("noisy"))
+    """Parts as formatted references, those of some sizes with a DOI, of others with an arXiv id."""
+    key = F.col("p_partkey").cast("string")
+    doi, arxiv = F.when(F.col("p_size") > 20, F.concat(F.lit("10.1000/"), key)), F.when(F.col("p_size") < 10, F.concat(F.lit("2001."), F.lpad(key, 5, "0")))
+    text = F.concat("p_brand", F.lit(", A. (2001). "), "p_name", F.lit(", pp. 1-9. "), F.coalesce(F.concat(F.lit("https://doi.org/"), doi), arxiv, F.lit("")))
+    kind = sampling.noise_kind(F.col("p_partkey"), F.lit("apa7"))
+    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), sampling.apply_noise(kind, text, doi, arxiv).alias("noisy"))
 
 
 @query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 20")
@@ -143,9 +155,11 @@ def confusion_pivot(spark, sf_dir):
     return out.select("quality", F.col("0").alias("toxic_0"), F.col("1").alias("toxic_1"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def missed_links(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti").distinct()
 
 
 @query("SELECT o_orderkey, o_totalprice, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")

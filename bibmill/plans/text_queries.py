@@ -10,38 +10,51 @@ from ..operators import dedup, detect, match, split
 from .registry import query, table
 
 CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\x{00ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t\r\n\f\v]+', ' ', 'g'), ' ')"""
+#: The key of an expression: without accents, lower case, single spaces.
+KEYED = r"trim(regexp_replace(lower(strip_accents({})), '[ \t\r\n\f\v]+', ' ', 'g'), ' ')"
 COLLAPSED = r"trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g'), ' ')"
 LINES = r"list_filter(string_split_regex(coalesce(text, ''), '\r?\n'), lambda x: trim(x, ' ') <> '')"
 WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' '), lambda x: x <> ''))"
 
 
-@query(f"SELECT sha256(lower({CLEAN})) AS key, min(doc_id) AS primary_id, count(*) AS n_members, 'hash' AS reason FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT sha256({KEYED.format(CLEAN)}) AS key, min(doc_id) AS primary_id, count(*) AS n_members, 'hash' AS reason FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicate_groups(spark, sf_dir):
     return dedup.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", text.content_hash(F.col("text")), "hash")
 
 
-@query(f"SELECT doc_id, sha256(lower({CLEAN})) AS content_hash, substr(sha256(lower({CLEAN})), 1, 24) AS title_hash, sha256({COLLAPSED}) AS truth_hash FROM documents")
+@query(f"SELECT doc_id, sha256({KEYED.format(CLEAN)}) AS content_hash, substr(sha256(nullif({KEYED.format('text')}, '')), 1, 24) AS title_hash, sha256({COLLAPSED}) AS truth_hash FROM documents")
 def text_hashes(spark, sf_dir):
     c = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(c).alias("content_hash"), text.title_hash(c).alias("title_hash"), text.truth_hash(c).alias("truth_hash"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\r\n\f\v]+', ' ', 'g'), ' ') AS plain FROM pages")
+MARKUP = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</?[a-z][a-z0-9]*([ \t\r\n\f\v][^>]*)?>', ' ', 'gi'), '&amp;', '&', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', chr(34), 'gi'), '&(apos|#0*39|#x0*27);', chr(39), 'gi'), '&nbsp;', ' ', 'gi')"
+
+
+@query(f"SELECT page_id, {MARKUP} AS plain FROM pages")
 def strip_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_markup(F.col("html")).alias("plain"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), ':(80|443)$', '') || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS url_key, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), ':(80|443)$|^www[.]', '', 'g') || regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') AS propagation_key FROM pages")
+BARE_URL = r"regexp_replace(trim(url, ' '), '[)\],.;:]+$', '')"
+
+
+@query(rf"""
+SELECT page_id, CASE WHEN regexp_matches(u, '^https?://(dx[.])?doi[.]org/10[.]\d{{4,9}}/[-._;()/:a-zA-Z0-9]+$') THEN 'https://doi.org/' || lower(regexp_extract(u, '(10[.].*)$', 1))
+  WHEN regexp_matches(u, '^(?i:https?)://[^/?#]+') THEN lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)), ':(80|443)$', '') || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS url_key,
+  CASE WHEN host NOT IN ({', '.join(f"'{h}'" for h in identifiers.GENERIC_HOSTS)}) AND path <> '' AND host <> '' THEN host || path END AS propagation_key
+FROM (SELECT page_id, u, regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS rest, regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)), ':[0-9]+$', '') AS host,
+             regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') AS path FROM (SELECT page_id, {BARE_URL} AS u FROM pages))""")
 def url_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", identifiers.url_key(F.col("url")).alias("url_key"), identifiers.url_propagation_key(F.col("url")).alias("propagation_key"))
 
 
-@query(r"SELECT p_partkey, regexp_replace(translate(replace(replace(replace(lower(p_name), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '01l|!5$8', 'oiiiissb'), '[^a-z0-9]', '', 'g') AS fold, coalesce(nullif(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug FROM part")
+@query(r"SELECT p_partkey, regexp_replace(translate(replace(replace(replace(lower(p_name), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '01i589qe2', 'ollsbggcz'), '[^a-z0-9]', '', 'g') AS fold, coalesce(nullif(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug FROM part")
 def ocr_fold_and_slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.ocr_fold(F.col("p_name")).alias("fold"), text.slug(F.col("p_type")).alias("slug"))
 
 
-@query(f"SELECT doc_id, sha256(lower(strip_accents({COLLAPSED}))) AS key_hash FROM documents")
+@query(f"SELECT doc_id, sha256({KEYED.format('text')}) AS key_hash FROM documents")
 def folded_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.key(F.col("text")), 256).alias("key_hash"))
 
@@ -100,13 +113,19 @@ def format_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", detect.detect_format(F.coalesce("text", F.lit(""))).alias("format"))
 
 
+_ANY = "|".join(f"({p})" for p in split.OPENERS).replace("'", "''")
+
+
 @query(rf"""
-SELECT doc_id, len(l) AS n_blocks, CASE WHEN len(l) = 0 THEN 0.0 ELSE floor(greatest(0.0, 1 - 0.2 * least(list_stddev_pop(list_transform(l, lambda x: length(x))) / list_avg(list_transform(l, lambda x: length(x))), 1.0)
-  - 0.2 * (1 - len(list_filter(l, lambda x: regexp_matches(x, '[.!?]$'))) / len(l)) - 0.3 * len(list_filter(l, lambda x: length(x) < 20)) / len(l) - 0.2 * len(list_filter(l, lambda x: length(x) > 1200)) / len(l)) * 1e4 + 0.5) / 1e4 END AS quality
-FROM (SELECT doc_id, {LINES} AS l FROM documents)""")
+SELECT doc_id, n AS n_blocks, CASE WHEN n = 0 THEN 0.0
+  WHEN n = 1 THEN CASE WHEN length(x) BETWEEN 40 AND 1200 AND (regexp_matches(x, '{_ANY}') OR regexp_matches(x, '{split.SENTENCES.replace("'", "''")}')) AND regexp_matches(x, '{split.ANCHOR}') AND regexp_matches(x, '{split.ENDED}') THEN 0.92
+    WHEN length(x) >= 30 AND regexp_matches(x, '\b(19|20)\d{{2}}\b') THEN 0.6 ELSE 0.3 END
+  ELSE floor(greatest(0.0, least(1.0, CASE WHEN cv < 0.5 THEN 0.3 WHEN cv < 0.8 THEN 0.15 ELSE 0.0 END + 0.1
+    + (0.3 * len(list_filter(l, lambda y: regexp_matches(y, '{split.TERMINATOR}'))) - 0.2 * len(list_filter(l, lambda y: length(y) < 20)) - 0.2 * len(list_filter(l, lambda y: length(y) > 800)) - 0.25 * len(list_filter(l, lambda y: regexp_matches(y, '{split.CUT_WORD}')))) / n)) * 1e4 + 0.5) / 1e4 END AS quality
+FROM (SELECT *, len(l) AS n, trim(regexp_replace(l[1], '\s+', ' ', 'g'), ' ') AS x, list_stddev_pop(list_transform(l, lambda y: length(y))) / list_avg(list_transform(l, lambda y: length(y))) AS cv FROM (SELECT doc_id, {LINES} AS l FROM documents))""")
 def split_quality(spark, sf_dir):
-    blocks = split.lines(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(blocks).alias("n_blocks"), rounded(split.split_quality(blocks)).alias("quality"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", split.lines(F.coalesce("text", F.lit(""))).alias("blocks"))
+    return rows.select("doc_id", F.size("blocks").alias("n_blocks"), rounded(split.split_quality(F.col("blocks"))).alias("quality"))
 
 
 @query(rf"""
@@ -162,6 +181,8 @@ def softmax_scores(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(p).alias("n"), rounded(F.array_max(p)).alias("top"))
 
 
-@query("SELECT doc_id, item_id FROM documents JOIN benchmark USING (text)")
+@query(rf"SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, trim(unnest({LINES}), ' ') AS line FROM documents) JOIN (SELECT line, min(item_id) AS item_id FROM (SELECT item_id, trim(unnest({LINES}), ' ') AS line FROM benchmark) GROUP BY line) USING (line)")
 def exact_text_match(spark, sf_dir):
-    return match.best_by(table(spark, sf_dir, "benchmark"), ["text"], "item_id").join(table(spark, sf_dir, "documents"), "text").select("doc_id", "item_id")
+    """Documents with the first item of each benchmark line that they hold."""
+    each = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(split.lines(F.col("text"))).alias("line")).select(key, F.trim("line").alias("line"))
+    return each("documents", "doc_id").join(match.best_by(each("benchmark", "item_id"), ["line"], "item_id"), "line").select("doc_id", "item_id").distinct()

@@ -6,9 +6,10 @@ folder of any number of files is read in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.identifiers import dois_in
 
 MAX_CHARS = 500_000
@@ -25,18 +26,34 @@ def ingest(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) -> Dat
     return df.withColumn("status", F.when(n == 0, 400).when(F.length(text) > max_chars, 413).otherwise(200))
 
 
+def _unwrapped(value: Column) -> Column:
+    """A value without its outer braces or quotes; what is inside stays as written."""
+    whole = (value.startswith("{") & value.endswith("}")) | ((F.length(value) > 1) & value.startswith('"') & value.endswith('"'))
+    return F.trim(F.when(whole, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
 def parse_bibtex(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row an entry: df's other columns, idx, entry_type, entry_key, fields (of a name's values the last holds)."""
-    entries = F.filter(F.split(text, r"(?=@\w+\s*\{)"), lambda x: x.rlike(r"^@\w+\s*\{"))
+    """One row an entry: df's other columns, idx, entry_type, entry_key, fields (of a name's
+    values the last holds). An entry's body is cut before each name with its equals sign."""
+    entries = F.filter(F.split(text, r"(?m)(?=^\s*@\w+\s*\{)"), lambda x: x.rlike(r"^\s*@\w+\s*\{"))
     rows = df.select(*[c for c in df.columns if c != text], F.posexplode(entries).alias("idx", "_e"))
-    # a quote or brace inside braces stays, one level deep
-    field = r"""(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|"([^"]*)"|(\d+))"""
-    both = lambda x, y: F.concat(x, y)  # noqa: E731  only one of them isn't empty
-    names = F.regexp_extract_all("_e", F.lit(field), 1)
-    values = F.zip_with(F.zip_with(F.regexp_extract_all("_e", F.lit(field), 2), F.regexp_extract_all("_e", F.lit(field), 3), both), F.regexp_extract_all("_e", F.lit(field), 4), both)
-    pairs = F.zip_with(F.transform(names, F.lower), values, lambda k, v: F.struct(k.alias("k"), F.regexp_replace(v, r"[{}]", "").alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return rows.select("*", F.lower(F.regexp_extract("_e", r"^@(\w+)", 1)).alias("entry_type"), F.trim(F.regexp_extract("_e", r"^@\w+\s*\{\s*([^,]*),", 1)).alias("entry_key"), F.map_from_entries(last).alias("fields")).drop("_e")
+    head = F.split("_e", ",", 2)
+    body = F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\}\s*$", "")
+    parts = F.filter(F.split(body, r",\s*(?=\w+\s*=\s*[{\"\d])"), lambda x: x.contains("="))
+    rows = rows.select("*", F.get(head, F.lit(0)).alias("_h"), F.transform(parts, lambda x: F.split(x, "=", 2)).alias("_p"))
+    rows = rows.select("*", F.transform("_p", lambda x: F.lower(F.regexp_extract(x[0], r"(\w+)\s*$", 1))).alias("_n"))
+    last = F.filter("_p", lambda x, i: ~F.array_contains(F.slice("_n", i + 2, F.size("_n")), F.element_at("_n", i + 1)))
+    fields = F.map_from_entries(F.transform(last, lambda x: F.struct(F.lower(F.regexp_extract(x[0], r"(\w+)\s*$", 1)).alias("k"), let(F.regexp_replace(x[1], r"^\s+|[\s,]+$", ""), _unwrapped).alias("v"))))
+    return rows.select("*", F.lower(F.regexp_extract("_h", r"@(\w+)", 1)).alias("entry_type"), F.trim(F.regexp_extract("_h", r"\{(.*)$", 1)).alias("entry_key"), fields.alias("fields")).drop("_e", "_h", "_p", "_n")
+
+
+#: The field that each RIS tag fills.
+RIS_FIELDS = {"title": ["TI", "T1"], "journal": ["JO", "JF", "T2"], "year": ["PY", "Y1"], "volume": ["VL"], "issue": ["IS"], "doi": ["DO"], "url": ["UR"], "publisher": ["PB"], "start_page": ["SP"], "end_page": ["EP"]}
+
+
+def ris_field(name: str) -> Column:
+    """A field of parse_ris()'s rows: the first value of the first of its tags that is there."""
+    return F.coalesce(*[F.nullif(F.get(F.col("fields")[t], F.lit(0)), F.lit("")) for t in RIS_FIELDS[name]])
 
 
 def parse_ris(df: DataFrame, text: str = "text") -> DataFrame:

@@ -22,10 +22,12 @@ def bibtex(kind: Column, families: Column, title: Column, year: Column, containe
     return F.concat(F.lit("@"), _of(BIBTEX_TYPES, kind, "misc"), F.lit("{"), key, F.lit(",\n"), body, F.lit("\n}"))
 
 
-def ris(kind: Column, families: Column, title: Column, year: Column, container: Column) -> Column:
+def ris(kind: Column, people: Column, title: Column, year: Column, container: Column, url: Column | None = None, doi: Column | None = None) -> Column:
+    """people: an array of struct<family, given>."""
+    none = F.lit(None).cast("string")
     line = lambda tag, v: F.when(v.isNotNull(), F.concat(F.lit(f"{tag}  - "), v.cast("string")))
-    authors = F.array_join(F.transform(families, lambda f: F.concat(F.lit("AU  - "), f)), "\n")
-    return F.concat_ws("\n", line("TY", _of(RIS_TYPES, kind, "GEN")), F.nullif(authors, F.lit("")), line("TI", F.coalesce(title, F.lit("Untitled reference"))), line("PY", year), line("JO", container), F.lit("ER  - "))
+    authors = F.array_join(F.transform(people, lambda p: F.concat(F.lit("AU  - "), p["family"], F.lit(", "), F.coalesce(p["given"], F.lit("")))), "\n")
+    return F.concat_ws("\n", line("TY", _of(RIS_TYPES, kind, "GEN")), F.nullif(authors, F.lit("")), line("TI", F.coalesce(title, F.lit("Untitled reference"))), line("JO", container), line("PY", year), line("UR", none if url is None else url), line("DO", none if doi is None else doi), F.lit("ER  -"))
 
 
 def write(df: DataFrame, path: str, kind: str, text: str = "rendered") -> None:

@@ -34,6 +34,17 @@ def one(spark, column, *values):
     ("issn", "0378-5956", None),
     ("url", "HTTP://Ex.COM:80/a?b#c", "http://ex.com/a?b"),
     ("url", None, None),
+    ("url", "https://doi.org/10.1000/ABC).", "https://doi.org/10.1000/abc"),
+    ("url", "https://example.org", "https://example.org/"),
+    ("url", "ftp://example.org/a", None),
+    ("arxiv", "https://www.arxiv.org/abs/2101.00001v2).", "2101.00001v2"),
+    ("arxiv", "10.48550/arXiv.2101.00001", "2101.00001"),
+    ("arxiv", "hep-th/9901001", "hep-th/9901001"),
+    ("patent", "US 1234567 B2", "US1234567"),
+    ("patent", "Patent No. 1234567", "1234567"),
+    ("patent", "1234567", None),
+    ("patent", "10.1000/US1234567", None),
+    ("doi", "10.1000/a b", None),
 ])
 def test_identifiers(spark, kind, raw, want):
     assert one(spark, lambda c: identifiers.normalize(kind, c), raw) == want
@@ -47,7 +58,7 @@ def test_dois_in(spark):
     (text.page_range, "123–9", "123-129"),
     (text.page_range, "e12", "e12"),
     (text.strip_numbering, "[12] A b", "A b"),
-    (text.strip_markup, "<b>a</b>&amp;&lt;c&gt;", "a &<c>"),
+    (text.strip_markup, "<b>a</b>&AMP;lt;p < q&nbsp;", " a <p < q "),
     (text.slug, "--A b!", "a_b"),
     (text.slug, None, "unknown"),
     (text.sanitize, "a b­c​", "a bc"),
@@ -55,7 +66,7 @@ def test_dois_in(spark):
     (text.sentence_case, "The DNA Of Things", "The DNA of things"),
     (text.title_case, "the art of war", "The Art of War"),
     (text.initials, "Ann-Bea cy", "A. B. C."),
-    (text.ocr_fold, "Modern 10", "modemio"),
+    (text.ocr_fold, "Modern 10", "modcmlo"),
 ])
 def test_text(spark, f, raw, want):
     assert one(spark, f, raw) == want
@@ -68,15 +79,49 @@ def test_similarity(spark):
     assert one(spark, similarity.dice, "night", "nacht") == 0.25
 
 
+@pytest.mark.parametrize("url, want", [("https://Example.org//a//b/?q=1", "example.org/a/b"), ("https://www.example.org/", None), ("https://doi.org/10.1000/1", None), ("https://www.a.org/x", "www.a.org/x")])
+def test_propagation_keys(spark, url, want):
+    assert one(spark, identifiers.url_propagation_key, url) == want
+
+
+@pytest.mark.parametrize("case, raw, want", [
+    (text.sentence_case, "The DNA of Mice: A Study", "The DNA of mice: A study"),
+    (text.sentence_case, "PROTEIN MEASUREMENT WITH THE REAGENT", "Protein measurement with the reagent"),
+    (text.title_case, "a history of mRNA per cell: the end", "A History of mRNA per Cell: The End"),
+    (text.title_case, "into the wild with them", "Into the Wild With Them"),
+])
+def test_title_cases(spark, case, raw, want):
+    assert one(spark, case, raw) == want
+
+
+@pytest.mark.parametrize("blocks, want", [
+    ([], 0.0), (["short"], 0.3), (["Something in the year 1999 was written here"], 0.6),
+    (["Smith, J. (2001). A title of some length. Journal of Titles, 12, 100-110."], 0.92),
+    (["Smith, J. (2001). A title of it. Journal, 12, 100-110."] * 3, 0.7), (["a" * 10, "b" * 900], 0.0),
+])
+def test_split_quality(spark, blocks, want):
+    df = spark.createDataFrame([(blocks,)], "b array<string>")
+    assert df.select(split.split_quality(F.col("b"))).first()[0] == pytest.approx(want)
+
+
+def test_authors_and_locators(spark):
+    people = lambda *names: spark.createDataFrame([([n for n in names],)], "p array<struct<family:string,given:string>>").select(validation.valid_authors(F.col("p"))).first()[0]
+    assert people(("Smith", None)) and people(("S", "John")) and not people() and not people(("S.", "")) and not people(("A", "B"), ("et al.", None))
+    assert one(spark, validation.valid_article_number, "Article no.: e123") and not one(spark, validation.valid_article_number, "abc")
+    assert one(spark, validation.clear_placeholder, "Journal, ?") is None and one(spark, validation.clear_placeholder, "Journal of X") == "Journal of X"
+
+
 def test_policies(spark):
     def may(old, oc, new, nc):
         return spark.range(1).select(validation.may_overwrite(F.lit(old), F.lit(oc).cast("double"), F.lit(new), F.lit(nc).cast("double"))).first()[0]
 
-    assert not may("admin", 0.1, "user", 1.0)
-    assert may("parser", 0.5, "provider", 0.9)
-    assert not may("parser", 0.5, "provider", 0.84)
-    assert may("parser", 0.9, "user", 0.1)
-    assert not may("user", 0.1, "model", 1.0)
+    assert not may("admin_confirmed", 0.1, "user_correction", 1.0)
+    assert may("ml_extraction", 0.5, "enrichment_crossref", 0.9) and may("user_correction", 0.5, "enrichment_openalex", 0.9)
+    assert not may("ml_extraction", 0.5, "enrichment_crossref", 0.84) and not may("regex_fallback", 0.95, "enrichment_crossref", 0.9)
+    assert may("regex_fallback", 0.9, "user_correction", 0.1) and not may("ml_extraction", 0.1, "ml_author_ner", 1.0)
+    assert not may("user_correction", 0.1, "ml_extraction", 1.0)
+    model = lambda *a: spark.range(1).select(validation.model_may_overwrite(*[F.lit(x) for x in a])).first()[0]
+    assert model(None, None, 0.1) and not model("x", "admin_confirmed", 0.9) and model("x", "ml_extraction", 0.9) and not model("x", "ml_extraction", 0.8)
     assert one(spark, validation.valid_pages, "e12-e19") and not one(spark, validation.valid_pages, "19-12") and not one(spark, validation.valid_pages, None)
 
 
