@@ -95,10 +95,10 @@ def promoted_values(spark, sf_dir):
     return out.select("o_orderkey", "best", rounded(F.col("best_confidence")).alias("best_confidence"))
 
 
-@query("""SELECT l_orderkey, label, min(at) AS first, max(at) AS last, string_agg(token, ' ' ORDER BY at) AS value, floor(avg(c) * 1e4 + 0.5) / 1e4 AS confidence, max(fresh AND NOT opens) AS flawed FROM (
- SELECT *, sum(fresh::INT) OVER (PARTITION BY l_orderkey ORDER BY at) AS span FROM (
- SELECT *, label IS NOT NULL AND (opens OR label IS DISTINCT FROM lag(label) OVER (PARTITION BY l_orderkey ORDER BY at)) AS fresh FROM (
- SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS at, 't' || l_suppkey AS token, CASE WHEN l_quantity >= 15 THEN CASE WHEN l_quantity < 30 THEN 'title' ELSE 'authors' END END AS label, l_discount < 0.03 AS opens, 1 - l_tax AS c FROM lineitem))) WHERE label IS NOT NULL GROUP BY l_orderkey, label, span""")
+@query("""SELECT l_orderkey, label, min(pos) AS first, max(pos) AS last, string_agg(token, ' ' ORDER BY pos) AS value, floor(avg(c) * 1e4 + 0.5) / 1e4 AS confidence, max(fresh AND NOT opens) AS flawed FROM (
+ SELECT *, sum(fresh::INT) OVER (PARTITION BY l_orderkey ORDER BY pos) AS span FROM (
+ SELECT *, label IS NOT NULL AND (opens OR label IS DISTINCT FROM lag(label) OVER (PARTITION BY l_orderkey ORDER BY pos)) AS fresh FROM (
+ SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, 't' || l_suppkey AS token, CASE WHEN l_quantity >= 15 THEN CASE WHEN l_quantity < 30 THEN 'title' ELSE 'authors' END END AS label, l_discount < 0.03 AS opens, 1 - l_tax AS c FROM lineitem))) WHERE label IS NOT NULL GROUP BY l_orderkey, label, span""")
 def tag_spans(spark, sf_dir):
     """The lines of an order as tagged tokens."""
     label = F.when(F.col("l_quantity") < 30, "title").otherwise("authors")
