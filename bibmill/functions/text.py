@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MARKS = regex.compile(r"\p{M}+")
 #: Entities that markup stripping decodes, in this order and whatever their case.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&(?:apos|#0*39|#x0*27);", "'"), ("&nbsp;", " ")]
 #: Small words that title case leaves alone.
@@ -31,7 +33,7 @@ def sanitize(c: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def fold_marks(s: pd.Series) -> pd.Series:
     """NFKD without combining marks. ASCII texts are that already."""
-    return s.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")))
+    return s.map(lambda t: t if t is None or t.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", t)))
 
 
 @F.pandas_udf(T.StringType())
