@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import tokens
+from .text import soft, tokens
 
 
 def rounded(c: Column, places: int = 4) -> Column:
@@ -40,3 +40,17 @@ def dice(a: pd.Series, b: pd.Series) -> pd.Series:
         return 2 * sum((x & y).values()) / both if both else 0.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+
+@F.pandas_udf(T.DoubleType())
+def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff and Obershelp's ratio of the soft forms: twice the characters in common
+    substrings, the longest first, by both lengths; 1 for two empty ones. For fields and
+    references: its work grows with the product of the lengths."""
+    return _matched(soft(a), soft(b))

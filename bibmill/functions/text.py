@@ -97,6 +97,29 @@ def comparable(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
+def soft(c: Column) -> Column:
+    """As evaluation compares values: without the prefix of a DOI or arXiv id, case and
+    punctuation; accents stay; null is empty."""
+    c = F.regexp_replace(F.regexp_replace(compatible(F.coalesce(c, F.lit(""))), "(?i)&amp;", "&"), "[\u2010-\u2015\u2212]+", "-")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)^(doi:\s*|https?://(dx\.)?doi\.org/)", ""), r"(?i)^arxiv:\s*", "")
+    return comparable(F.replace(c, F.lit("&"), F.lit(" and ")))
+
+
+def group_comparable(c: Column) -> Column:
+    """Without accents, case and punctuation; an ampersand is the word."""
+    return comparable(F.replace(fold_marks(c), F.lit("&"), F.lit(" and ")))
+
+
+def queue_key(c: Column) -> Column:
+    """Under which citations of one work meet in a review queue: no numbering, no cut
+    words, no address or identifier at the end. Null where nothing is left."""
+    from .ingest import strip_identifier_tail
+
+    plain = F.regexp_replace(F.regexp_replace(compatible(strip_numbering(c)), "[“”„‟]", '"'), "(?i)&amp;", "&")
+    plain = collapse(F.regexp_replace(plain, r"(\p{L})-\n[ \t]*(\p{Ll})", "$1$2"))
+    return F.nullif(group_comparable(strip_identifier_tail(plain)), F.lit(""))
+
+
 def tokens(c: Column) -> Column:
     """Distinct words of the comparable form."""
     return F.array_distinct(F.filter(F.split(comparable(c), " "), lambda x: x != ""))

@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import analytics_queries, quality_queries, record_queries, text_queries  # noqa: F401  each registers its queries
+from . import analytics_queries, matching_queries, quality_queries, record_queries, text_queries  # noqa: F401  each registers its queries
 from .registry import oracle_sql, queries
 
 __all__ = ["queries", "oracle_sql"]
