@@ -1,10 +1,12 @@
 """Verification, styles and queues: small cases with nulls, ties and empty tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from bibmill.functions import similarity, text
-from bibmill.operators import queue, styles, verify
+from bibmill.operators import certify, queue, styles, verify
 from bibmill.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -109,3 +111,20 @@ def test_smoothing_leaves_small_batches(spark):
 
 def test_no_parts_to_score(spark):
     assert value(spark, styles.content_correctness({"title": F.lit(None).cast("double")})) == 1
+
+
+def test_quarantine_and_back(spark):
+    rows = spark.createDataFrame([(1, True, None, None), (2, False, "reviewed", None), (3, None, None, None)], "id int, made boolean, row_status string, quarantine_reason string")
+    set_aside = certify.quarantine(rows, F.col("made"), "made up")
+    assert [tuple(r) for r in set_aside.orderBy("id").collect()] == [(1, True, "quarantined", "made up"), (2, False, "reviewed", None), (3, None, None, None)]
+    assert sorted(certify.restore(set_aside, F.col("made")).collect()) == sorted(rows.collect())
+
+
+def test_gold_rows(spark):
+    kinds = "raw_text string, bio_tokens array<string>, bio_tags array<string>, row_status string, trust_level string, input_hash string"
+    rows = [(None, ["a"], ["O"], None, None, None), ("a", None, ["O"], None, None, None), ("a", ["a"], [None], None, None, None), ("a", ["a"], ["O", "O"], None, None, "h"), ("a  b", ["a"], ["O"], None, "gold", None), ("a", ["a"], ["O"], "quarantined", None, None), ("a", ["a"], ["O"], None, "draft", None)]
+    df = spark.createDataFrame(rows, kinds).coalesce(1)
+    got = certify.gold_rows(df).collect()
+    assert [r["problem"] for r in got] == ["no text", "no tokens", "no tags", "unequal lengths", None]
+    assert got[3]["input_hash"] == "h" and got[4]["input_hash"] == hashlib.sha256(b"a b").hexdigest()
+    assert certify.gold_rows(df, quarantined=True).count() == 7 and certify.gold_rows(df.where("false")).count() == 0
