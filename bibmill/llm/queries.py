@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, gif, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, simple8b_output, suffix_dedup
+from . import byte_bpe, centroid_clustering, embedding_dedup, fill_in_middle, forced_bpe, gif, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, simple8b_output, suffix_dedup
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+MERGES_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -63,9 +64,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, sf_dir), WORD_BPE)
 
 
+def op11_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return forced_bpe.round_trip(documents(spark, sf_dir), MERGES_BPE)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of every whole vector."""
+    return centroid_clustering.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 of every document."""
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_gif_media, op3_license_scan, op4_embedding_dedup, op5_line_dedup, op6_quality_classifier, op7_simple8b_output, op8_minhash_dedup, op9_byte_bpe, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_gif_media, op3_license_scan, op4_embedding_dedup, op5_line_dedup, op6_quality_classifier, op7_simple8b_output, op8_minhash_dedup, op9_byte_bpe, op10_best_fit_packing, op11_forced_bpe, op12_centroid_clustering, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op12_centroid_clustering": centroid_clustering.oracle(), "op13_fill_in_middle": fill_in_middle.ORACLE}
