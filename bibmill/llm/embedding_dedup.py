@@ -81,7 +81,8 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     signed = scratch.cut(classes.select("cls", "copies", "v").mapInArrow(sign, SIGNED), "signed")
     places = signed.select("cls", "dim", F.posexplode("buckets").alias("t", "bucket"))
-    sizes = places.groupBy("t", "bucket", "dim").agg(F.count("*").alias("size")).where("size > 1")
+    # written before the join, which could not split a hot bucket beside an aggregate
+    sizes = scratch.cut(places.groupBy("t", "bucket", "dim").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     met = places.join(sizes, ["t", "bucket", "dim"]).withColumn("n", F.ceil(F.col("size") / BLOCK).cast("int"))
     met = met.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     met = met.select("cls", "t", "bucket", "dim", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
@@ -121,5 +122,6 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     told = classes.select("h", "cls", "copies").join(counts, "cls", "left").join(roots, "cls", "left")
     told = told.select("h", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root"))
     all_rows = rows.select("vec_id", RID, "h").join(told, "h", "left").withColumn("root", F.coalesce("root", F.col(RID)))
-    least = all_rows.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    all_rows = scratch.cut(all_rows.select("vec_id", "n_links", "root"), "rows")
+    least = scratch.cut(all_rows.groupBy("root").agg(F.min("vec_id").alias("component_id")), "least")
     return all_rows.join(least, "root").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -25,12 +25,14 @@ def line_hashes(text) -> F.Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
 
 
-def boilerplate(pages: DataFrame, ratio: float) -> DataFrame:
-    """host and lines, the sorted hashes of its boilerplate lines, from the host and text of each page."""
+def boilerplate(pages: DataFrame, ratio: float, scratch: Scratch) -> DataFrame:
+    """host and lines, the sorted hashes of its boilerplate lines, from the host and text of each page.
+    Totals are written before the join: Spark splits a hot host's lines only where no
+    aggregate stands between the shuffle and the join."""
     pages = pages.select("host", line_hashes("text").alias("lines")).distinct()
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    often = counts.where(F.col("n") >= LEAST).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    counts = scratch.cut(pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "counts")
+    totals = scratch.cut(pages.groupBy("host").agg(F.count("*").alias("pages")), "totals")
+    often = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
@@ -41,7 +43,8 @@ def drop_boilerplate_lines(df: DataFrame, host: str = "source", text: str = "tex
     An empty table gives no rows. Columns of df named n_lines or n_dropped are replaced,
     all others stay."""
     rows = df.select(F.struct(*map(named, df.columns)).alias(ROW), F.coalesce(named(host).cast("string"), F.lit("")).alias("host"), named(text).alias("text"))
-    found = Scratch(df.sparkSession).cut(boilerplate(rows.select("host", "text"), ratio), "boilerplate")
+    scratch = Scratch(df.sparkSession)
+    found = scratch.cut(boilerplate(rows.select("host", "text"), ratio, scratch), "boilerplate")
     split = F.split("text", "\n")
     kept = F.when(F.col("lines").isNull(), split).otherwise(F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("lines", F.xxhash64(F.trim(x)))))
     told = rows.join(found, "host", "left").select(ROW, kept.alias("kept"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"))

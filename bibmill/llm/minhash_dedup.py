@@ -227,9 +227,10 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def meetings(own: DataFrame) -> DataFrame:
-    """_rid, band, value, n for the values that n > 1 documents have."""
-    counts = own.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+def meetings(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """_rid, band, value, n for the values that n > 1 documents have. The counts are
+    written before the join: beside an aggregate Spark would not split a hot value."""
+    counts = scratch.cut(own.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     return own.select(RID, "band", "value").join(counts, ["band", "value"])
 
 
@@ -299,14 +300,14 @@ def star(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return name[order][on], name[order][label[on]]
 
 
-def compare_blocks(members: DataFrame, sets: DataFrame, bands_of: DataFrame, similarity: float) -> DataFrame:
+def compare_blocks(members: DataFrame, sets: DataFrame, bands_of: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join members of one band value but of different roots.
     members: _rid, band, value, root, size, shared."""
     by = ["band", "value"]
     counts = members.groupBy(*by, "root").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
     top = counts.groupBy(*by).agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max_by("weight", F.struct("n", "root")).alias("own")).select(*by, F.col("x.root").alias("top"), F.col("x.n").alias("top_n"), F.col("own").alias("top_weight"), (F.col("n") - F.col("x.n")).alias("rest_n"), (F.col("weight") - F.col("own")).alias("rest_weight"))
     blocks = lambda x: F.greatest(F.ceil(F.col(f"{x}_weight") / BLOCK_WEIGHT), F.ceil(F.col(f"{x}_n") / BLOCK_ROWS)).cast("int")
-    top = top.select(*by, "top", blocks("rest").alias("few"), blocks("top").alias("many"))
+    top = scratch.cut(top.select(*by, "top", blocks("rest").alias("few"), blocks("top").alias("many")), "top")
     # the largest component's blocks come after the others' and needn't meet each other
     major = F.col("root") == F.col("top")
     place = lambda n: F.pmod(F.xxhash64(RID), n).cast("int")
@@ -363,18 +364,19 @@ def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = S
     first = scratch.cut(hashed.groupBy("h1", "h2").agg(F.min(RID).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     copies = scratch.cut(hashed.join(first, ["h1", "h2"]).where(F.col(RID) != F.col("first")).select(RID, "first"), "copies")
     signed = scratch.cut(sign(texts.join(copies.select(RID), RID, "left_anti"), weighted), "signed")
-    met = scratch.cut(meetings(signed.select(RID, F.posexplode("bands").alias("band", "value"))), "met")
+    met = scratch.cut(meetings(signed.select(RID, F.posexplode("bands").alias("band", "value")), scratch), "met")
     able = scratch.cut(shared_darts(signed, met.select(RID).distinct(), similarity), "able")
     sets = scratch.cut(element_sets(texts.join(able, RID, "left_semi"), weighted), "sets")
     sizes = scratch.cut(shared_sizes(sets, similarity), "sizes")
     bands_of = scratch.cut(signed.join(sizes.select(RID), RID, "left_semi").select(RID, "bands"), "bands")
-    pruned = scratch.cut(meetings(met.join(sizes.select(RID), RID, "left_semi")).join(sizes, RID), "pruned")
+    pruned = scratch.cut(meetings(met.join(sizes.select(RID), RID, "left_semi"), scratch).join(sizes, RID), "pruned")
     scratch.drop(signed, met, first, able)
 
     # each value's members with its leader, the one of most meetings
-    wanted = pruned.groupBy(RID).agg(F.sum("n").alias("meets"))
-    members = pruned.join(wanted, RID)
+    wanted = scratch.cut(pruned.groupBy(RID).agg(F.sum("n").alias("meets")), "wanted")
+    members = scratch.cut(pruned.join(wanted, RID), "members")
     leaders = members.groupBy("band", "value").agg(F.max(F.struct("meets", (-F.col(RID)).alias("r"), "size", "shared")).alias("x")).select("band", "value", (-F.col("x.r")).alias("b"), F.col("x.size").alias("_size"), F.col("x.shared").alias("_shared"))
+    leaders = scratch.cut(leaders, "leaders")
     led = members.join(leaders, ["band", "value"]).where(f"{RID} <> b").where(may_be_similar(F.col("size"), F.col("_size"), F.col("shared"), F.col("_shared"), similarity))
     pairs = scratch.cut(led.select(F.least(RID, "b").alias("a"), F.greatest(RID, "b").alias("b")).distinct(), "pairs")
     near = scratch.cut(similar(pairs, sets, similarity), "near")
@@ -382,9 +384,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = S
 
     # values whose members are still apart, in blocks
     tied = pruned.join(roots, F.col(RID) == F.col("node"), "left").select(RID, "size", "shared", "band", "value", F.coalesce("root", RID).alias("root"))
-    apart = tied.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = scratch.cut(tied.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"), "apart")
     left = scratch.cut(tied.join(apart.select("band", "value"), ["band", "value"], "left_semi"), "left")
-    more = scratch.cut(compare_blocks(left, sets, bands_of, similarity), "more")
+    more = scratch.cut(compare_blocks(left, sets, bands_of, similarity, scratch), "more")
     roots = components(near.unionByName(more), scratch)
     scratch.release()
 

@@ -1,12 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, its word pairs (unordered: the hashes of two
-neighbours are joined by xor, so a word beside itself is one feature whatever the
-word) and the n-grams of 3 and 4 characters within words (a word's ends count as
-characters), hashed into ROWS rows of learned vectors; their mean goes through a softmax. Vectors and output weights are learned by
-stochastic gradient descent in numpy on the driver, from a sample of at most SAMPLE
-labelled rows (the lowest hashes of doc_id), which come there as counted features, at
-most ROWS a document whatever its length. All else covers every whole text. As the
+A document's features are its words and the n-grams of 3 and 4 characters within words
+(a word's ends count as characters), hashed into ROWS rows of learned vectors; their
+mean goes through a softmax. Vectors and output weights are learned by stochastic
+gradient descent in numpy on the driver, from a sample of labelled rows (the lowest
+hashes of doc_id): at most SAMPLE, and as many as have at most FEATURES different
+features in all (8 bytes each), so the driver's share is bounded whatever the texts'
+length. All else covers every whole text. As the
 output is linear in the mean, scoring needs only each row's product with the
 difference of the two output weights.
 """
@@ -18,13 +18,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named, slices
+from .common import Scratch, named, slices
 
-SAMPLE, ROWS, DIM, EPOCHS, RATE, SEED = 3000, 1 << 17, 8, 6, 1.0, 6
+SAMPLE, FEATURES, ROWS, DIM, EPOCHS, RATE, SEED = 3000, 1 << 24, 1 << 17, 8, 6, 1.0, 6
 CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
@@ -58,9 +58,6 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         found = [(sums[ends] - sums[starts]) * down[starts] + U(1)]
         docs = [doc[starts]]
-        pairs = np.flatnonzero(docs[0][1:] == docs[0][:-1])
-        found.append(mix(found[0][pairs]) ^ mix(found[0][pairs + 1]))
-        docs.append(docs[0][pairs])
         for n in (3, 4):  # all characters but the first and last lie inside a word
             at = np.flatnonzero(inside[1:-2] & inside[n - 2 : len(c) - 4 + n - 1])
             found.append((sums[at + n] - sums[at]) * down[at] + U(n))
@@ -119,8 +116,9 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows outside the held-out third, at most sample of them.
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
+    """Learns from labelled rows outside the held-out third, at most sample of them and
+    of features different features in all.
     Rows without a doc_id, a label or a text teach nothing; of several labels of a
     document the largest holds, of several texts of a doc_id the least."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
@@ -133,7 +131,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     # as bytes, since the driver would need many times their size for lists of numbers
-    got = sorted(rows.mapInArrow(run, "doc_id long, quality int, rows binary, parts binary").collect())
+    bags = Scratch(documents.sparkSession).cut(rows.mapInArrow(run, "doc_id long, quality int, rows binary, parts binary"), "bags")
+    before = F.sum(F.octet_length("rows") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = bags.select("doc_id", before.alias("n")).where(F.col("n") <= features).select("doc_id")  # of sample rows at most
+    got = sorted(bags.join(F.broadcast(chosen), "doc_id").collect())
     return train([(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["parts"], np.float32)) for r in got], [r["quality"] for r in got])
 
 

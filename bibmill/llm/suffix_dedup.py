@@ -243,13 +243,13 @@ def recurse(sides: DataFrame, scratch: Scratch) -> DataFrame:
     key = ["gram", "part", "shared"]
     parts = scratch.cut(divide(sides), "parts")
     counts = parts.groupBy(*key).agg(F.sum("c").alias("n"), F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.min("whole").alias("all")).where("n > 1")
-    met = parts.join(counts.select(*key, F.expr("low = high and all").alias("same")), key)
+    met = parts.join(scratch.cut(counts.select(*key, F.expr("low = high and all").alias("same")), "counts"), key)
     met = scratch.cut(met.select("gram", "around", "c", "part", "same"), "met")
     scratch.drop(parts)
-    open_ = met.where("not same").groupBy("gram", "around").agg(F.collect_list("part").alias("parts"))
+    open_ = scratch.cut(met.where("not same").groupBy("gram", "around").agg(F.collect_list("part").alias("parts")), "open")
     each = scratch.cut(strings(sides.join(open_, ["gram", "around"])), "strings")
     scratch.release()
-    often = each.groupBy("gram", "o", "string").agg(F.sum("c").alias("n")).where("n > 1")
+    often = scratch.cut(each.groupBy("gram", "o", "string").agg(F.sum("c").alias("n")).where("n > 1"), "often")
     counted = each.where("c = 1").join(often, ["gram", "o", "string"]).select("gram", "around", F.array("o").alias("os"))
     inside = met.where("same and c = 1").select("gram", "around", F.sequence(F.col("part") * PART, F.least(F.col("part") * PART + PART - 1, F.lit(REACH))).alias("os"))
     found = scratch.cut(counted.unionByName(inside).groupBy("gram", "around").agg(F.flatten(F.collect_list("os")).alias("offsets")), "large")
@@ -297,13 +297,14 @@ def remove_repeats(df: DataFrame, text_col: str = "text", characters: bool = Fal
     texts = rows.select(RID, text_of(text_col).alias("_text"))
     found = scratch.cut(find_anchors(texts), "anchors")
     counts = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
-    met = scratch.cut(found.join(counts.select("gram", (F.col("low") == F.col("high")).alias("same")), "gram"), "repeated")
-    scratch.drop(found)
+    # aggregates are written before they are joined: Spark splits a hot gram's rows only where a plain shuffle feeds the join
+    counts = scratch.cut(counts.select("gram", (F.col("low") == F.col("high")).alias("same")), "counts")
+    met = scratch.cut(found.join(counts, "gram"), "repeated")
+    scratch.drop(found, counts)
 
     open_ = met.where("not same")
-    # written before the join, whose shuffle Spark can then split where one gram has very many surroundings
     kinds = scratch.cut(open_.groupBy("gram", "around").agg(F.count("*").alias("c"), F.min(F.struct(RID, "at")).alias("first")), "kinds")
-    sizes = kinds.groupBy("gram").agg(F.count("*").alias("d"))
+    sizes = scratch.cut(kinds.groupBy("gram").agg(F.count("*").alias("d")), "sizes")
     reps = scratch.cut(kinds.join(sizes, "gram").select("gram", "around", "c", "first.*", "d"), "reps")
     scratch.drop(kinds)
     small = scratch.cut(solve(surroundings(reps.where(F.col("d") <= GROUP), texts), spark), "small")

@@ -259,6 +259,52 @@ def test_quality_classifier(spark, empty):
     assert quality_classifier.score(empty, quality_classifier.fit(empty, labels), ["doc_id"]).count() == 0
 
 
+def test_features_as_a_loop():
+    """One row for each word and each 3- and 4-gram within a word and its ends, and the same row for the same string."""
+    texts = [t or "" for t in TEXTS if len(t or "") < 3000]
+    rows, doc = quality_classifier.features(texts)
+    flat = " " + " ".join(texts) + "   "
+    owner = [0] + [i for i, t in enumerate(texts) for _ in range(len(t) + 1)] + [0, 0, 0]
+    flat = "".join(" " if ord(c) <= 32 or c in "\xa0\u3000" or "\u2000" <= c <= "\u200a" else c for c in flat)
+    expected, at = [], 0
+    for word in flat.split(" "):
+        if word:
+            expected.append((owner[at], word))
+        at += len(word) + 1
+    for n in (3, 4):
+        expected += [(owner[k + 1], "#" + flat[k: k + n]) for k in range(len(flat) - 3) if " " not in flat[k + 1: k + n - 1]]
+    assert doc.tolist() == [d for d, _ in expected]
+    of = {}
+    for (_, s), row in zip(expected, rows.tolist()):
+        assert of.setdefault(s, row) == row
+    assert len(set(of.values())) > 0.98 * len(of)
+
+
+def test_fit_is_bounded_by_features(spark):
+    df = spark.createDataFrame([(i, f"good words {i} here" if i % 2 else f"bad junk {i} there") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert quality_classifier.fit(df, labels, features=5).rows.any() == np.False_
+    assert quality_classifier.fit(df, labels, features=500).rows.any()
+
+
+HOT = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def test_hot_values_are_split(spark):
+    """Nine tenths of all rows have one band value: the final plan splits their join."""
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    try:
+        own = common.Scratch(spark).cut(spark.range(60000).select(F.col("id").alias("_rid"), F.lit(0).alias("band"), F.when(F.col("id") % 10 == 0, F.col("id") % 500).otherwise(-1).alias("value")).repartition(8), "own")
+        out = minhash_dedup.meetings(own, common.Scratch(spark))
+        assert len(out.collect()) == 60000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in HOT:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def expected_ids():
     t = Tokenizer.from_file(WORD_BPE)
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in TEXTS]
