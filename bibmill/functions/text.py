@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bind import let
+
 MARKS = regex.compile(r"\p{M}+")
 #: Entities that markup stripping decodes, in this order and whatever their case.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&(?:apos|#0*39|#x0*27);", "'"), ("&nbsp;", " ")]
@@ -126,7 +128,8 @@ def tokens(c: Column) -> Column:
 
 
 def strip_numbering(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s*(\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4}\.)\s+", "")
+    """Without the numbers before it, one after another; a year stays."""
+    return F.regexp_replace(c, r"^\s*(?:(?:\[\d{1,4}\]|\(\d{1,4}\)|(?!(?:19|20)\d{2}\b)\d{1,4}[.)])\s+)+", "")
 
 
 def page_range(c: Column) -> Column:
@@ -146,10 +149,7 @@ def _cased(c: Column, small) -> Column:
     """Each word by its rule: one with a digit or capitals inside stays, as does a short
     one in capitals, unless the whole is in capitals; small(word, index) tells which words
     are written low. What follows a colon or a long dash starts with a capital."""
-    words = F.split(c, " ")
-    shouting = ~c.rlike(r"\p{Ll}") & (F.size(words) >= 4) & c.rlike(r"\p{L}{5}")
-
-    def one(w: Column, i: Column) -> Column:
+    def one(w: Column, i: Column, words: Column, shouting: Column) -> Column:
         bare = F.regexp_replace(w, r"[^A-Za-z0-9]", "")
         stays = (bare == "") | bare.rlike(r"\d") | w.rlike(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]") | (~shouting & (bare == F.upper(bare)) & (F.length(bare) <= 4))
         lead, rest = F.regexp_extract(w, r"^([^\p{L}\p{N}]*)", 1), F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]*", ""))
@@ -157,7 +157,12 @@ def _cased(c: Column, small) -> Column:
         after = F.coalesce(F.get(words, i - 1), F.lit("")).rlike("[:–—]$")
         return F.when(stays, w).when(small(F.lower(bare), i) & ~after, F.lower(w)).otherwise(big)
 
-    return F.array_join(F.transform(words, one), " ")
+    def told(x: Column) -> Column:
+        shouting = ~c.rlike(r"\p{Ll}") & (F.size(x) >= 4) & c.rlike(r"\p{L}{5}")
+        return let(shouting, lambda loud: F.transform(x, lambda w, i: one(w, i, x, loud)))
+
+    # words and loudness are worked out once, not again for each word
+    return F.array_join(let(F.split(c, " "), told), " ")
 
 
 def sentence_case(c: Column) -> Column:

@@ -154,7 +154,12 @@ def test_split_and_detect(spark):
         assert one(spark, detect.detect_format, raw) == want
     assert one(spark, split.choose_split, "First one here is.\n\nSecond one here is.")["blocks"] == ["First one here is.", "Second one here is."]
     assert one(spark, split.opener_score, "[1] Smith, J. A title of some length. 2001") == 1.0
-    assert one(spark, split.opener_score, "[1] Smith, J. 2001") == pytest.approx(0.8)  # short
+    assert one(spark, split.opener_score, "[1] Smith, J. 2001") == 1.0  # short lines with a year lose nothing
+    assert one(spark, split.opener_score, "1) Smith, J.") == pytest.approx(0.55)
+    assert one(spark, split.opener_score, "van der Berg, J. (2001). A title of some length.") == pytest.approx(0.15)  # an author and a year, but low
+    assert one(spark, lambda c: split.opens_reference(c), "van der Berg, J. (2001)") is True
+    assert one(spark, split.numbered_blocks, "1) A b\nmore\n2) C d") == ["1) A b more", "2) C d"]
+    assert one(spark, detect.detect_format, "1) First\n2) Second") == "numbered" and one(spark, detect.detect_format, "(1) First (2) Second") == "plain"
     assert one(spark, split.opener_score, "and the rest of it, vol. 3, in lower case") == 0.0
 
 
