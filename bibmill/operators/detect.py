@@ -1,10 +1,7 @@
-"""Format, style and type detection from counted signals and small weight tables."""
+"""Format detection by rules, and scores over groups of values."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +17,6 @@ SIGNALS = {
     "terminated": r"[.!?]\s*$",
     "capital": r"^\s*[A-Z]",
 }
-#: How much each signal's share of the lines counts for each format.
-WEIGHTS = {"numbered": {"numbered": 1.0}, "doi_list": {"doi": 0.9, "url": 0.2}, "plain": {"terminated": 0.5, "capital": 0.3}}
 
 
 def signal_ratios(text: Column) -> dict[str, Column]:
@@ -48,14 +43,6 @@ def detect_format(text: Column) -> Column:
     return let(lines(text), told)
 
 
-def score_formats(text: Column) -> Column:
-    """The format of the highest weighted sum with its margin over the next as a confidence."""
-    ratios = signal_ratios(text)
-    scores = F.array_sort(F.array(*[F.struct(reduce(add, [ratios[s] * w for s, w in ws.items()]).alias("score"), F.lit(name).alias("format")) for name, ws in WEIGHTS.items()]))
-    best, second = F.element_at(scores, -1), F.element_at(scores, -2)
-    return F.struct(best["format"].alias("format"), best["score"].alias("score"), F.least(F.lit(0.95), 1 / (1 + F.exp(-8 * (best["score"] - second["score"])))).alias("confidence"))
-
-
 def softmax(values: Column) -> Column:
     """An array's maximum and sum are worked out once, not again for each element."""
     shifted = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))

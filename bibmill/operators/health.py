@@ -1,25 +1,15 @@
-"""Record health: required fields by type, status, scores."""
+"""Record health: status and scores. Which fields a type must have stands in schemas."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fields that a type must have, and those that would be good to have.
-REQUIRED = {"article-journal": ["title", "authors", "year", "container"], "book": ["title", "authors", "year", "publisher"], "webpage": ["title", "url"]}
-PREFERRED = {"article-journal": ["doi", "pages"], "book": ["isbn"], "webpage": ["year"]}
-
-
-def missing(kind: Column, present: dict[str, Column], table: dict[str, list[str]] = REQUIRED) -> Column:
-    """The type's required fields that aren't present, in the table's order."""
-    out = F.array().cast("array<string>")
-    for name, fields in table.items():
-        out = F.when(kind == name, F.array_compact(F.array(*[F.when(~F.coalesce(present.get(f, F.lit(False)), F.lit(False)), f) for f in fields]))).otherwise(out)
-    return out
-
-
-def status(missing_fields: Column, confidence: Column) -> Column:
-    return F.when(F.size(missing_fields) > 0, "needs_action").when(F.coalesce(confidence, F.lit(0.0)) < 0.6, "needs_review").otherwise("ready")
+def status(missing_fields: Column, invalid_fields: Column, unsure_fields: Column, severities: Column) -> Column:
+    """needs_action for a mandatory field that is missing or invalid or a warning of that
+    severity; needs_review for an unsure one or a warning to review; else ready. Arrays."""
+    asks = (F.size(missing_fields) > 0) | (F.size(invalid_fields) > 0) | F.array_contains(severities, "action")
+    return F.when(asks, "needs_action").when((F.size(unsure_fields) > 0) | F.array_contains(severities, "review"), "needs_review").otherwise("ready")
 
 
 def raw_score(field: Column, form: Column, structure: Column, penalty: Column) -> Column:

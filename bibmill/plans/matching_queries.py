@@ -57,12 +57,12 @@ def doi_verification(spark, sf_dir):
     return rows.select("o_orderkey", "v.status", F.array_join("v.mismatches", ",").alias("mismatches"))
 
 
-@query("SELECT page_id, page_id % 4 < 2 AS aligned FROM pages WHERE url IS NOT NULL")
+@query("SELECT page_id, url IS NOT NULL AND page_id % 4 < 2 AS aligned FROM pages")
 def url_alignment(spark, sf_dir):
     """Addresses against themselves in capitals, with a slash more, and against others."""
     k, url = F.col("page_id") % 4, F.col("url")
     other = F.when(k == 0, F.upper(url)).when(k == 1, F.concat(F.regexp_replace(url, r"[?#].*$", ""), F.lit("/?x=1"))).when(k == 2, F.concat(F.regexp_replace(url, r"[?#].*$", ""), F.lit("/more"))).otherwise("no address")
-    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", verify.urls_align(url, other).alias("aligned"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(verify.urls_align(url, other), F.lit(False)).alias("aligned"))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 3 = 0 AND o_custkey % 2 = 0 AS author_conflict, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 5 > 1 THEN 'year' WHEN o_orderkey % 2 = 0 AND o_orderkey % 7 = 0 THEN 'type' WHEN o_orderkey % 6 = 1 AND o_orderkey % 9 = 0 THEN 'title' END AS mismatch FROM orders""")
@@ -211,10 +211,10 @@ def provider_rollup(spark, sf_dir):
 
 
 @query(r"""SELECT conv_id, turn, role, text, trim(regexp_replace(lower(regexp_replace(replace(regexp_replace(text, '&amp;', '&', 'gi'), '&', ' and '), '^doi:\s*', '', 'i')), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS soft,
- trim(regexp_replace(lower(replace(strip_accents(text), '&', ' and ')), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS grouped FROM conversations WHERE text IS NOT NULL""")
+ trim(regexp_replace(lower(replace(strip_accents(text), '&', ' and ')), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS grouped FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)""")
 def comparable_forms(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "role", "text", text.soft(t).alias("soft"), text.group_comparable(t).alias("grouped"))
+    return table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).select("conv_id", "turn", "role", "text", text.soft(t).alias("soft"), text.group_comparable(t).alias("grouped"))
 
 
 @query("""SELECT o_orderkey, 'smith report on ' || o_custkey AS key FROM orders""")

@@ -67,18 +67,20 @@ def work_keys(spark, sf_dir):
     return rows.select("o_orderkey", "work_key", F.array_join(clusters.hints(F.col("doi"), F.col("url"), F.col("work_key"), F.col("family")), ",").alias("hints"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT p_partkey AS id, p_retailprice AS score, p_name || ' ' || p_size AS raw, CASE WHEN p_size > 40 THEN '10.1000/' || (p_partkey % 150) END AS doi, p_brand || p_type || (p_size % 4) AS work FROM part),
-links AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.raw = b.raw UNION SELECT a.id, b.id FROM r a JOIN r b ON a.doi = b.doi UNION SELECT a.id, b.id FROM r a JOIN r b ON a.work = b.work),
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS id, p_retailprice AS score, md5(p_name || ' ' || p_size) AS t, CASE WHEN p_partkey % 2 = 0 THEN md5(p_name || ' ' || p_size) END AS raw, CASE WHEN p_size > 40 THEN '10.1000/' || (p_partkey % 150) END AS doi, p_brand || p_type || (p_size % 4) AS work FROM part),
+links AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.t = b.t UNION SELECT a.id, b.id FROM r a JOIN r b ON a.doi = b.doi UNION SELECT a.id, b.id FROM r a JOIN r b ON a.work = b.work),
 reach(id, other) AS (SELECT a, b FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
 roots AS (SELECT id, min(other) AS cluster, count(DISTINCT other) AS n_members FROM reach GROUP BY id),
 best AS (SELECT cluster, arg_max(id, score * 1e7 - id) AS primary_id FROM r JOIN roots USING (id) GROUP BY cluster)
-SELECT r.id AS p_partkey, cluster, n_members, primary_id, CASE WHEN r.id = primary_id THEN NULL WHEN r.doi = p.doi THEN 'doi_exact' WHEN r.raw = p.raw THEN 'normalized_hash' WHEN r.work = p.work THEN 'canonical_work_key' ELSE 'minhash_lsh' END AS reason
+SELECT r.id AS p_partkey, cluster, n_members, primary_id, CASE WHEN r.id = primary_id THEN NULL WHEN r.doi = p.doi THEN 'doi_exact' WHEN r.raw = p.raw THEN 'normalized_hash' WHEN r.work = p.work THEN 'canonical_work_key' ELSE 'minhash_lsh' END AS reason, CASE WHEN r.id = primary_id THEN NULL WHEN r.doi = p.doi OR r.raw = p.raw THEN 1.0 WHEN r.work = p.work THEN 0.98 ELSE 0.95 END AS nominal_score
 FROM r JOIN roots USING (id) JOIN best USING (cluster) JOIN r p ON p.id = primary_id""")
 def duplicate_clusters(spark, sf_dir):
-    """Parts as records: clusters over raw text, DOI and work key together."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.concat_ws(" ", "p_name", "p_size").alias("raw"), F.when(F.col("p_size") > 40, F.concat(F.lit("10.1000/"), (F.col("p_partkey") % 150).cast("string"))).alias("doi"), F.concat("p_brand", "p_type", (F.col("p_size") % 4).cast("string")).alias("work"))
-    found = clusters.duplicate_clusters(rows, "p_partkey", "p_retailprice", {"doi": "doi_exact", "raw": "normalized_hash", "work": "canonical_work_key"})
-    return found.select("p_partkey", "cluster", "n_members", "primary_id", "reason")
+    """Parts as records: clusters over raw text, DOI, work key and near-equal texts together;
+    odd parts have no raw text and meet their copies by MinHash alone."""
+    text = F.md5(F.concat_ws(" ", "p_name", "p_size").cast("binary"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", text.alias("t"), F.when(F.col("p_partkey") % 2 == 0, text).alias("raw"), F.when(F.col("p_size") > 40, F.concat(F.lit("10.1000/"), (F.col("p_partkey") % 150).cast("string"))).alias("doi"), F.concat("p_brand", "p_type", (F.col("p_size") % 4).cast("string")).alias("work"))
+    found = clusters.duplicate_clusters(rows, "p_partkey", "p_retailprice", {"doi": "doi_exact", "raw": "normalized_hash", "work": "canonical_work_key"}, "t")
+    return found.select("p_partkey", "cluster", "n_members", "primary_id", "reason", "nominal_score")
 
 
 @query("SELECT source, 'near:' || substr(sha256(array_to_string(list_sort(list(DISTINCT lang)), '|')), 1, 24) AS cluster_id FROM documents GROUP BY source")
@@ -133,10 +135,10 @@ def output_decisions(spark, sf_dir):
 
 @query(r"""SELECT doc_id, w = 0 OR (w <= 3 AND NOT regexp_matches(text, '(?i)10\.\d{4,9}/\S+|https?://\S+')) OR (weak AND NOT anchor) AS not_citation_like,
  floor(least(1.0, greatest(0.0, 1 - (doc_id % 100) / 100) + CASE WHEN weak THEN 0.22 ELSE 0 END + CASE WHEN doc_id % 10 = 0 THEN 0.26 ELSE 0 END + CASE WHEN w <= 8 THEN 0.12 ELSE 0 END + CASE WHEN NOT anchor THEN 0.18 ELSE 0 END) * 1e4 + 0.5) / 1e4 AS ood
-FROM (SELECT doc_id, text, lang <> 'en' AS weak, len(list_filter(string_split_regex(trim(text, ' '), '\s+'), lambda x: x <> '')) AS w, regexp_matches(text, '(?i)10\.\d{4,9}/\S+|https?://\S+|\b(19|20)\d{2}\b') AS anchor FROM documents WHERE text IS NOT NULL)""")
+FROM (SELECT doc_id, text, lang <> 'en' AS weak, len(list_filter(string_split_regex(trim(text, ' '), '\s+'), lambda x: x <> '')) AS w, regexp_matches(text, '(?i)10\.\d{4,9}/\S+|https?://\S+|\b(19|20)\d{2}\b') AS anchor FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents))""")
 def citation_likeness(spark, sf_dir):
-    text, weak = F.col("text"), F.col("lang") != "en"
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", decide.not_citation_like(text, weak).alias("not_citation_like"), decide.ood_score(text, weak, F.col("doc_id") % 10 == 0, (F.col("doc_id") % 100) / 100).alias("ood"))
+    text, weak = F.coalesce("text", F.lit("")), F.col("lang") != "en"
+    return table(spark, sf_dir, "documents").select("doc_id", decide.not_citation_like(text, weak).alias("not_citation_like"), decide.ood_score(text, weak, F.col("doc_id") % 10 == 0, (F.col("doc_id") % 100) / 100).alias("ood"))
 
 
 FURNITURE = r"NOT regexp_matches(trim(x, ' '), '^\d{4}$') AND (regexp_matches(trim(x, ' '), '(?i)^(\d+|page\s+\d+|p\.\s*\d+)$') OR regexp_matches(trim(x, ' '), '(?i)\b\d+\s+(of|/)\s+\d+\s*(references?)?$') OR regexp_matches(trim(x, ' '), '^[•–-]+$'))"
@@ -145,10 +147,10 @@ LIGATED = "replace(replace(replace(replace(replace(replace(replace(text, 'ﬁ',
 
 @query(rf"""SELECT doc_id, length(text) >= 80 AND len(l) >= 4 AND (len(list_filter(l, lambda x: length(x) < 45)) / len(l) > 0.4)::INT + (len(regexp_extract_all(text, '[A-Za-z]{{3,}}-\n[a-z]{{2,}}')) >= 2)::INT + (len(list_filter(l, lambda x: regexp_matches(x, '(?i)^(\d+|page\s+\d+|p\.\s*\d+)$'))) >= 2)::INT + (len(list_filter(l, lambda x: regexp_matches(x, '^[•–-]+$'))) >= 2)::INT >= 2 AS pdf_like,
  sha256(array_to_string(list_filter(string_split(regexp_replace(regexp_replace({LIGATED}, '([A-Za-z]{{3,}})-\n([a-z]{{2,}})', '\1\2', 'g'), '([A-Z]{{3,}})-\n([A-Z]{{2,}})', '\1\2', 'g'), chr(10)), lambda x: NOT ({FURNITURE})), chr(10))) AS cleaned
-FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)""")
+FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
 def pdf_cleanup(spark, sf_dir):
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", ingest.looks_like_pdf(text).alias("pdf_like"), F.sha2(ingest.clean_pdf(text), 256).alias("cleaned"))
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.looks_like_pdf(text).alias("pdf_like"), F.sha2(ingest.clean_pdf(text), 256).alias("cleaned"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN '10.1007/s' || o_orderkey || '-x' END AS doi, o_orderkey % 3 = 1 AS recovered, 'Notes, ' || o_orderpriority AS rest FROM orders""")

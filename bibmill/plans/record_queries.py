@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import validation
 from ..functions.similarity import rounded
-from ..operators import evaluate, health, match, render, sampling
+from ..operators import evaluate, health, match, render, sampling, schemas
 from ..sources import bibliography, sinks
 from .registry import query, table
 
@@ -92,10 +92,11 @@ def overwrite_guard_merge(spark, sf_dir):
  CAST(greatest(0, least(100, floor(100 * (0.4 * ((o_orderkey % 10) / 10) + 0.35 * 0.5 + 0.25 * 1.0) - CASE WHEN o_orderkey % 3 = 0 THEN 15 ELSE 0 END + 0.5))) AS INT) AS score FROM orders""")
 def mandatory_audit(spark, sf_dir):
     k = F.col("o_orderkey")
-    lacks = health.missing(F.lit("article-journal"), {"title": F.lit(True), "authors": F.lit(True), "container": F.lit(True), "year": k % 3 != 0})
-    confidence = (k % 10) / 10
+    lacks = schemas.missing(F.lit("article-journal"), {"title": F.lit(True), "authors": F.lit(True), "journal": F.lit(True), "volume": F.lit(True), "year": k % 3 != 0})
+    confidence, none = (k % 10) / 10, F.array().cast("array<string>")
+    unsure = F.when(confidence < 0.6, F.array(F.lit("title"))).otherwise(none)
     score = health.raw_score(confidence, F.lit(0.5), F.lit(1.0), F.when(F.size(lacks) > 0, 15).otherwise(0))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(lacks, ",").alias("missing"), health.status(lacks, confidence).alias("status"), score.alias("score"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(lacks, ",").alias("missing"), health.status(lacks, none, unsure, none).alias("status"), score.alias("score"))
 
 
 @query("SELECT o_orderkey, coalesce(c_name, o_orderpriority) AS label FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0) ON o_custkey = c_custkey")

@@ -1,10 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -20,3 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
             _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="bibmill-")
         told = _local[context.applicationId]
     return told.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: it survives lost executors, ends the
+    lineage, and a join of it starts from a plain shuffle, which Spark can split where
+    a key is hot; beside an aggregate it can't."""
+    path = f"{shared_dir(df.sparkSession)}/bibmill-{uuid.uuid4().hex}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
