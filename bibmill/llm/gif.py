@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,12 +165,22 @@ def encode(width: int, height: int, frames: list[Frame], palette: np.ndarray = C
 
 def decode(data: bytes) -> tuple[int, int, list[Frame]]:
     """Width, height and frames, samples in row order."""
+    width, height, found = opened(data)
+    return width, height, list(found)
+
+
+def opened(data: bytes) -> tuple[int, int, Iterator[Frame]]:
+    """Width, height, and the frames one after another, so that those before a broken one are there."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     if width * height > MAX_PIXELS:
         raise ValueError("too large a canvas")
-    at, common, frames = 13, COLOURS, []
+    return width, height, read_frames(data, flags)
+
+
+def read_frames(data: bytes, flags: int) -> Iterator[Frame]:
+    at, common = 13, COLOURS
 
     def palette(at: int, flags: int) -> tuple[np.ndarray, int]:
         n = 3 << (flags & 7) + 1
@@ -209,14 +219,13 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
                 rows = np.frombuffer(samples, np.uint8).reshape(h, w)
                 order = np.concatenate([np.arange(s, h, step) for s, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 samples = rows[np.argsort(order)].tobytes()
-            frames.append(Frame(left, top, w, h, own, samples, *told))
+            yield Frame(left, top, w, h, own, samples, *told)
             told = (None, 0, 0)
         else:
             raise ValueError("an unknown block")
-    return width, height, frames
 
 
-def compose(width: int, height: int, found: list[Frame]) -> Iterator[tuple[np.ndarray, int]]:
+def compose(width: int, height: int, found: Iterable[Frame]) -> Iterator[tuple[np.ndarray, int]]:
     """What is shown, as RGBA of the whole canvas, and for how many milliseconds."""
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in found:
@@ -239,7 +248,7 @@ def compose(width: int, height: int, found: list[Frame]) -> Iterator[tuple[np.nd
 
 
 def frames(data: bytes) -> Iterator[tuple[np.ndarray, int]]:
-    return compose(*decode(data))
+    return compose(*opened(data))
 
 
 def histogram(rgba: np.ndarray) -> np.ndarray:

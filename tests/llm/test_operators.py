@@ -116,6 +116,13 @@ def test_long_text_takes_several_frames():
     assert len(found) == 2 and b"".join(f.samples for f in found) == payload
 
 
+def test_frames_before_a_broken_one(spark):
+    """A file cut in its second image: the first frame, then a row that tells of the rest."""
+    data = gif.encode(8, 8, [gif.Frame(0, 0, 8, 8, gif.COLOURS, bytes(range(64)), None, 40, 0), gif.Frame(0, 0, 8, 8, gif.COLOURS, bytes(range(64, 128)), 70, 50, 0)])
+    rows = gif.gif_frames(spark.createDataFrame([(1, data[:-20])], "id long, m binary"), "id", "m").collect()
+    assert [r["frame"] for r in rows] == [0, -1] and rows[0]["delay_ms"] == 40 and rows[1]["rgba"] is None
+
+
 @pytest.mark.parametrize("size", [0, 1, 9, 200])
 def test_bad_gif_files_are_told(spark, size):
     good = gif.store(bytes(64))
