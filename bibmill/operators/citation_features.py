@@ -27,14 +27,10 @@ EARLY, LATE = 120, 0.45
 #: What counts for a quoted title besides its length.
 TITLE_POINTS = {"three words": 12, "ends a sentence": 4, "a mark inside": 2, "a letter": 4, "a year before": 2, "a mark after": 2}
 SLACK = sum(TITLE_POINTS.values())
-# Labels before identifiers.
-LABELLED = {
-    "pmid": r"(?i)\bPMID[:\s]*(\d{5,9})\b",
-    "arxiv": r"(?i)\b((?:arXiv:\s*|10\.48550/arXiv\.)\d{4}\.\d{4,5}(?:v\d+)?)\b",
-    "isbn": r"(?i)\bISBN(?:-1[03])?:?\s*((?:97[89][-\s]?)?\d(?:[-\s]?\d){8,}[0-9X])\b",
-    "issn": r"(?i)\bISSN:?\s*(\d{4}-?\d{3}[\dX])\b",
-    "handle": r"(?i)\b(?:hdl:\s*|https?://(?:hdl\.)?handle\.net/)(\d+(?:\.\d+)*/\S+)\b",
-}
+#: What stands before each identifier, and its form.
+LABELS = {"pmid": r"PMID[:\s]*", "arxiv": "", "isbn": r"ISBN(?:-1[03])?:?\s*", "issn": r"ISSN:?\s*", "handle": r"(?:hdl:\s*|https?://(?:hdl\.)?handle\.net/)"}
+FORMS = {"pmid": r"\d{5,9}", "arxiv": r"(?:arXiv:\s*|10\.48550/arXiv\.)\d{4}\.\d{4,5}(?:v\d+)?", "isbn": r"(?:97[89][-\s]?)?\d(?:[-\s]?\d){8,}[0-9X]", "issn": r"\d{4}-?\d{3}[\dX]", "handle": r"\d+(?:\.\d+)*/\S+"}
+LABELLED = {kind: rf"(?i)\b{label}({FORMS[kind]})\b" for kind, label in LABELS.items()}
 
 
 def nonempty(c: Column) -> Column:

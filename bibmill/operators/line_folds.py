@@ -27,9 +27,8 @@ ENDS_OPEN, CODE_CHARS = r"[./#?=&%-]$", r"^[A-Za-z0-9._;():/%+-]+$"
 COUNTER = r"(?i)\b\d+\s+(?:of|/)\s+\d+\s*(?:references?)?$"
 CAPITAL = r"\p{Lu}[\p{L}\p{M}'‘’ʼ.-]+"
 #: Where a second reference begins within a block: after a sentence, authors with a year.
-BOUNDARY = rf"(?<=[.!?])\s+(?=(?:[A-Z][A-Za-z'’.-]+,\s+[A-Z][^()]{{0,40}}|[A-Z][a-z'’.-]+(?: et al\.?| & [A-Z][a-z'’.-]+)?\s*){IN_BRACKETS})"
-#: How a line begins that soft breaks never join to the one before.
-BEGINS = rf"{NUMBERED}\S|^{LATIN},\s*(?:[A-Z]\.|[A-Z][a-z]+)|^{LATIN}(?:\s+{LATIN}){{0,3}}\s*{IN_BRACKETS}|^[A-Z][A-Za-z&'`\- ]+,\s*\d{{4}}\.|^@\w+\s*\{{|^(?:TY|ER)  - "
+WHO = "[A-Z][A-Za-z'’.-]+"
+BOUNDARY = rf"(?<=[.!?])\s+(?={WHO}(?:,\s+[A-Z][^()]{{0,40}}|(?: et al\.?| & {WHO})?\s*){IN_BRACKETS})"
 BLOCK = "struct<text:string,reason:string,uris:boolean>"
 
 
@@ -65,11 +64,16 @@ def join_wrapped(text: Column) -> Column:
     return F.array_join(folded(folded(physical(text), wrapped("doi")), wrapped("url")), "\n")
 
 
+def begins(line: Column) -> Column:
+    """A line that soft breaks never join to the one before: a number, an author, a name with a year, or an entry's mark."""
+    return line.rlike(NUMBERED) | opens_reference(line) | line.rlike(rf"^{LATIN}[^,]{{0,80}},\s*\d{{4}}\.") | line.rlike(r"^(?:@\w+\s*\{|(?:TY|ER)  - )")
+
+
 def merge_soft_breaks(text: Column) -> Column:
     """Lines joined by a space, but for empty ones, page furniture and lines that begin a reference."""
     def joins(line: Column, following: Column) -> Column:
         head, tail = F.trim(line), F.trim(following)
-        return F.when((head != "") & (tail != "") & ~is_furniture(tail) & ~tail.rlike(BEGINS), F.concat(F.rtrim(line), F.lit(" "), F.ltrim(following)))
+        return F.when((head != "") & (tail != "") & ~is_furniture(tail) & ~begins(tail), F.concat(F.rtrim(line), F.lit(" "), F.ltrim(following)))
 
     return F.array_join(folded(F.split(text, "\n"), joins), "\n")
 

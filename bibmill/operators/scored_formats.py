@@ -31,9 +31,11 @@ CONFERENCES = ["conference", "symposium", "workshop", "congress", "meeting", "pr
 GROUPS = ["Institute", "Organization", "University", "Association", "Committee", "Department", "Society", "Agency", "Bureau", "Foundation", "Office", "Center", "Centre", "Hospital", "Council", "Commission", "Ministry"]
 # End of the fixed values.
 
-CAPITAL, DOI = r"[A-Z][A-Za-z'’.\-]+", r"10\.\d{4,9}/\S+"
+DOI = r"10\.\d{4,9}/\S+"
 GROUP = rf"^\s*\p{{Lu}}[\p{{L}}\p{{M}}&,'‘’ʼ.\- ]{{4,80}}\b(?:{'|'.join(GROUPS)})\b"
-BOOK = rf"(?:^|[.]\s+)[A-Z][A-Za-z'’.\- ]+(?:,\s*[A-Z]{{2,}})?(?:\s+{CAPITAL}){{0,4}}\s*:\s*[A-Z][^.;]{{2,}}(?:[;,]\s*(?:19|20)\d{{2}})?\.?$"
+#: A place and a house behind a colon, at the end or before a year.
+PLACE, HOUSE = r"[A-Z][\p{L}'’.\-, ]*", r"[A-Z][^.;:]{2,}"
+BOOK = rf"(?:^|\.\s+){PLACE}:\s*{HOUSE}(?:[;,]\s*(?:19|20)\d{{2}})?\.?$"
 DATED = rf"{IN_BRACKETS}|{BARE_YEAR}|(?i)\b{DOI}\b|https?://\S+|www\.\S+"
 
 

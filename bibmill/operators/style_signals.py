@@ -112,8 +112,10 @@ def lead_of(cite: Column) -> Column:
 
 
 def title_of(cite: Column) -> Column:
-    tries = [('"([^"]{4,})"', 1), (r"\(\d{4}[a-z]?\)\.?\s+([^.;]{4,160})", 1), (r"\b\d{4}[a-z]?\.\s+([^.;]{4,160})", 1), (r"^[^.]+\.\s+([^.;]{4,160})", 1)]
-    found = [F.nullif(F.regexp_extract(cite, p, g), F.lit("")) for p, g in tries]
+    # in quotes, else the first sentence after a year in brackets, a year, or the first sentence
+    sentence, four = r"\s+([^.;]{4,160})", r"\d{4}[a-z]?"
+    heads = [rf"\({four}\)\.?", rf"\b{four}\.", r"^[^.]+\."]
+    found = [F.nullif(F.regexp_extract(cite, p, 1), F.lit("")) for p in ('"([^"]{4,})"', *(h + sentence for h in heads))]
     return F.trim(F.coalesce(*found, F.substring(cite, 1, 80)))
 
 
