@@ -239,6 +239,18 @@ def render(style: str, kind: Column | str, fields: dict[str, Column]) -> Column:
     return let(found, lambda x: F.struct(F.array_join(F.transform(x, lambda s: s["text"]), " ").alias("text"), F.array_distinct(F.flatten(F.transform(x, lambda s: s["fields"]))).alias("rendered")))
 
 
+def render_text(style: str, kind: str, fields: dict[str, Column]) -> Column:
+    """render()'s text alone, for one type: nothing is told about fields."""
+    plan = PLANS[style].get(kind, PLANS[style]["*"])
+    names = {n for s in plan for n in re.findall(r"\{(\w+)\}", s)}
+
+    def told(v: Column) -> Column:
+        values = {n: v[n] for n in names}
+        return F.concat_ws(" ", *(F.coalesce(*(part(t, values)[0] for t in s.split("|"))) for s in plan))
+
+    return let(F.struct(*(c.alias(k) for k, c in values_of(style, fields).items() if k in names)), told)
+
+
 def checks(fields: dict[str, Column], as_of_year: int) -> dict[str, Column]:
     """Why a value can't be shown, by field; null where it can."""
     bad = lambda ok, why: F.when(~ok, why)

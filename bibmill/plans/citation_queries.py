@@ -192,7 +192,7 @@ def templates_by_style(spark, sf_dir):
     """Journal articles in all nine styles."""
     people = F.array(F.struct(F.col("f1").alias("family"), F.col("i1").alias("given")))
     fields = {"authors": people, "title": F.col("title"), "year": F.col("y"), "journal": s("Trade Studies"), "volume": F.col("v"), "issue": F.col("n"), "pages": F.col("p"), "doi": F.concat(s("10.1000/X"), F.col("k").cast("string"))}
-    return parts(spark, sf_dir).select("k", *(templates.render(style, "article-journal", fields)["text"].alias(style.replace("-", "_")) for style in templates.PLANS))
+    return parts(spark, sf_dir).select("k", *(templates.render_text(style, "article-journal", fields).alias(style.replace("-", "_")) for style in templates.PLANS))
 
 
 @query(f"""SELECT k, CASE k % 4 WHEN 0 THEN 'Ka, A. (' || y || '). *' || title || '*. Trade Press.' WHEN 1 THEN 'Ka, A. (' || y || '). ' || title || '. In *Trade Meetings* (pp. ' || replace(p, '-', '–') || ').' WHEN 2 THEN 'Ka, A. (' || y || '). *' || title || '* [PhD thesis, Trade School].' ELSE 'Ka, A. (' || y || '). ' || title || '. Trade Pages. Retrieved May 3, from https://example.org/' || k END AS text,

@@ -353,6 +353,8 @@ def test_templates(spark):
     df = spark.range(1)
     got = df.select(*(templates.render(style, F.lit(kind), as_fields(f))["text"].alias(f"x{k}") for k, (style, kind, f, _) in enumerate(RENDERED))).first()
     assert list(got) == [want for *_, want in RENDERED]
+    texts = df.select(*(templates.render_text(style, kind, as_fields(f)).alias(f"x{k}") for k, (style, kind, f, _) in enumerate(RENDERED))).first()
+    assert list(texts) == list(got)
 
 
 def test_render_audit(spark):
