@@ -20,9 +20,10 @@ The rest is compared exactly with the value's leader, the member that meets most
 others; what this joins is one component, and a large group of copies costs one
 comparison for each member. Values whose members are still apart are then dealt out
 in pairs of blocks of bounded weight. A block pair looks at its pairs of different
-components that both bounds allow, in the first band that they share, counts their
-common shingles in numpy, and gives a spanning forest of links, not pairs. So no
-link is lost, no row stands for a pair, and no task holds a value whole.
+components that both bounds allow, in the first band that they share; rows of no such
+pair go before the shingles are fetched. It counts the pairs' common shingles in numpy,
+and gives a spanning forest of links, not pairs. So no link is lost, no row stands for
+a pair, and no task holds a value whole.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, Scratch, back, partitions, runs, slices, text_of, with_row_id
+from .common import RID, ROW, Scratch, back, partitions, runs, slices, text_of, with_row_id
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
@@ -315,12 +316,12 @@ def compare_blocks(members: DataFrame, sets: DataFrame, bands_of: DataFrame, sim
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
     dealt = dealt.select(RID, *by, "root", "size", "shared", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
     where = ["band", "value", "i", "j"]
-    full = dealt.join(bands_of, RID).join(sets, RID).select(*where, RID, "root", "size", "shared", "blk", "bands", "items")
-    full = full.repartition(partitions(members.sparkSession), *where).sortWithinPartitions(*where)
+    columns = [*where, RID, "root", "size", "shared", "blk", "bands"]
+    together = lambda df: df.repartition(partitions(members.sparkSession), *where).sortWithinPartitions(*where)
 
-    def links(t: pa.Table) -> pa.RecordBatch | None:
+    def candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        name, root, size, shared, blk = (t.column(c).to_numpy() for c in (RID, "root", "size", "shared", "blk"))
+        root, size, shared, blk = (t.column(c).to_numpy() for c in ("root", "size", "shared", "blk"))
         band = t.column("band")[0].as_py()
         values = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
@@ -330,9 +331,24 @@ def compare_blocks(members: DataFrame, sets: DataFrame, bands_of: DataFrame, sim
         for k in range(band):  # an earlier band that the pair shares has it
             ok &= values[left, k][:, None] != values[right, k][None]
         a, b = np.nonzero(ok)
+        return left[a], right[b]
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in runs(batches, where):
+            t = pa.Table.from_batches(held)
+            yield from t.take(pa.array(np.unique(np.concatenate(candidates(t))))).to_batches()
+
+    # a set is many times as large as all else of a row: only rows of some candidate get theirs, and no others are shuffled
+    bare = together(dealt.join(bands_of, RID).select(*columns))
+    rest = scratch.cut(bare.mapInArrow(partnered, bare.schema), "partnered")
+    needed = scratch.cut(rest.select(RID).distinct(), "needed")
+    full = together(rest.join(sets.join(needed, RID, "left_semi"), RID).select(*columns, "items"))
+
+    def links(t: pa.Table) -> pa.RecordBatch | None:
+        a, b = candidates(t)
         if not len(a):
             return None
-        a, b = left[a], right[b]
+        name, size = t.column(RID).to_numpy(), t.column("size").to_numpy()
         held = t.column("items").combine_chunks()
         items = np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1])
         common = common_counts(items, a, b)
@@ -350,13 +366,16 @@ def compare_blocks(members: DataFrame, sets: DataFrame, bands_of: DataFrame, sim
     return full.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = True, keep: list[str] | None = None) -> DataFrame:
     """df's columns with dup_row and dup_class: a row number, and the least of those that
     links of similarity or more reach, over words shingled by five. weighted counts a
     shingle as often as it stands, in the signatures and in the similarity; otherwise
     once. Equal texts are copies, null ones equal empty ones; texts without words link
     only with their copies; a similarity of exactly the threshold links. An empty table
-    gives no rows. Columns of df named dup_row or dup_class are replaced, all others stay."""
+    gives no rows. Columns of df named dup_row or dup_class are replaced, all others stay,
+    or those of keep if it is given; without the text among them, no copy of the texts
+    stays on disk once they are shingled."""
+    columns = df.columns if keep is None else keep
     scratch = Scratch(df.sparkSession)
     rows = with_row_id(df, scratch)
     texts = rows.select(RID, text_of(text_col).alias("_text"))
@@ -365,12 +384,18 @@ def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = S
     copies = scratch.cut(hashed.join(first, ["h1", "h2"]).where(F.col(RID) != F.col("first")).select(RID, "first"), "copies")
     signed = scratch.cut(sign(texts.join(copies.select(RID), RID, "left_anti"), weighted), "signed")
     met = scratch.cut(meetings(signed.select(RID, F.posexplode("bands").alias("band", "value")), scratch), "met")
-    able = scratch.cut(shared_darts(signed, met.select(RID).distinct(), similarity), "able")
+    who = scratch.cut(met.select(RID).distinct(), "who")  # written, its size is known and may spare a shuffle of all darts
+    able = scratch.cut(shared_darts(signed, who, similarity), "able")
+    bands_of = scratch.cut(signed.join(able, RID, "left_semi").select(RID, "bands"), "bands")
+    scratch.drop(signed, first, who)
     sets = scratch.cut(element_sets(texts.join(able, RID, "left_semi"), weighted), "sets")
+    if text_col.lower() not in {c.lower() for c in columns}:
+        whole = rows
+        rows = scratch.cut(whole.select(RID, *[F.struct(*(F.col(ROW)[c].alias(c) for c in columns)).alias(ROW)] * bool(columns)), "kept")
+        scratch.drop(whole)
     sizes = scratch.cut(shared_sizes(sets, similarity), "sizes")
-    bands_of = scratch.cut(signed.join(sizes.select(RID), RID, "left_semi").select(RID, "bands"), "bands")
     pruned = scratch.cut(meetings(met.join(sizes.select(RID), RID, "left_semi"), scratch).join(sizes, RID), "pruned")
-    scratch.drop(signed, met, first, able)
+    scratch.drop(met, able)
 
     # each value's members with its leader, the one of most meetings
     wanted = scratch.cut(pruned.groupBy(RID).agg(F.sum("n").alias("meets")), "wanted")
@@ -392,4 +417,4 @@ def near_duplicates(df: DataFrame, text_col: str = "text", similarity: float = S
 
     classes = copies.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select(RID, F.coalesce("root", "first").alias("dup_class"))
     classes = classes.unionByName(roots.select(F.col("node").alias(RID), F.col("root").alias("dup_class")))
-    return rows.join(classes, RID, "left").select(*back(df.columns, "dup_row", "dup_class"), F.col(RID).alias("dup_row"), F.coalesce("dup_class", RID).alias("dup_class"))
+    return rows.join(classes, RID, "left").select(*back(columns, "dup_row", "dup_class"), F.col(RID).alias("dup_row"), F.coalesce("dup_class", RID).alias("dup_class"))

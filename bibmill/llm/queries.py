@@ -60,7 +60,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     class of null ids alone has a null class_id."""
     scratch = Scratch(spark)
     # both sides of the join are written, so that Spark can split a class of very many rows
-    out = scratch.cut(minhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "dup_class"), "classes")
+    out = scratch.cut(minhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "dup_class"), "classes")
     least = scratch.cut(out.groupBy("dup_class").agg(F.min("doc_id").alias("class_id")), "least")
     return out.join(least, "dup_class").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 

@@ -5,6 +5,7 @@ import hashlib
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bibmill.llm import byte_bpe, common, embedding_dedup, gif, license_scan, line_dedup, minhash_dedup, packing, quality_classifier, simple8b_output, suffix_dedup
+from bibmill.llm import queries as llm_queries
 from bibmill.llm.queries import BYTE_BPE, WORD_BPE
 
 RNG = np.random.default_rng(5)
@@ -415,6 +417,52 @@ def test_minhash_of_a_loose_group(spark, monkeypatch, weighted, block):
     assert groups([got[i] for i in range(len(texts))]) == groups(root) and 1 < len(groups(root)) < 60
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_minhash_blocks_fetch_few_sets(spark):
+    """Of 200 texts of one value that share an earlier band, none is compared there, and
+    no set is shuffled for it; the one pair that first meets in band 3 is linked."""
+    rng = np.random.default_rng(4)
+    sets = [(k, np.sort(rng.integers(-(2**62), 2**62, 1000)).tolist()) for k in range(202)]
+    sets[201] = (201, sets[200][1][:-1] + [2**62])
+    bands = [(k, [7, 8, *range(100 * k, 100 * k + 18)]) for k in range(200)] + [(k, [-k, -k - 1000, -k - 2000, 9, *range(100 * k, 100 * k + 16)]) for k in (200, 201)]
+    members = [(k, 1, 8, k, 1000, 1000) for k in range(200)] + [(k, 3, 9, k, 1000, 1000) for k in (200, 201)]
+    scratch = common.Scratch(spark)
+    tables = [scratch.cut(spark.createDataFrame(*x), "given") for x in ((members, "_rid long, band int, value long, root long, size long, shared long"), (sets, "_rid long, items array<long>"), (bands, "_rid long, bands array<long>"))]
+    before = shuffled(spark)
+    links = minhash_dedup.compare_blocks(*tables, 0.8, scratch).collect()
+    assert [sorted(r) for r in links] == [[200, 201]]
+    assert shuffled(spark) - before < 200 * 8000 / 4
+
+
+def test_minhash_keeps_no_texts_on_disk(spark, tmp_path, monkeypatch):
+    """Once they are shingled, op8 has no copy of the texts; classes are whole."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{x:016x}" for x in rng.integers(0, 2**62, 600)) for _ in range(150)]
+    texts += [texts[3], texts[4] + " and more", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, path = [], common.Scratch.path
+    monkeypatch.setattr(common.Scratch, "path", lambda self, name: made.append(path(self, name)) or made[-1])
+    got = {r["doc_id"]: r["class_id"] for r in llm_queries.op8_minhash_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: i for i in range(len(texts))} | {150: 3, 151: 4, 153: 152}
+    left = sum(f.stat().st_size for p in made for f in Path(p.removeprefix("file://")).rglob("*.parquet"))
+    assert left < sum(len(t or "") for t in texts) / 4
+
+
+def test_minhash_keep(spark):
+    """No column kept, no row lost."""
+    df = spark.createDataFrame([("a b c d e f", 1), ("x y", 2), ("a b c d e f", 3)], "text string, doc_id long").coalesce(1)
+    rows = minhash_dedup.near_duplicates(df, keep=[]).collect()
+    assert sorted(map(tuple, rows)) == [(0, 0), (1, 1), (2, 0)] and rows[0].__fields__ == ["dup_row", "dup_class"]
+
+
 def test_common_counts_agree():
     rng = np.random.default_rng(2)
     items = [np.unique(rng.integers(0, 3000, rng.integers(1, 900))) for _ in range(30)]
