@@ -29,6 +29,7 @@ a pair, and no task holds a value whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 K = BANDS * ROWS
-LOWEST, HIGHEST, MOST_DARTS = 2.0**-18, 24.0, 16.0
-CHUNK, MEMO = 400_000, 300_000
+LOWEST, FIRST, HIGHEST, MOST_DARTS = 2.0**-18, 2.0**-10, 24.0, 16.0
+CHUNK, WORDS_AT_ONCE = 400_000, 1 << 17
 MARGIN = 5.0
 BLOCK_ROWS, BLOCK_WEIGHT = 256, 1 << 18
 WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
@@ -68,26 +69,37 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_words = WordHashes()
+@cache
+def word_points() -> np.ndarray:
+    """Whether each code point belongs to words, by WORDS."""
+    out = np.zeros(0x110000, bool)
+    for m in WORDS.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, in their order, and the number of words of each text. A word's
+    hash is the sum of hashes of its code points with their places, so that all words of
+    many texts are found and hashed at once."""
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.flatnonzero(np.diff(word_points()[points], prepend=False, append=False))
+    begin, long = edges[::2], np.diff(edges)[::2]
+    out = np.zeros(len(begin), U)
+    for low in range(0, len(begin), WORDS_AT_ONCE):
+        b, n = begin[low : low + WORDS_AT_ONCE], long[low : low + WORDS_AT_ONCE]
+        at = np.cumsum(n) - n
+        nth = np.arange(int(n.sum())) - np.repeat(at, n)
+        out[low : low + len(b)] = np.add.reduceat(mix(points[np.repeat(b, n) + nth] | nth.astype(U) << U(21)), at)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return out, np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
 def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes, their counts and documents, in order of document and hash.
     Words are runs of letters, digits and marks, lower case; a text of fewer words than
     the size is one shingle, one of no words has none."""
-    found = [WORDS.findall(t.lower()) for t in texts]
-    lengths = np.array([len(w) for w in found], np.int64)
-    h = np.fromiter((_words[w] for ws in found for w in ws), U, int(lengths.sum()))
+    h, lengths = word_hashes([t.lower() for t in texts])
     doc = np.repeat(np.arange(len(texts)), lengths)
     with np.errstate(over="ignore"):
         out = np.zeros(len(h), U)
@@ -100,8 +112,8 @@ def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
     keep = (left >= size) | (first & (np.repeat(lengths, lengths) < size))
     out, doc = out[keep], doc[keep]
-    order = np.lexsort((out, doc))
-    out, doc = out[order], doc[order]
+    for part in np.split(out, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]):
+        part.sort()
     new = np.concatenate([[True], (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])]) if len(out) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     return out[at], np.diff(np.append(at, len(out))), doc[at]
@@ -144,19 +156,28 @@ def regions(heaviest: float, width: float) -> Iterator[tuple[int, int, float, fl
 
 
 def signatures(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Each document's K darts; 0 on every coordinate for one without elements."""
+    """Each document's K darts; 0 on every coordinate for one without elements. Where darts
+    are so few that the elements are the cost, a cell's lowest bands are one: up to FIRST
+    by its height. A coordinate counts as filled once all cells have been searched up to
+    the rank of its hit."""
     out, rank = np.zeros(docs * K, U), np.full(docs * K, np.inf)
     filled = np.zeros(docs, np.int64)
-    live = np.arange(len(h))
+    live, own = np.arange(len(h)), weight
     for band, (low, width) in enumerate(bands()):
-        live = live[filled[doc[live]] < K]
+        if (filled == K).any():
+            live = live[filled[doc[live]] < K]
+            own = weight[live]
         if not len(live):
             break
-        for cell, strip, light, heavy in regions(float(weight[live].max()), width):
-            at = live if not light else live[weight[live] > light]
+        for cell, strip, light, heavy in regions(float(own.max()), width):
+            end = max(LOWEST, FIRST / (heavy - light))
+            if 0 < low < end:
+                continue
+            span = width if low else end
+            at = live if not light else live[own > light]
             with np.errstate(over="ignore"):
                 seed = mix(h[at] ^ salt(band, cell, strip))
-                n = poisson(unit(seed), K * width * (heavy - light))
+                n = poisson(unit(seed), K * span * (heavy - light))
                 hit = np.flatnonzero(n)
                 n = n[hit]
                 who = np.repeat(at[hit], n)
@@ -165,13 +186,12 @@ def signatures(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) ->
                 ok = light + unit(mix(dart ^ U(0x2545F4914F6CDD1D))) * (heavy - light) < weight[who]
                 who, dart = who[ok], dart[ok]
                 place = doc[who] * K + (mix(dart ^ U(0x632BE59BD9B4E019)) % U(K)).astype(np.int64)
-                r = low + width * unit(mix(dart ^ U(0x5851F42D4C957F2D)))
-            order = np.lexsort((r, place))
-            place, r, dart = place[order], r[order], dart[order]
-            best = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-            best = best[r[best] < rank[place[best]]]
-            out[place[best]], rank[place[best]] = dart[best], r[best]
-        filled = (rank.reshape(docs, K) < np.inf).sum(axis=1)
+                r = low + span * unit(mix(dart ^ U(0x5851F42D4C957F2D)))
+            before = rank[place]
+            np.minimum.at(rank, place, r)
+            best = np.flatnonzero((r < before) & (r == rank[place]))
+            out[place[best]] = dart[best]
+        filled = (rank.reshape(docs, K) < low + width).sum(axis=1)
     return out.reshape(docs, K)
 
 
@@ -203,7 +223,8 @@ def sign(df: DataFrame, weighted: bool) -> DataFrame:
                 for k in range(ROWS):
                     values = mix(values * U(0x9E3779B97F4A7C15) ^ darts[:, :, k])
             has = np.flatnonzero(size)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(list(darts[has].reshape(-1, K).astype(np.uint32).view(np.int32)), pa.list_(pa.int32())), pa.array(list(values[has].view(np.int64)), pa.list_(pa.int64()))], [RID, "darts", "bands"])
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), lists(darts[has].reshape(-1, K).astype(np.uint32).view(np.int32)), lists(values[has].view(np.int64))], [RID, "darts", "bands"])
 
     return df.select(RID, "_text").mapInArrow(run, f"{RID} long, darts array<int>, bands array<long>")
 

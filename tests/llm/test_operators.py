@@ -511,6 +511,40 @@ def test_weighted_signatures_agree_as_weighted_jaccard():
     assert np.mean(agree) == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
 
 
+def test_few_hashes_for_each_shingle(monkeypatch):
+    """Texts of 500 words cost no hash of every shingle for each of 13 rank bands."""
+    hashed, mix = [], minhash_dedup.mix
+    h = RNG.integers(0, 2**63, 100 * 500, dtype=np.uint64)
+    monkeypatch.setattr(minhash_dedup, "mix", lambda x: hashed.append(np.size(x)) or mix(x))
+    darts = minhash_dedup.signatures(h, np.ones(len(h)), np.repeat(np.arange(100), 500), 100)
+    assert (darts != 0).all() and sum(hashed) < 12 * len(h)
+
+
+def test_signatures_do_not_depend_on_other_documents():
+    sizes = [1, 3, 40, 500, 0, 2000]
+    h, doc = RNG.integers(0, 2**63, sum(sizes), dtype=np.uint64), np.repeat(np.arange(6), sizes)
+    weight = np.where(RNG.random(len(h)) < 0.9, 1, RNG.integers(1, 3000, len(h))).astype(float)
+    both = minhash_dedup.signatures(h, weight, doc, 6)
+    for k in range(6):
+        assert (both[k] == minhash_dedup.signatures(h[doc == k], weight[doc == k], np.zeros(sizes[k], int), 1)[0]).all()
+    assert (both[[0, 1, 2, 3, 5]] != 0).all() and not both[4].any()
+
+
+@pytest.mark.parametrize("at_once", [1 << 17, 3])
+def test_words_and_shingles_of_odd_texts(monkeypatch, at_once):
+    monkeypatch.setattr(minhash_dedup, "WORDS_AT_ONCE", at_once)
+    texts = ["", "ab ba a b", "..\n", "\u0391\u03a3 \u0130stanbul nin\u0303o x_y", "\U0001d49c\u6f22\u5b57 \u0663 \U0001f600 ab", "ab", "one two three four five six one two three four five", "x" * 3000 + " " + "x" * 2999, "\ud800ab"]
+    found = [minhash_dedup.WORDS.findall(t.lower()) for t in texts]
+    h, lengths = minhash_dedup.word_hashes([t.lower() for t in texts])
+    assert lengths.tolist() == [len(x) for x in found]
+    words = [w for x in found for w in x]
+    assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+    _, count, doc = minhash_dedup.shingles(texts)
+    for i, w in enumerate(found):
+        assert sorted(count[doc == i]) == sorted(Counter(tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))).values()) if w else not (doc == i).any()
+    assert [len(x) for x in minhash_dedup.shingles([])] == [0, 0, 0]
+
+
 def test_byte_bpe(docs, empty):
     ranks = byte_bpe.read_ranks(BYTE_BPE)
     enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
