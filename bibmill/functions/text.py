@@ -140,9 +140,14 @@ def page_range(c: Column) -> Column:
     return F.when(short, F.concat(start, F.lit("-"), F.left(start, F.length(start) - F.length(end)), end)).otherwise(c)
 
 
-def initials(given: Column, dots: bool = True) -> Column:
+def initial_letters(given: Column) -> Column:
     names = F.filter(F.split(F.trim(given), r"[\s-]+"), lambda x: x != "")
-    return F.array_join(F.transform(names, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lit("." if dots else ""))), " " if dots else "")
+    return F.transform(names, lambda x: F.upper(F.substring(x, 1, 1)))
+
+
+def initials(letters: Column, dots: bool = True) -> Column:
+    """Of initial_letters(); null without any."""
+    return F.when(F.size(letters) > 0, F.concat(F.array_join(letters, ". "), F.lit(".")) if dots else F.array_join(letters, ""))
 
 
 def _cased(c: Column, small) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import initials, sentence_case, title_case
+from ..functions.bind import let
+from ..functions.text import initial_letters, initials, sentence_case, title_case
 
 STYLES = ["apa7", "mla9", "chicago-author-date", "chicago-notes-bib", "vancouver", "ama", "ieee", "harvard", "acs"]
 #: Each style's name forms (first, others), what joins two, all but the last, and the last of more;
@@ -23,28 +24,49 @@ LISTS = {
 }
 
 
+def _parsed(people: Column) -> Column:
+    """Structs of family, given (null where blank) and the letters of the given names; each
+    given name is read once here, however many styles show it."""
+    one = lambda p: F.struct(p["family"].alias("family"), F.nullif(F.trim(p["given"]), F.lit("")).alias("given"), initial_letters(p["given"]).alias("letters"))
+    return F.transform(F.coalesce(people, F.array().cast("array<struct<family:string,given:string>>")), one)
+
+
 def _name(form: str, p: Column) -> Column:
-    given = F.nullif(F.trim(p["given"]), F.lit(""))
     if form == "inverted":
-        return F.concat_ws(", ", p["family"], given)
+        return F.concat_ws(", ", p["family"], p["given"])
     if form == "direct":
-        return F.concat_ws(" ", given, p["family"])
-    short = F.nullif(initials(given, form != "bare initials"), F.lit(""))
+        return F.concat_ws(" ", p["given"], p["family"])
+    short = initials(p["letters"], form != "bare initials")
     if form == "initials first":
         return F.concat_ws(" ", short, p["family"])
     return F.concat_ws(" " if form == "bare initials" else ", ", p["family"], short)
 
 
+def _joined(style: str, people: Column) -> Column:
+    """_parsed() people in a style. Of a list that is cut only the names that stay are made."""
+    first, rest, pair, between, last, cut, keep, tail = LISTS[style]
+    n = F.size(people)
+    shown = F.slice(people, F.lit(1), F.when(n >= cut, F.lit(keep)).otherwise(n)) if cut else people
+    made = F.transform(shown, lambda p: _name(rest, p)) if first == rest else F.transform(shown, lambda p, i: F.when(i == 0, _name(first, p)).otherwise(_name(rest, p)))
+
+    def told(names: Column) -> Column:
+        end = F.element_at(names, -1)
+        out = F.when(n == 0, "Unknown author").when(n == 1, F.get(names, F.lit(0))).when(n == 2, F.concat(F.get(names, F.lit(0)), F.lit(pair), end))
+        if cut:
+            out = out.when(n >= cut, F.concat(F.array_join(names, between), F.lit(tail), _name(rest, F.element_at(people, -1)) if style == "apa7" else F.lit("")))
+        return out.otherwise(F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), between), F.lit(last), end))
+
+    return let(made, told)
+
+
 def authors(style: str, people: Column) -> Column:
     """The author list of a style; a null or empty list is an unknown author."""
-    first, rest, pair, between, last, cut, keep, tail = LISTS[style]
-    people = F.coalesce(people, F.array().cast("array<struct<family:string,given:string>>"))
-    names = F.transform(people, lambda p: _name(rest, p)) if first == rest else F.transform(people, lambda p, i: F.when(i == 0, _name(first, p)).otherwise(_name(rest, p)))
-    n, end = F.size(names), F.element_at(names, -1)
-    out = F.when(n == 0, "Unknown author").when(n == 1, F.get(names, F.lit(0))).when(n == 2, F.concat(F.get(names, F.lit(0)), F.lit(pair), end))
-    if cut:
-        out = out.when(n >= cut, F.concat(F.array_join(F.slice(names, 1, keep), between), F.lit(tail), end if style == "apa7" else F.lit("")))
-    return out.otherwise(F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), between), F.lit(last), end))
+    return let(_parsed(people), lambda x: _joined(style, x))
+
+
+def authors_by_style(people: Column) -> Column:
+    """authors() of every style, as a struct; the names are read once for all of them."""
+    return let(_parsed(people), lambda x: F.struct(*(_joined(s, x).alias(s) for s in STYLES)))
 
 
 def _stopped(c: Column) -> Column:

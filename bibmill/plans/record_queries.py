@@ -8,7 +8,7 @@ from ..functions import validation
 from ..functions.similarity import rounded
 from ..operators import evaluate, health, match, render, sampling, schemas
 from ..sources import bibliography, sinks
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def people(df):
@@ -47,7 +47,8 @@ FROM (SELECT o_orderkey, n, [f || ', A. B.' for f in fs] AS i, [f || ', Ann Bo'
 def author_lists(spark, sf_dir):
     number = F.expr("if(o_orderkey % 23 = 0, cast(array() as array<long>), sequence(1L, o_orderkey % 23))")
     people = F.transform(number, lambda k: F.struct(F.concat_ws("-", "o_orderpriority", k.cast("string")).alias("family"), F.lit("Ann Bo").alias("given")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[render.authors(s, people).alias(s.replace("-", "_")) for s in render.STYLES])
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), table(spark, sf_dir, "orders"))
+    return rows.select("o_orderkey", render.authors_by_style(people).alias("x")).select("o_orderkey", *[F.col("x")[s].alias(s.replace("-", "_")) for s in render.STYLES])
 
 
 @query("SELECT o_orderkey, 'article' AS entry_type, lower(c_name) || year(o_orderdate) AS entry_key, 'Notes On The ' || c_mktsegment || ' trade' AS title, year(o_orderdate)::VARCHAR AS year FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df dealt out evenly, over two tasks a core at least and four for each split of source,
+    which is only listed. Rows that cost much are few bytes: a file of one row group
+    would be one task, whatever its number of splits."""
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, 4 * source.rdd.getNumPartitions()))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
