@@ -54,7 +54,9 @@ PUBLISHERS = ["press", "publisher", "publishing", "university", "routledge", "sp
 
 #: Parts of which the patterns are put together.
 YEAR, NUMBER, PAGE = r"(?:1[6-9]|20)\d{2}[a-z]?", r"(?:\d+|\?)", r"[A-Za-z]?\d[\w–-]*"
-QUOTED, DOI, URL = '"[^"]{4,}"', r"""\b10\.\d{4,9}/[^\s"'<>]+""", r"""(?i)\bhttps?://[^\s"'<>]+"""
+# A word's edge is told by ASCII letters, digits and _ alone, in every Java version: \b of some takes ß for one.
+BARE_DOI = r"""10\.\d{4,9}/[^\s"'<>]+"""
+QUOTED, DOI, URL = '"[^"]{4,}"', rf"(?<!\w){BARE_DOI}", r"""(?i)(?<!\w)https?://[^\s"'<>]+"""
 NEW_YEAR, VOLUME, ISSUE, PAGES = r"(?:19|20)\d{2}", rf"vol\.?\s*{NUMBER}", r"no\.?\s*[^,]+", rf"pp?\.?\s*{PAGE}"
 MARK, NAME, BRACKETED = r"^\s*(?:\[\d+\]|\d+[.)]|\(\d+\))", r"\p{Lu}[\p{L}'-]+", r"(?:\([^)]+\))?"
 SIGNATURE = rf"(?i){QUOTED}\s*,?\s*.+?,\s*{VOLUME},\s*(?:{ISSUE},\s*)?{PAGES},\s*{NEW_YEAR}\.?$"
@@ -68,7 +70,7 @@ LAYOUTS = {
     "apa_journal": rf"\({YEAR}\)\.\s+.+?[.?!]\s+.+?,\s*{NUMBER}{BRACKETED},\s*(?:pp?\.?\s*)?{PAGE}\.?$",
     "dated_journal": rf"\({YEAR}\)\.\s+.+?[.?!]\s+.+?,\s*{NUMBER}{BRACKETED},\s*(?:pp?\.?\s*)?{PAGE}\.?$",
     "bare_journal": rf",\s*{YEAR}\.\s+.+?\.\s+.+?,\s*{NUMBER}{BRACKETED},\s*(?:pp?\.?\s*)?{PAGE}\.?$",
-    "conference_pages": rf"\bIn\s+{NEW_YEAR}.+?\s{NEW_YEAR}\b.*?\({PAGES}\)",
+    "conference_pages": rf"(?<!\w)In\s+{NEW_YEAR}.+?\s{NEW_YEAR}(?!\w).*?\({PAGES}\)",
 }
 #: What a layout or pair of signals adds to a family's or a style's sum.
 FAMILY_BOOSTS = {
@@ -85,7 +87,7 @@ COMMITS = {"apa7": ["apa_journal", "bare_journal"], "vancouver": ["nlm_journal",
 
 
 def words_of(words: list[str]) -> str:
-    return rf"(?i)\b(?:{'|'.join(words)})\b"
+    return rf"(?i)(?<!\w)(?:{'|'.join(words)})(?!\w)"
 
 
 def normalized(text: Column) -> Column:
@@ -106,7 +108,7 @@ def without_tail(text: Column) -> Column:
 
 def lead_of(cite: Column) -> Column:
     """What stands before the title in quotes, else before the year, else the first sentence."""
-    quote, year, stop = F.instr(cite, '"') - 1, F.regexp_instr(cite, F.lit(rf"\b{YEAR}\b")) - 1, F.instr(cite, ".")
+    quote, year, stop = F.instr(cite, '"') - 1, F.regexp_instr(cite, F.lit(rf"(?<!\w){YEAR}(?!\w)")) - 1, F.instr(cite, ".")
     head = lambda n: F.trim(F.substring(cite, F.lit(1), n))
     return F.when(quote > 0, F.regexp_replace(head(quote), r"[,\s]+$", "")).when(year > 0, head(year)).when(stop > 1, head(stop)).otherwise(head(F.lit(90)))
 
@@ -114,7 +116,7 @@ def lead_of(cite: Column) -> Column:
 def title_of(cite: Column) -> Column:
     # in quotes, else the first sentence after a year in brackets, a year, or the first sentence
     sentence, four = r"\s+([^.;]{4,160})", r"\d{4}[a-z]?"
-    heads = [rf"\({four}\)\.?", rf"\b{four}\.", r"^[^.]+\."]
+    heads = [rf"\({four}\)\.?", rf"(?<!\w){four}\.", r"^[^.]+\."]
     found = [F.nullif(F.regexp_extract(cite, p, 1), F.lit("")) for p in ('"([^"]{4,})"', *(h + sentence for h in heads))]
     return F.trim(F.coalesce(*found, F.substring(cite, 1, 80)))
 
@@ -133,9 +135,9 @@ def prepared(df: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = df.withColumn("_norm", normalized(text))
     df = df.withColumn("_cite", F.ltrim(F.regexp_replace("_norm", MARK, "")))
-    df = df.withColumn("_plain", trimmed(F.regexp_replace("_cite", r"(?i)\s+\b(?:Accessed|Retrieved)\b[^.]*\.?$", "")))
+    df = df.withColumn("_plain", trimmed(F.regexp_replace("_cite", r"(?i)\s+(?<!\w)(?:Accessed|Retrieved)(?!\w)[^.]*\.?$", "")))
     df = df.withColumn("_plain", F.trim(F.regexp_replace(F.regexp_replace("_plain", URL, ""), r"\s+", " ")))
-    df = df.withColumn("_year", F.regexp_instr("_plain", F.lit(rf"\b{YEAR}\b")) - 1)
+    df = df.withColumn("_year", F.regexp_instr("_plain", F.lit(rf"(?<!\w){YEAR}(?!\w)")) - 1)
     df = df.withColumn("_before", F.when(F.col("_year") > 0, F.element_at(F.filter(F.transform(F.split(F.substring("_plain", F.lit(1), F.col("_year")), r"\."), lambda x: F.trim(x)), lambda x: x != ""), -1)))
     return df.select("*", F.struct(
         F.col("_norm").alias("norm"), F.col("_cite").alias("cite"), F.col("_plain").alias("plain"), F.col("_year").alias("year"), without_tail(F.col("_plain")).alias("spine"), without_tail(F.col("_cite")).alias("backbone"), lead_of(F.col("_cite")).alias("lead"),
@@ -144,12 +146,12 @@ def prepared(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def separator(lead: Column) -> Column:
-    return F.when(lead.contains(";"), "semicolon").when(lead.contains("&"), "ampersand").when(lead.rlike(r"(?i)\band\b"), "and").when(lead.contains(","), "comma").otherwise("none")
+    return F.when(lead.contains(";"), "semicolon").when(lead.contains("&"), "ampersand").when(lead.rlike(r"(?i)(?<!\w)and(?!\w)"), "and").when(lead.contains(","), "comma").otherwise("none")
 
 
 def author_count(lead: Column, kind: Column) -> Column:
     pieces = lambda p: F.size(F.filter(F.split(lead, p), lambda x: x != ""))
-    return F.when(kind == "semicolon", pieces(";")).when(kind == "ampersand", pieces("&")).when(kind == "and", pieces(r"(?i)\band\b")).when(kind == "comma", F.greatest(F.lit(1), pieces(",") - 1)).otherwise(1)
+    return F.when(kind == "semicolon", pieces(";")).when(kind == "ampersand", pieces("&")).when(kind == "and", pieces(r"(?i)(?<!\w)and(?!\w)")).when(kind == "comma", F.greatest(F.lit(1), pieces(",") - 1)).otherwise(1)
 
 
 def signals(p: Column) -> dict[str, dict[str, Column]]:
@@ -160,13 +162,13 @@ def signals(p: Column) -> dict[str, dict[str, Column]]:
     bracketed = near & plain.rlike(rf'^[^"]{{0,120}}\({YEAR}\)')
     bare = near & plain.rlike(rf'^[^"]{{0,120}},?\s*{YEAR}\.') & ~bracketed
     leading = near & plain.rlike(rf'^[^"]{{0,90}}(?:\({YEAR}\)|,\s*{YEAR}\.)')
-    ended = plain.rlike(rf"\b{YEAR}\b\.?$")
+    ended = plain.rlike(rf"(?<!\w){YEAR}(?!\w)\.?$")
     signature = cite.rlike(SIGNATURE)
     initials_first, surname_first = lead.rlike(rf"^(?:\p{{Lu}}\.\s*){{1,3}}{NAME}"), lead.rlike(rf"^{NAME}(?:\s+(?:da|de|del|di|la|le|van|von|der))?(?:\s+{NAME})?\s+\p{{Lu}}{{1,3}}\b")
     vague = ~cite.startswith('"') & (F.regexp_count(lead, F.lit(r"\b[\p{L}\p{N}'-]+\b")) >= 2) & ~initials_first & ~surname_first & ~lead.rlike(rf"^(?:[A-Z][\p{{L}}&' -]{{3,}}|[A-Z][\p{{L}}'-]+,\s+[A-Z][\p{{L}}'-]+)")
-    et_al, kind = cite.rlike(r"(?i)\bet al\.?"), separator(lead)
+    et_al, kind = cite.rlike(r"(?i)(?<!\w)et al\.?"), separator(lead)
     many = F.when(et_al, 4).otherwise(author_count(lead, kind))
-    years = F.regexp_extract_all(cite, F.lit(rf"\b({YEAR[:-6]})\b"), F.lit(1))
+    years = F.regexp_extract_all(cite, F.lit(rf"(?<!\w)({YEAR[:-6]})(?!\w)"), F.lit(1))
     conference, quoted = cite.rlike(words_of(CONFERENCES)), cite.rlike(QUOTED)
     doi, url = F.regexp_instr(cite, F.lit(f"(?i){DOI}")), F.regexp_instr(cite, F.lit(URL))
     at_end = let(F.when(doi > 0, doi).otherwise(url) - 1, lambda x: (x >= 0) & (x >= F.length(cite) * TAIL_SIGNAL))
@@ -180,7 +182,7 @@ def signals(p: Column) -> dict[str, dict[str, Column]]:
     sentence = first_cased & (share(cased(F.slice(long_words, 2, F.greatest(F.lit(0), F.size(long_words) - 1))), F.size(long_words) - 1) <= 0.35)
     titled = (F.size(long_words) >= 2) & (share(cased(long_words), F.size(long_words)) >= 0.6)
     host = F.lower(F.regexp_extract(F.regexp_extract(cite, URL, 0), r"^[^:]+://([^/?#]+)", 1))
-    scholarly = plain.rlike(r"(?i)\b(?:vol\.?|no\.?|pp?\.?)\b") | spine.rlike(rf";{NUMBER}{BRACKETED}:")
+    scholarly = plain.rlike(r"(?i)(?<!\w)(?:vol|no|pp?)(?!\w)") | spine.rlike(rf";{NUMBER}{BRACKETED}:")
     return {
         "enumerator": {"bracketed_enumerator": norm.rlike(r"^\[\d+\]"), "numeric_dot_enumerator": norm.rlike(r"^\d+\.\s"), "numeric_paren_enumerator": norm.rlike(r"^\d+\)\s"), "parenthesized_enumerator": norm.rlike(r"^\(\d+\)\s")},
         "author_lead": {"quoted_title_lead": cite.startswith('"'), "author_initials_surname": initials_first, "author_surname_initials": surname_first, "author_lead_ambiguous": vague, "author_year_lead": leading},
@@ -190,16 +192,16 @@ def signals(p: Column) -> dict[str, dict[str, Column]]:
             "year_parenthesized_after_authors": bracketed, "year_bare_after_authors": bare, "year_repeated_conference": (F.size(years) >= 2) & ((F.size(F.array_distinct(years)) < F.size(years)) | conference), "year_end_position": ended,
             "ieee_incompatible_author_date_year_placement": ~signature & ~ended & (bare | bracketed | leading), "year_early_position": (year >= 0) & (year <= n * 0.25), "year_late_position": (year >= 0) & (year >= n * 0.75),
         },
-        "title": {"quoted_title": quoted, "title_followed_by_period": cite.rlike(rf"{QUOTED}\.|\)\.?\s+[^.]{{4,120}}\."), "title_followed_by_comma": cite.rlike(rf"{QUOTED},|\)\.?\s+[^,]{{4,120}},\s+(?:In\b|[A-Z])"), "title_sentence_case": sentence, "title_title_case": titled},
-        "container": {"cue_in_container": cite.rlike(r"\bIn\b"), "cue_conference": conference, "cue_journal": cite.rlike(words_of(JOURNALS)), "cue_journal_abbrev": abbreviated, "cue_book_publisher": cite.rlike(words_of(PUBLISHERS)), "cue_web_access": cite.rlike(words_of(["Accessed", "Retrieved", "Available at"]))},
-        "editor_translator": {"marker_editor": cite.rlike(r"\bEds?\.?\b"), "marker_translator": cite.rlike(r"\bTrans\.?\b")},
-        "edition": {"marker_edition": cite.rlike(r"(?i)\b(?:\d+(?:st|nd|rd|th)\s+ed\.|Rev\.\s+ed\.|Version\s+\d+)")},
+        "title": {"quoted_title": quoted, "title_followed_by_period": cite.rlike(rf"{QUOTED}\.|\)\.?\s+[^.]{{4,120}}\."), "title_followed_by_comma": cite.rlike(rf"{QUOTED},|\)\.?\s+[^,]{{4,120}},\s+(?:In(?!\w)|[A-Z])"), "title_sentence_case": sentence, "title_title_case": titled},
+        "container": {"cue_in_container": cite.rlike(r"(?<!\w)In(?!\w)"), "cue_conference": conference, "cue_journal": cite.rlike(words_of(JOURNALS)), "cue_journal_abbrev": abbreviated, "cue_book_publisher": cite.rlike(words_of(PUBLISHERS)), "cue_web_access": cite.rlike(words_of(["Accessed", "Retrieved", "Available at"]))},
+        "editor_translator": {"marker_editor": cite.rlike(r"(?<!\w)Eds?(?!\w)"), "marker_translator": cite.rlike(r"(?<!\w)Trans(?!\w)")},
+        "edition": {"marker_edition": cite.rlike(r"(?i)(?<!\w)(?:\d+(?:st|nd|rd|th)\s+ed\.|Rev\.\s+ed\.|Version\s+\d+)")},
         "locator": {
             "locator_vol": plain.rlike(rf"(?i)(?:^|[;,\s]){VOLUME}"), "locator_no": plain.rlike(rf"(?i)(?:^|[;,\s])no\.?\s*{NUMBER}"), "locator_pp": plain.rlike(rf"(?i)(?:^|[;,\s]){PAGES}"), "locator_ieee_signature": signature,
-            "locator_semicolon_volume_issue_pages": spine.rlike(rf";{NUMBER}{BRACKETED}:{PAGE}"), "locator_volume_issue_pages": spine.rlike(rf"(?<![\w?]){NUMBER}{BRACKETED},\s*(?:pp?\.?\s*)?{PAGE}"), "locator_year_comma_volume_colon_pages": spine.rlike(rf"\b{NEW_YEAR}[a-z]?,\s*{NUMBER}\s*:\s*{PAGE}(?:\s*[–-]\s*\d+)?\.?$"),
-            "locator_year_comma_volume_colon_identifier": cite.rlike(rf"(?i)\b{NEW_YEAR}[a-z]?,\s*{NUMBER}\s*:\s*{DOI[2:]}\.?$"), "locator_page_range_only": spine.rlike(r"\b[A-Za-z]?\d{1,5}\s*[–-]\s*\d{1,5}\b"),
+            "locator_semicolon_volume_issue_pages": spine.rlike(rf";{NUMBER}{BRACKETED}:{PAGE}"), "locator_volume_issue_pages": spine.rlike(rf"(?<![\w?]){NUMBER}{BRACKETED},\s*(?:pp?\.?\s*)?{PAGE}"), "locator_year_comma_volume_colon_pages": spine.rlike(rf"(?<!\w){NEW_YEAR}[a-z]?,\s*{NUMBER}\s*:\s*{PAGE}(?:\s*[–-]\s*\d+)?\.?$"),
+            "locator_year_comma_volume_colon_identifier": cite.rlike(rf"(?i)(?<!\w){NEW_YEAR}[a-z]?,\s*{NUMBER}\s*:\s*{BARE_DOI}\.?$"), "locator_page_range_only": spine.rlike(r"(?<!\w)[A-Za-z]?\d{1,5}\s*[–-]\s*\d{1,5}(?!\w)"),
         },
-        "identifier": {"identifier_doi": doi > 0, "identifier_url": url > 0, "identifier_accessed_retrieved": cite.rlike(words_of(["Accessed", "Retrieved"])), "identifier_at_end": at_end, "identifier_doi_tail_numeric": (doi > 0) & at_end & cite.rlike(rf"\b{NEW_YEAR}[a-z]?,\s*{NUMBER}\s*:")},
+        "identifier": {"identifier_doi": doi > 0, "identifier_url": url > 0, "identifier_accessed_retrieved": cite.rlike(words_of(["Accessed", "Retrieved"])), "identifier_at_end": at_end, "identifier_doi_tail_numeric": (doi > 0) & at_end & cite.rlike(rf"(?<!\w){NEW_YEAR}[a-z]?,\s*{NUMBER}\s*:")},
         "capitalization": {"capitalization_quoted_title_profile": quoted, "capitalization_heavy_titlecase": titled, "capitalization_numeric_minimal": (F.size(title) > 0) & (share(cased(rest), F.size(title) - 1) <= 0.2)},
         "punctuation": {"punctuation_period_dense": long & (dots >= 3), "punctuation_comma_dense": long & (commas >= 4), "punctuation_mixed_cadence": long & (dots >= 2) & (commas >= 2)},
         "web": {"web_url_without_scholarly_locators": (url > 0) & (doi == 0) & ~scholarly, "web_host_like_container": (url > 0) & (host != "") & ~host.endswith("doi.org")},
