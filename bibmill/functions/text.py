@@ -145,34 +145,53 @@ def initial_letters(given: Column) -> Column:
     return F.transform(names, lambda x: F.upper(F.substring(x, 1, 1)))
 
 
-def initials(letters: Column, dots: bool = True) -> Column:
-    """Of initial_letters(); null without any."""
+def from_letters(letters: Column, dots: bool = True) -> Column:
+    """Initials of initial_letters(); null without any."""
     return F.when(F.size(letters) > 0, F.concat(F.array_join(letters, ". "), F.lit(".")) if dots else F.array_join(letters, ""))
 
 
-def _cased(c: Column, small) -> Column:
-    """Each word by its rule: one with a digit or capitals inside stays, as does a short
-    one in capitals, unless the whole is in capitals; small(word, index) tells which words
+def initials(given: Column, dots: bool = True) -> Column:
+    return let(initial_letters(given), lambda x: F.coalesce(from_letters(x, dots), F.array_join(x, "")))
+
+
+def _field(k: str):
+    return lambda x: x[k]
+
+
+def _cased(c: Column, rules: dict) -> Column:
+    """The text by each rule, as a struct. Each word by its rule: one with a digit or capitals inside stays, as does a short
+    one in capitals, unless the whole is in capitals; rules tell by small(word, index) which words
     are written low. What follows a colon or a long dash starts with a capital."""
     def one(w: Column, i: Column, words: Column, shouting: Column) -> Column:
-        bare = F.regexp_replace(w, r"[^A-Za-z0-9]", "")
-        stays = (bare == "") | bare.rlike(r"\d") | w.rlike(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]") | (~shouting & (bare == F.upper(bare)) & (F.length(bare) <= 4))
-        lead, rest = F.regexp_extract(w, r"^([^\p{L}\p{N}]*)", 1), F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]*", ""))
-        big = F.concat(lead, F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)))
-        after = F.coalesce(F.get(words, i - 1), F.lit("")).rlike("[:–—]$")
-        return F.when(stays, w).when(small(F.lower(bare), i) & ~after, F.lower(w)).otherwise(big)
-
-    def told(x: Column) -> Column:
-        shouting = ~c.rlike(r"\p{Ll}") & (F.size(x) >= 4) & c.rlike(r"\p{L}{5}")
+        def told(bare: Column) -> Column:
+            stays = (bare == "") | (~shouting & (F.length(bare) <= 4) & (bare == F.upper(bare))) | bare.rlike(r"\d") | w.rlike(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
+            lead, rest = F.regexp_extract(w, r"^([^\p{L}\p{N}]*)", 1), F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]*", ""))
+            big = let(rest, lambda r: F.concat(lead, F.upper(F.substring(r, 1, 1)), F.substring(r, F.lit(2), F.length(r))))
+            after = F.coalesce(F.get(words, i - 1), F.lit("")).rlike("[:–—]$")
+            return F.struct(*(F.when(stays, w).when(small(F.lower(bare), i) & ~after, F.lower(w)).otherwise(big).alias(k) for k, small in rules.items()))
+
+        return let(F.regexp_replace(w, r"[^A-Za-z0-9]", ""), told)
+
+    def told(text: Column, x: Column) -> Column:
+        shouting = (F.size(x) >= 4) & ~text.rlike(r"\p{Ll}") & text.rlike(r"\p{L}{5}")
         return let(shouting, lambda loud: F.transform(x, lambda w, i: one(w, i, x, loud)))
 
-    # words and loudness are worked out once, not again for each word
-    return F.array_join(let(F.split(c, " "), told), " ")
+    # words, loudness and what a word is are worked out once, not again for each word or rule
+    made = let(c, lambda text: let(F.split(text, " "), lambda x: told(text, x)))
+    return let(made, lambda words: F.struct(*(F.array_join(F.transform(words, _field(k)), " ").alias(k) for k in rules)))
+
+
+CASES = {"sentence": lambda w, i: i > 0, "title": lambda w, i: (i > 0) & w.isin(SMALL_WORDS)}
+
+
+def cases(c: Column) -> Column:
+    """sentence and title: the text in both cases."""
+    return _cased(c, CASES)
 
 
 def sentence_case(c: Column) -> Column:
-    return _cased(c, lambda w, i: i > 0)
+    return _cased(c, {"sentence": CASES["sentence"]})["sentence"]
 
 
 def title_case(c: Column) -> Column:
-    return _cased(c, lambda w, i: (i > 0) & w.isin(SMALL_WORDS))
+    return _cased(c, {"title": CASES["title"]})["title"]

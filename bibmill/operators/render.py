@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
-from ..functions.text import initial_letters, initials, sentence_case, title_case
+from ..functions.text import from_letters, initial_letters, sentence_case, title_case
 
 STYLES = ["apa7", "mla9", "chicago-author-date", "chicago-notes-bib", "vancouver", "ama", "ieee", "harvard", "acs"]
 #: Each style's name forms (first, others), what joins two, all but the last, and the last of more;
@@ -24,7 +24,7 @@ LISTS = {
 }
 
 
-def _parsed(people: Column) -> Column:
+def parsed(people: Column) -> Column:
     """Structs of family, given (null where blank) and the letters of the given names; each
     given name is read once here, however many styles show it."""
     one = lambda p: F.struct(p["family"].alias("family"), F.nullif(F.trim(p["given"]), F.lit("")).alias("given"), initial_letters(p["given"]).alias("letters"))
@@ -36,14 +36,14 @@ def _name(form: str, p: Column) -> Column:
         return F.concat_ws(", ", p["family"], p["given"])
     if form == "direct":
         return F.concat_ws(" ", p["given"], p["family"])
-    short = initials(p["letters"], form != "bare initials")
+    short = from_letters(p["letters"], form != "bare initials")
     if form == "initials first":
         return F.concat_ws(" ", short, p["family"])
     return F.concat_ws(" " if form == "bare initials" else ", ", p["family"], short)
 
 
-def _joined(style: str, people: Column) -> Column:
-    """_parsed() people in a style. Of a list that is cut only the names that stay are made."""
+def joined(style: str, people: Column) -> Column:
+    """parsed() people in a style. Of a list that is cut only the names that stay are made."""
     first, rest, pair, between, last, cut, keep, tail = LISTS[style]
     n = F.size(people)
     shown = F.slice(people, F.lit(1), F.when(n >= cut, F.lit(keep)).otherwise(n)) if cut else people
@@ -61,12 +61,12 @@ def _joined(style: str, people: Column) -> Column:
 
 def authors(style: str, people: Column) -> Column:
     """The author list of a style; a null or empty list is an unknown author."""
-    return let(_parsed(people), lambda x: _joined(style, x))
+    return let(parsed(people), lambda x: joined(style, x))
 
 
 def authors_by_style(people: Column) -> Column:
     """authors() of every style, as a struct; the names are read once for all of them."""
-    return let(_parsed(people), lambda x: F.struct(*(_joined(s, x).alias(s) for s in STYLES)))
+    return let(parsed(people), lambda x: F.struct(*(joined(s, x).alias(s) for s in STYLES)))
 
 
 def _stopped(c: Column) -> Column:

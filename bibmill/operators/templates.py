@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers, validation
 from ..functions.bind import let
-from ..functions.text import sentence_case, title_case
-from .render import authors as author_list
+from ..functions.text import cases
+from .render import joined, parsed
 from .schemas import SCHEMAS
 
 # The segments of each style, by type; * is any other type.
@@ -203,15 +203,13 @@ def segment(text: str, values: dict[str, Column]) -> Column:
     return reduce(lambda rest, x: F.when(x[0].isNotNull(), F.struct(x[0].alias("text"), x[1].alias("fields"))).otherwise(rest), reversed(tries), F.lit(None).cast("struct<text:string,fields:array<string>>"))
 
 
-def values_of(style: str, fields: dict[str, Column]) -> dict[str, Column]:
-    """What stands for each name in a template. authors and editors are lists of structs."""
+def shared_values(fields: dict[str, Column]) -> dict[str, Column]:
+    """What the values of every style are made of. authors and editors are lists of structs."""
     text = lambda k: F.nullif(F.trim(F.regexp_replace(fields[k].cast("string"), r"\s+", " ")), F.lit("")) if k in fields else F.lit(None).cast("string")
     out = {k: text(k) for k in FIELDS if k not in ("authors", "editors")}
-    out["authors"] = author_list(style, fields["authors"]) if "authors" in fields else F.lit("Unknown author")
-    out["authors"] = F.regexp_replace(out["authors"], r"\.$", "") if style not in ("apa7", "ieee", "harvard") else out["authors"]
-    out["editors"] = F.when(F.size(fields["editors"]) > 0, author_list(style, fields["editors"])) if "editors" in fields else F.lit(None).cast("string")
+    out |= {k: parsed(fields[k]) for k in ("authors", "editors") if k in fields}
     out["year"] = F.coalesce(out["year"], F.lit("n.d."))
-    out["title"] = F.regexp_replace(F.coalesce((title_case if style in TITLED else sentence_case)(out["title"]), F.lit("Untitled reference")), r"[.\s]+$", "")
+    out["title"] = cases(out["title"])
     out["pages"] = F.replace(out["pages"], F.lit("-"), F.lit("–"))
     same = F.lower(out["publisher"]) == F.lower(out["institution"])
     named = F.coalesce(F.when(out["publisher"].isNotNull() & out["institution"].isNotNull() & ~F.coalesce(same, F.lit(False)), F.concat_ws("; ", out["publisher"], out["institution"])), out["publisher"], out["institution"])
@@ -220,6 +218,22 @@ def values_of(style: str, fields: dict[str, Column]) -> dict[str, Column]:
     return out
 
 
+def values_of(style: str, shared: dict[str, Column]) -> dict[str, Column]:
+    """What stands for each name in a style's templates."""
+    out = dict(shared)
+    out["authors"] = joined(style, shared["authors"]) if "authors" in shared else F.lit("Unknown author")
+    out["authors"] = F.regexp_replace(out["authors"], r"\.$", "") if style not in ("apa7", "ieee", "harvard") else out["authors"]
+    out["editors"] = F.when(F.size(shared["editors"]) > 0, joined(style, shared["editors"])) if "editors" in shared else F.lit(None).cast("string")
+    out["title"] = F.regexp_replace(F.coalesce(shared["title"]["title" if style in TITLED else "sentence"], F.lit("Untitled reference")), r"[.\s]+$", "")
+    return out
+
+
+def with_shared(fields: dict[str, Column], names: set[str], use) -> Column:
+    """use() of the shared values of names, each worked out once."""
+    made = {k: c for k, c in shared_values(fields).items() if k in names}
+    return let(F.struct(*(c.alias(k) for k, c in made.items())), lambda v: use({k: v[k] for k in made}))
+
+
 def render(style: str, kind: Column | str, fields: dict[str, Column]) -> Column:
     """text and rendered (fields, in order of their places) of a style's plan for the type;
     a type without a plan of its own has the general one. A missing title and year have
@@ -235,20 +249,29 @@ def render(style: str, kind: Column | str, fields: dict[str, Column]) -> Column:
             return told(plans.get(kind, plans["*"]), values)
         return reduce(lambda rest, k: F.when(kind == k, told(plans[k], values)).otherwise(rest), [k for k in plans if k != "*"], told(plans["*"], values))
 
-    found = let(F.struct(*(c.alias(k) for k, c in values_of(style, fields).items())), chosen)
+    found = with_shared(fields, {*FIELDS, *BEHIND}, lambda shared: let(F.struct(*(c.alias(k) for k, c in values_of(style, shared).items())), chosen))
     return let(found, lambda x: F.struct(F.array_join(F.transform(x, lambda s: s["text"]), " ").alias("text"), F.array_distinct(F.flatten(F.transform(x, lambda s: s["fields"]))).alias("rendered")))
 
 
-def render_text(style: str, kind: str, fields: dict[str, Column]) -> Column:
-    """render()'s text alone, for one type: nothing is told about fields."""
-    plan = PLANS[style].get(kind, PLANS[style]["*"])
-    names = {n for s in plan for n in re.findall(r"\{(\w+)\}", s)}
+def render_texts(styles: list[str], kind: str, fields: dict[str, Column]) -> Column:
+    """render()'s texts alone, for one type, as a struct by style: nothing is told about
+    fields, and what styles share is worked out once for all of them."""
+    plans = {s: PLANS[s].get(kind, PLANS[s]["*"]) for s in styles}
+    names = {s: {n for t in plan for n in re.findall(r"\{(\w+)\}", t)} for s, plan in plans.items()}
+
+    def written(style: str, shared: dict[str, Column]) -> Column:
+        def told(v: Column) -> Column:
+            values = {n: v[n] for n in names[style]}
+            return F.concat_ws(" ", *(F.coalesce(*(part(t, values)[0] for t in s.split("|"))) for s in plans[style]))
 
-    def told(v: Column) -> Column:
-        values = {n: v[n] for n in names}
-        return F.concat_ws(" ", *(F.coalesce(*(part(t, values)[0] for t in s.split("|"))) for s in plan))
+        values = values_of(style, shared)
+        return let(F.struct(*(c.alias(k) for k, c in values.items() if k in names[style])), told)
 
-    return let(F.struct(*(c.alias(k) for k, c in values_of(style, fields).items() if k in names)), told)
+    return with_shared(fields, set().union(*names.values()), lambda shared: F.struct(*(written(s, shared).alias(s) for s in styles)))
+
+
+def render_text(style: str, kind: str, fields: dict[str, Column]) -> Column:
+    return render_texts([style], kind, fields)[style]
 
 
 def checks(fields: dict[str, Column], as_of_year: int) -> dict[str, Column]:

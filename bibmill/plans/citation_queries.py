@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import rounded
 from ..operators import authors, citation_features, consensus, duplicate_scores, line_folds, reference_types, repairs, softmax_trainer, style_signals, templates, winners
-from .registry import query, table
+from .registry import query, spread, table
 
 #: An order's parts: two family names, initials, title, volume, issue, pages and year.
 PARTS = """SELECT o_orderkey AS k, 'Ka' || translate(o_custkey::VARCHAR, '0123456789', 'aeioubdlmr') AS f1, 'Bo' || translate(o_orderkey::VARCHAR, '0123456789', 'aeioubdlmr') AS f2, chr((65 + o_orderkey % 26)::INT) AS i1, chr((65 + o_orderkey % 17)::INT) AS i2,
@@ -29,8 +29,9 @@ def s(text):
 
 def parts(spark, sf_dir):
     k, letters = F.col("o_orderkey"), lambda c: F.translate(c.cast("string"), "0123456789", "aeioubdlmr")
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderdate", "c_mktsegment")
+    return spread(rows, orders).select(
         k.alias("k"), F.concat(s("Ka"), letters(F.col("o_custkey"))).alias("f1"), F.concat(s("Bo"), letters(k)).alias("f2"), F.char(65 + k % 26).alias("i1"), F.char(65 + k % 17).alias("i2"), F.concat(s("Trends in "), F.lower("c_mktsegment"), s(" demand and supply")).alias("title"),
         (k % 90 + 1).cast("string").alias("v"), (k % 12 + 1).cast("string").alias("n"), F.concat_ws("-", (k % 800 + 1).cast("string"), (k % 800 + 10).cast("string")).alias("p"), F.year("o_orderdate").cast("string").alias("y"),
     )
@@ -192,7 +193,8 @@ def templates_by_style(spark, sf_dir):
     """Journal articles in all nine styles."""
     people = F.array(F.struct(F.col("f1").alias("family"), F.col("i1").alias("given")))
     fields = {"authors": people, "title": F.col("title"), "year": F.col("y"), "journal": s("Trade Studies"), "volume": F.col("v"), "issue": F.col("n"), "pages": F.col("p"), "doi": F.concat(s("10.1000/X"), F.col("k").cast("string"))}
-    return parts(spark, sf_dir).select("k", *(templates.render_text(style, "article-journal", fields).alias(style.replace("-", "_")) for style in templates.PLANS))
+    styles = list(templates.PLANS)
+    return parts(spark, sf_dir).select("k", templates.render_texts(styles, "article-journal", fields).alias("x")).select("k", *(F.col("x")[style].alias(style.replace("-", "_")) for style in styles))
 
 
 @query(f"""SELECT k, CASE k % 4 WHEN 0 THEN 'Ka, A. (' || y || '). *' || title || '*. Trade Press.' WHEN 1 THEN 'Ka, A. (' || y || '). ' || title || '. In *Trade Meetings* (pp. ' || replace(p, '-', '–') || ').' WHEN 2 THEN 'Ka, A. (' || y || '). *' || title || '* [PhD thesis, Trade School].' ELSE 'Ka, A. (' || y || '). ' || title || '. Trade Pages. Retrieved May 3, from https://example.org/' || k END AS text,

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from bibmill.operators import render
+from bibmill.operators import render, templates
 from bibmill.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +39,22 @@ def test_author_lists_of_all_styles_at_once(spark):
     query = queries()["author_lists"](spark, DATA)
     assert query._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert query.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+TITLES = [None, "", "  the art of war ", "THE ART OF ALL WARS", "a history of mRNA: the end – of it...", "[the] DNA (of) x2 — and More?", "zürich über alles in der welt"]
+
+
+def test_all_styles_at_once_are_those_of_each(spark):
+    """Odd titles, people and numbers; title, names and identifier are read once for the nine styles."""
+    people = "array<struct<family:string,given:string>>"
+    given = [(i, t, p, y, u) for i, (t, p, y, u) in enumerate((t, p, y, u) for t in TITLES for p, y, u in [(None, None, None), ([("Ka", "Ann-Bea"), ("Bo", None), ("Ce", "")], " 1999 ", "https://example.org/x"), ([("Ka", "A")], "", "https://doi.org/10.1000/x")])]
+    df = spark.createDataFrame(given, f"id int, title string, authors {people}, year string, url string")
+    fields = {"title": F.col("title"), "authors": F.col("authors"), "year": F.col("year"), "url": F.col("url"), "doi": F.when(F.col("id") % 2 == 0, F.lit("doi:10.1000/X.")), "pages": F.lit("1-2"), "volume": F.lit("3"), "editors": F.col("authors"), "book_title": F.lit("Trade"), "journal": F.lit("Trade")}
+    styles = list(templates.PLANS)
+    for kind in ("article-journal", "book-chapter"):
+        once = df.select("id", templates.render_texts(styles, kind, fields).alias("x"), F.struct(*(templates.render_text(s, kind, fields).alias(s) for s in styles)).alias("y"), F.struct(*(templates.render(s, kind, fields)["text"].alias(s) for s in styles)).alias("z"))
+        for r in once.collect():
+            assert r["x"] == r["y"] == r["z"], given[r["id"]]
+    query = queries()["templates_by_style"](spark, DATA)
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert query.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
