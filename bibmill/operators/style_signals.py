@@ -117,7 +117,7 @@ def title_of(cite: Column) -> Column:
     # in quotes, else the first sentence after a year in brackets, a year, or the first sentence
     sentence, four = r"\s+([^.;]{4,160})", r"\d{4}[a-z]?"
     heads = [rf"\({four}\)\.?", rf"(?<!\w){four}\.", r"^[^.]+\."]
-    found = [F.nullif(F.regexp_extract(cite, p, 1), F.lit("")) for p in ('"([^"]{4,})"', *(h + sentence for h in heads))]
+    found = [let(F.regexp_extract(cite, p, 1), lambda x: F.when(x != "", x)) for p in ('"([^"]{4,})"', *(h + sentence for h in heads))]
     return F.trim(F.coalesce(*found, F.substring(cite, 1, 80)))
 
 
