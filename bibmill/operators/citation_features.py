@@ -87,8 +87,13 @@ def best_year(text: Column, family: Column) -> Column:
     """year, text and index of the candidate that scores best; among equals the first for
     families that date after the authors, else the last. Null without a candidate."""
     by_author = F.coalesce(family == "author_date", F.lit(False))
-    scored = F.transform(places(text, YEAR), lambda x: F.struct(year_score(text, x["at"], x["hit"], by_author).alias("score"), F.when(by_author, -x["at"]).otherwise(x["at"]).alias("order"), x["at"].alias("at"), x["hit"].alias("hit")))
-    return let(F.array_max(scored), lambda x: F.when(x.isNotNull(), F.struct(F.left(x["hit"], F.lit(4)).cast("int").alias("year"), x["hit"].alias("text"), x["at"].alias("index"))))
+    score = lambda x: F.struct(year_score(text, x["at"], x["hit"], by_author).alias("score"), F.when(by_author, -x["at"]).otherwise(x["at"]).alias("order"), x["at"].alias("at"), x["hit"].alias("hit"))
+
+    def best(found: Column) -> Column:
+        # a lone candidate needs no score
+        return F.when(F.size(found) > 1, let(F.array_max(F.transform(found, score)), lambda x: F.struct(x["at"].alias("at"), x["hit"].alias("hit")))).otherwise(F.get(found, F.lit(0)))
+
+    return let(let(places(text, YEAR), best), lambda x: F.when(x.isNotNull(), F.struct(F.left(x["hit"], F.lit(4)).cast("int").alias("year"), x["hit"].alias("text"), x["at"].alias("index"))))
 
 
 def quoted_title(text: Column) -> Column:
@@ -98,7 +103,12 @@ def quoted_title(text: Column) -> Column:
     def best(parts: Column) -> Column:
         last = F.size(parts) - 1  # quotes
         bad = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(DOI) | p.rlike(ADDRESS), i)), lambda i: i.isNotNull())
-        ends = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda n, p: n + F.length(p) + 1))  # after quote k
+        zero = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all"))
+        ends = F.aggregate(F.slice(parts, F.lit(1), last), zero, lambda s, p: let(s["at"] + F.length(p) + 1, lambda at: F.struct(at.alias("at"), F.concat(s["all"], F.array(at)).alias("all"))), lambda s: s["all"])  # after quote k
+        # both are worked out once, not again for each pair
+        return F.when(last >= 2, let(F.struct(bad.alias("bad"), ends.alias("ends")), lambda x: chosen(last, x["bad"], x["ends"])))
+
+    def chosen(last: Column, bad: Column, ends: Column) -> Column:
 
         def pair(a: Column, b: Column) -> Column:
             start, end = F.element_at(ends, a + 1) - 1, F.element_at(ends, b + 1)
@@ -119,7 +129,7 @@ def quoted_title(text: Column) -> Column:
 
         pairs = F.filter(F.flatten(F.filter(F.transform(F.sequence(F.lit(1), last - 1), of), lambda x: x.isNotNull())), lambda x: F.length(x["title"]) >= 3)
         scored = F.transform(pairs, lambda x: F.struct(points(x).alias("score"), F.length(x["title"]).alias("size"), (-x["start"]).alias("order"), x["end"].alias("end"), x["title"].alias("title")))
-        return F.when(last >= 2, let(F.array_max(scored), lambda x: F.when(x.isNotNull(), F.struct(x["title"].alias("title"), (-x["order"]).alias("start"), x["end"].alias("end")))))
+        return let(F.array_max(scored), lambda x: F.when(x.isNotNull(), F.struct(x["title"].alias("title"), (-x["order"]).alias("start"), x["end"].alias("end"))))
 
     return let(F.split(text, '"', -1), best)
 
@@ -150,11 +160,13 @@ def citation_features(df: DataFrame, text_col: str = "text", family_col: str | N
     df = df.withColumns({"_bare": strip_identifier_tail(F.col("_norm")), "_plain": fold_marks(F.col("_norm"))})
     raw, norm = F.col("_raw"), F.col("_norm")
     strict = F.coalesce(nonempty(F.regexp_extract(norm, DOI, 0)), nonempty(F.regexp_extract(F.col("_folded"), DOI, 0)))
-    df = df.withColumns({"_strict": strict, "_relaxed": relaxed_doi(F.col("_plain")), "_url": nonempty(F.regexp_extract(norm, ADDRESS, 0))})
+    df = df.withColumns({"_strict": strict, "_url": nonempty(F.regexp_extract(norm, ADDRESS, 0))})
+    # every form that relaxed_doi() finds has a slash
+    df = df.withColumn("_relaxed", F.when(F.col("_strict").isNull() & F.col("_plain").contains("/"), relaxed_doi(F.col("_plain"))))
     relaxed = F.when(F.col("_strict").isNull(), F.col("_relaxed")["value"])
     doi = F.struct(F.coalesce("_strict", relaxed).alias("raw"), F.when(F.col("_strict").isNotNull(), identifiers.doi(F.col("_strict"))).otherwise(relaxed).alias("normalized"), F.coalesce(F.col("_strict").isNull() & F.col("_relaxed")["recovered"], F.lit(False)).alias("recovered"))
     own = lambda kind, group=1: let(nonempty(F.regexp_extract(raw, LABELLED[kind], group)), lambda x: F.struct(x.alias("raw"), identifiers.normalize(kind, x).alias("normalized")))
-    patent = let(identifiers.patent(raw), lambda x: F.struct(x.alias("raw"), x.alias("normalized")))
+    patent = let(F.when(raw.rlike("[0-9]{6}"), identifiers.patent(raw)), lambda x: F.struct(x.alias("raw"), x.alias("normalized")))
     made = F.struct(
         norm.alias("normalized"), F.col("_bare").alias("parseable"), best_year(F.col("_bare"), family).alias("year"), quoted_title(F.col("_bare")).alias("quoted_title"), doi.alias("doi"), F.struct(F.col("_url").alias("raw"), bare_url(F.col("_url")).alias("normalized")).alias("url"),
         *(own(k).alias(k) for k in ("pmid", "arxiv", "isbn", "issn", "handle")), patent.alias("patent"),
