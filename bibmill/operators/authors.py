@@ -125,14 +125,14 @@ def paired(found: Column) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         held = s["held"]
-        bare = F.regexp_replace(x, r"[;,.\s]+$", "")
-        joins = held.isNotNull() & (x.rlike(INITIALS) | (held.rlike(LONE_FAMILY) & bare.rlike(GIVEN) & ~bare.rlike(rf"\s{PARTICLE}")))
-        waits = bare.rlike(FAMILY) & ~x.rlike(HINT)
+
+        def told(bare: Column) -> Column:
+            joins = F.coalesce(held.isNotNull() & (x.rlike(INITIALS) | (held.rlike(LONE_FAMILY) & bare.rlike(GIVEN) & ~bare.rlike(rf"\s{PARTICLE}"))), F.lit(False))
+            return let(F.struct(joins.alias("joins"), bare.alias("bare")), lambda f: let(~f["joins"] & f["bare"].rlike(FAMILY) & ~x.rlike(HINT), lambda waits: entry(f["joins"], waits, f["bare"])))
+
         before = F.when(held.isNotNull(), F.concat(s["done"], alone(held))).otherwise(s["done"])
-        return F.struct(
-            F.when(joins, F.concat(s["done"], pair(held, x))).when(waits, before).otherwise(F.concat(before, alone(x))).alias("done"),
-            F.when(~F.coalesce(joins, F.lit(False)) & waits, bare).alias("held"),
-        )
+        entry = lambda joins, waits, bare: F.struct(F.when(joins, F.concat(s["done"], pair(held, x))).when(waits, before).otherwise(F.concat(before, alone(x))).alias("done"), F.when(waits, bare).alias("held"))
+        return let(F.regexp_replace(x, r"[;,.\s]+$", ""), told)
 
     return F.aggregate(found, zero, step, lambda s: F.when(s["held"].isNotNull(), F.concat(s["done"], alone(s["held"]))).otherwise(s["done"]))
 
@@ -147,8 +147,12 @@ def author_list(segment: Column) -> Column:
         cut = let(chunks(c, r"\s*[,;]\s*|(?i:\s+and\s+|\s*&\s*)"), lambda found: let(F.transform(found, lambda x, i: F.when((i > 0) & is_prose(x) & ~x.rlike(HINT), i)), lambda at: F.when(F.array_min(at).isNull(), found).otherwise(F.slice(found, F.lit(1), F.array_min(at)))))
         plain = F.transform(cut, lambda x: F.regexp_replace(x, r"(?i)^(?:and|&)\s+", ""))
         several = F.transform(paired(plain), lambda e: F.when(e["whole"].isNull(), person(e["family"], e["given"])).otherwise(single_author(e["whole"])))
-        conjoined = c.rlike(HINT) & c.rlike(r"(?i)\s(?:and|&)\s") & ~is_organization(c)
-        return F.when((c == "") | (is_no_list(c) & ~conjoined & ~is_organization(c)), F.array().cast(f"array<{AUTHOR}>")).when(is_organization(c) | (c.rlike(HINT) & ~c.contains(",") & ~conjoined), F.array(organization(c))).otherwise(several)
+        none = F.array().cast(f"array<{AUTHOR}>")
+        hint, joined = c.rlike(HINT), c.rlike(r"(?i)\s(?:and|&)\s")
+
+        # what holds no word for an organization is none, and only persons' names are left
+        hinted = let(is_organization(c), lambda whole: F.when(~whole & ~joined & is_no_list(c), none).when(whole | (~c.contains(",") & ~joined), F.array(organization(c))).otherwise(several))
+        return F.when(c == "", none).when(hint, hinted).when(is_no_list(c), none).otherwise(several)
 
     return let(cleaned(segment), told)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import let
 from .authors import author_list, suspect_authors
-from .citation_features import citation_features, nonempty
+from .citation_features import citation_features
 
 #: How sure each field is that is read this way, and a reference without any.
 CONFIDENCE = {"doi": 0.95, "url": 0.90, "year": 0.92, "pages": 0.88, "volume": 0.87, "issue": 0.84, "authors": 0.70, "title": 0.72, "journal": 0.68}
@@ -32,29 +32,49 @@ LOCATORS = [
 FIELDS = "struct<authors:string,title:string,rest:string>"
 
 
+def filled(c: Column) -> Column:
+    """nonempty(), where c is worked out once in a lambda too."""
+    return let(c, lambda x: F.when(x != "", x))
+
+
 def pieces(text: Column, quote: Column) -> Column:
     """authors, title and rest of a text without number and identifiers; quote is its quoted title with places."""
-    made = lambda a, t, r: F.struct(nonempty(F.trim(F.regexp_replace(a, r"[\s,;:]+$", ""))).alias("authors"), nonempty(F.trim(F.regexp_replace(t, r"[\s.,]+$", ""))).alias("title"), nonempty(F.trim(F.regexp_replace(r, r"^[\s.,;:]+", ""))).alias("rest"))
+    made = lambda a, t, r: F.struct(filled(F.trim(F.regexp_replace(a, r"[\s,;:]+$", ""))).alias("authors"), filled(F.trim(F.regexp_replace(t, r"[\s.,]+$", ""))).alias("title"), filled(F.trim(F.regexp_replace(r, r"^[\s.,;:]+", ""))).alias("rest"))
     part = lambda p, k: F.regexp_extract(text, p, k)
     quoted = made(F.substring(text, F.lit(1), quote["start"]), quote["title"], F.substring(text, quote["end"] + 1, F.length(text)))
-    sentence = r"((?:[^.?!]|[.?!](?!\s))+[.?!]?)\s*(.*)$"
+    sentence = r"((?:[^.?!]++|[.?!](?!\s))+[.?!]?)\s*(.*)$"
     dated = rf"^(.{{2,400}}?)\s*\({YEAR}(?:,[^)]*)?\)[.,:]?\s*{sentence}"
     bare = rf"^(.{{2,400}}?)[,.]\s*{YEAR}\.\s+{sentence}"
     plain = rf"^((?:(?:\p{{Lu}}\.\s*-?)+|[^.])+?\.)\s+{sentence}"
     one = r"(?:[\p{L}'’-]+\s+){1,3}\p{Lu}{1,4}"
     short = rf"^({one}(?:,\s*{one})*(?:,?\s*(?i:et al))?)\.\s+{sentence}"  # initials after names, without stops
     colon = rf"^([^:.]+):\s+{sentence}"
-    tries = [(quote.isNotNull(), quoted), (text.rlike(dated), made(part(dated, 1), part(dated, 2), part(dated, 3))), (text.rlike(bare), made(part(bare, 1), part(bare, 2), part(bare, 3))), (text.rlike(colon) & text.rlike(r"^[^:.]*\p{L}\s\p{Lu}{1,3}\s*(?:,[^:]*)?:"), made(part(colon, 1), part(colon, 2), part(colon, 3))), (text.rlike(short), made(part(short, 1), part(short, 2), part(short, 3))), (text.rlike(plain), made(part(plain, 1), part(plain, 2), part(plain, 3)))]
-    return reduce(lambda rest, t: F.when(t[0], t[1]).otherwise(rest), reversed(tries), made(F.lit(""), text, F.lit("")))
+
+    def tried(p: str, other: Column, also: Column | None = None) -> Column:
+        # the first group of each pattern holds something wherever the pattern matches
+        return let(part(p, 1), lambda a: F.when((a != "") if also is None else (a != "") & also, made(a, part(p, 2), part(p, 3))).otherwise(other))
+
+    named = text.rlike(r"^[^:.]*\p{L}\s\p{Lu}{1,3}\s*(?:,[^:]*)?:")
+    tries = [(dated,), (bare,), (colon, named), (short,), (plain,)]
+    return F.when(quote.isNotNull(), quoted).otherwise(reduce(lambda rest, t: tried(t[0], rest, *t[1:]), reversed(tries), made(F.lit(""), text, F.lit(""))))
 
 
 def located(rest: Column) -> Column:
     """journal, volume, issue and pages of what follows a title."""
-    rest = F.regexp_replace(rest, r"(?i)^in:?\s+", "")
-    one = lambda p, v, i, g: F.struct(*(nonempty(F.trim(F.regexp_replace(F.regexp_extract(rest, p, k), r"^[\s*.,;:]+|[\s*.,;:]+$", ""))).alias(n) for n, k in (("journal", 1), ("volume", v), ("issue", i), ("pages", g))))
+    trimmed = lambda c: filled(F.trim(F.regexp_replace(c, r"^[\s*.,;:]+|[\s*.,;:]+$", "")))
     none = F.lit(None).cast("string")
-    alone = F.struct(nonempty(F.trim(F.regexp_replace(F.regexp_replace(rest, rf"[,.]?\s*\(?{YEAR}\)?\.?$", ""), r"[\s.,;:]+$", ""))).alias("journal"), none.alias("volume"), none.alias("issue"), nonempty(F.regexp_extract(rest, rf"(?i)\bpp?\.?\s*{PAGE}", 1)).alias("pages"))
-    return reduce(lambda other, t: F.when(rest.rlike(t[0]), one(*t)).otherwise(other), reversed(LOCATORS), alone)
+
+    def told(rest: Column) -> Column:
+        def one(other: Column, layout: tuple) -> Column:
+            # a volume stands wherever a layout matches
+            p, v, i, g = layout
+            part = lambda k: trimmed(F.regexp_extract(rest, p, k))
+            return let(F.regexp_extract(rest, p, v), lambda volume: F.when(volume != "", F.struct(part(1).alias("journal"), trimmed(volume).alias("volume"), part(i).alias("issue"), part(g).alias("pages"))).otherwise(other))
+
+        alone = F.struct(filled(F.trim(F.regexp_replace(F.regexp_replace(rest, rf"[,.]?\s*\(?{YEAR}\)?\.?$", ""), r"[\s.,;:]+$", ""))).alias("journal"), none.alias("volume"), none.alias("issue"), filled(F.regexp_extract(rest, rf"(?i)\bpp?\.?\s*{PAGE}", 1)).alias("pages"))
+        return reduce(one, reversed(LOCATORS), alone)
+
+    return let(F.regexp_replace(rest, r"(?i)^in:?\s+", ""), told)
 
 
 def extract_fields(df: DataFrame, text_col: str = "text", family_col: str | None = None) -> DataFrame:

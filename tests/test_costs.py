@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from bibmill.functions import ingest
 from bibmill.operators import render, templates
 from bibmill.plans import queries
 
@@ -58,3 +59,34 @@ def test_all_styles_at_once_are_those_of_each(spark):
     query = queries()["templates_by_style"](spark, DATA)
     assert query._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
     assert query.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def plan(spark, name):
+    """The optimized plan, whole, and the number of tasks that the rows are dealt to."""
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    df = queries()[name](spark, DATA)
+    return df._jdf.queryExecution().optimizedPlan().toString(), df.rdd.getNumPartitions()
+
+
+def test_extraction_works_out_once_what_is_shared(spark):
+    """field_extraction matches each form of a reference once a group (twice more before); it and citation_feature_places deal rows out."""
+    for name in ("field_extraction", "citation_feature_places"):
+        text, tasks = plan(spark, name)
+        assert tasks >= 2 * spark.sparkContext.defaultParallelism
+        if name == "field_extraction":
+            assert text.count("{2,400}") == 6 and "contains(_plain" in text.lower()
+
+
+def test_style_detection_reads_each_title_pattern_once(spark):
+    text, tasks = plan(spark, "style_detection")
+    assert text.count("{4,160}") == 3 and tasks >= 2 * spark.sparkContext.defaultParallelism
+
+
+ENDS = ["", ".", "A. B.", "A http", "A doi", "A. doi:", "A 10.1000/x.", "A, 10.1000/x. https://a.org/x.", "A Accessed 2020", "A. Available at: https://a.org", "A https://a.org/x PMID: 123", "A 10.1 and doi of 3.", "A https://a.org in B.", "https://a.org", "A; Doi: 10.1000/x; doi:"]
+
+
+def test_identifier_tails_as_the_whole_pattern_cuts_them(spark):
+    whole = F.trim(F.regexp_replace(F.trim(F.regexp_replace("t", ingest.ends_of_reference(), "")), r"[.,;:]\s*$", ""))
+    df = spark.createDataFrame([(t,) for t in [*ENDS, None]], "t string").select("t", ingest.strip_identifier_tail(F.col("t")).alias("got"), whole.alias("want"))
+    assert not [r for r in df.collect() if r["got"] != r["want"]]
